@@ -6,7 +6,14 @@ import importlib
 
 #: Module and the query that it offers; a module's ORACLE_SQL is the query's SQL.
 MODULES = {
+    "op2_license_scan": "license_scan",
+    "op3_ngram_join": "ngram_join",
+    "op4_suffix_dedup": "suffix_dedup",
+    "op5_packing": "packing",
+    "op6_toxicity": "toxicity",
     "op7_exact_dedup": "exact_dedup",
+    "op8_substring_dedup": "substring_dedup",
+    "op9_decontaminate": "decontaminate",
     "op10_warc": "warc",
 }
 
