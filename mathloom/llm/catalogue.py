@@ -6,6 +6,7 @@ import importlib
 
 #: Module and the query that it offers; a module's ORACLE_SQL is the query's SQL.
 MODULES = {
+    "op1_language_id": "language_id",
     "op2_license_scan": "license_scan",
     "op3_ngram_join": "ngram_join",
     "op4_suffix_dedup": "suffix_dedup",

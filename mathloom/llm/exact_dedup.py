@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import Scratch, mix64
 
@@ -163,6 +164,16 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
     return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of equal texts the row with the largest id stays, one of those that repeat both, with all its columns."""
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    marked = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("_sha") == F.col("kept_sha"))
+    # the join has brought repeated rows together; only the first of them stays
+    rows = marked.join(kept, same).withColumn("_row", F.row_number().over(Window.partitionBy("kept_id", "kept_sha").orderBy(F.lit(1))))
+    return rows.filter("_row = 1").select(*docs.columns)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
