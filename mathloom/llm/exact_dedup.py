@@ -167,11 +167,14 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of equal texts the row with the largest id stays, one of those that repeat both, with all its columns."""
     kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    marked = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("_sha") == F.col("kept_sha"))
-    # the join has brought repeated rows together; only the first of them stays
-    rows = marked.join(kept, same).withColumn("_row", F.row_number().over(Window.partitionBy("kept_id", "kept_sha").orderBy(F.lit(1))))
-    return rows.filter("_row = 1").select(*docs.columns)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("sha"), F.struct("*").alias("row"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    return first_of_repeats(rows, "id", "sha").select("row.*")
+
+
+def first_of_repeats(rows: DataFrame, *keys: str) -> DataFrame:
+    """One of the rows that agree in all keys; a join on them has already brought these together."""
+    return rows.withColumn("repeat", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))).filter("repeat = 1")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,10 +82,13 @@ def messages(scores: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -
     used = np.zeros((BLOCK, total, 1), bool)
     x[col, row] = np.exp(scores - scores.max(axis=1, keepdims=True))
     used[col, row] = True
-    # transfer matrices: whatever comes before, times the transitions, times the word
+    start = np.zeros((total, 1), bool)
+    start[first_block[per > 0]] = True
+    # transfer matrices: whatever comes before, times the transitions (not before the first word of a sequence), times the word
     transfer = np.broadcast_to(np.eye(n_lang), (total, n_lang, n_lang)).copy()
     for t in range(BLOCK):
-        new = (transfer.reshape(-1, n_lang) @ move).reshape(transfer.shape) * x[t][:, None, :]
+        moved = (transfer.reshape(-1, n_lang) @ move).reshape(transfer.shape)
+        new = (np.where(start[:, :, None], transfer, moved) if t == 0 else moved) * x[t][:, None, :]
         new /= np.maximum(new.sum(axis=(1, 2), keepdims=True), 1e-300)
         transfer = np.where(used[t][:, :, None], new, transfer)
     before, after = np.full((total, n_lang), 1 / n_lang), np.full((total, n_lang), 1 / n_lang)
@@ -97,11 +100,8 @@ def messages(scores: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -
         after[b] = _scaled((transfer[b + 1] @ after[b + 1][:, :, None])[:, :, 0])
     ahead = np.empty((BLOCK, total, n_lang))
     message = before
-    start = np.zeros((total, 1), bool)
-    start[first_block[per > 0]] = True
     for t in range(BLOCK):
-        # nothing comes before the first word of a sequence
-        moved = np.where(start & (t == 0), message, message @ move)
+        moved = np.where(start, message, message @ move) if t == 0 else message @ move
         message = np.where(used[t], _scaled(moved * x[t]), message)
         ahead[t] = message
     message = after

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .exact_dedup import first_of_repeats
 from .shared import U64, Scratch, WordHashes, free_shuffles, gram_hashes, mix64, partitions
 from .substring_dedup import NULL_ID, chunks, safe_id
 
@@ -300,10 +301,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; of repeated rows of that id, one."""
-    kept = ngram_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    marked = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), docs["doc_id"].eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    return marked.select(*docs.columns)
+    """Of each component the document with the smallest id stays, with all its columns; of rows that repeat its id and text, one."""
+    kept = ngram_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("sha"), F.struct("*").alias("row"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return first_of_repeats(rows, "id", "sha").select("row.*")
 
 
 ORACLE_SQL = r"""

@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Labelled rows that the models are fitted on at most; the words taken as features; folds; the probability that rejects.
 MAX_TRAIN_ROWS = 4000
@@ -154,21 +153,29 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     return fit_chain([set(w) for w in got["words"]], got[list(CATEGORIES)].to_numpy(np.float64), CATEGORIES, folds)
 
 
-def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
-    """Adds `p_<category>` columns to (doc_id, text, ...); all 0 where there is no model."""
-    names = [f"p_{c}" for c in CATEGORIES]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+def probabilities(texts: pa.Array, chain: Chain | None) -> np.ndarray:
+    """Rows of probabilities in the order of CATEGORIES; all 0 where there is no model."""
+    if chain is None:
+        return np.zeros((len(texts), len(CATEGORIES)))
+    known = set(chain.features)
+    return chain.predict(design([known.intersection(_TOKEN.findall((t.as_py() or "").lower())) for t in texts], chain.features))
 
+
+def _score(chain: Chain | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = probabilities(batch.column("text"), chain)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in p.T)], names=["doc_id", *(f"p_{c}" for c in CATEGORIES)])
+
+    return run
+
+
+def _clean(chain: Chain | None, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if chain is None:
-                p = np.zeros((batch.num_rows, len(names)))
-            else:
-                known = set(chain.features)
-                p = chain.predict(design([known.intersection(_TOKEN.findall((t.as_py() or "").lower())) for t in batch.column("text")], chain.features))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in p.T)], names=[*batch.schema.names, *names])
+            yield batch.filter(pa.array(probabilities(batch.column(text_at), chain)[:, CATEGORIES.index("toxic")] < THRESHOLD))
 
-    return docs.mapInArrow(run, schema)
+    return run
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -181,7 +188,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS,
     chain = train(docs, labels, max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bad = F.col("p_toxic") >= threshold
-    return score(rows, chain).select("doc_id", "p_low_quality", "p_toxic", bad.cast("int").alias("toxic"), (~bad).alias("kept"))
+    scored = rows.mapInArrow(_score(chain), "doc_id long, p_low_quality double, p_toxic double")
+    return scored.select("doc_id", "p_low_quality", "p_toxic", bad.cast("int").alias("toxic"), (~bad).alias("kept"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,4 +199,4 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic, with all their columns."""
     chain = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, chain).filter(F.col("p_toxic") < THRESHOLD).select(*docs.columns)
+    return docs.mapInArrow(_clean(chain, docs.columns.index("text")), docs.schema)
