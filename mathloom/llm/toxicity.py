@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled rows that the models are fitted on at most; the words taken as features; folds; the probability that rejects.
+#: Labelled rows that the models are fitted on at most; the words taken as features for each category; folds; the probability that rejects.
 MAX_TRAIN_ROWS = 4000
-MAX_FEATURES = 200
+MAX_FEATURES = 150
 FOLDS = 5
 THRESHOLD = 0.5
+#: Letters at the beginning of a word that are features of their own.
+PREFIXES = (3, 4, 5)
 #: Order of the chain: a text's form is judged before its content.
 CATEGORIES = ("low_quality", "toxic")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+")
@@ -45,8 +47,9 @@ class Chain:
 
 
 def tokens(text: str | None) -> set[str]:
-    """Distinct lower-cased words and runs of punctuation of a text."""
-    return set(_TOKEN.findall((text or "").lower()))
+    """Distinct lower-cased words and runs of punctuation of a text, and their first letters, as insults are inflected."""
+    words = set(_TOKEN.findall((text or "").lower()))
+    return words.union(*({"^" + w[:n] for w in words if len(w) > n} for n in PREFIXES))
 
 
 def _with_earlier(x: np.ndarray, earlier: np.ndarray) -> np.ndarray:
@@ -57,7 +60,7 @@ def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 20) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 3e-5, rounds: int = 20) -> np.ndarray:
     """Weights (the last is the bias) by Newton steps on the regularised log loss."""
     w = np.zeros(x.shape[1])
     shrink = np.r_[np.full(x.shape[1] - 1, l2), 1e-6]
@@ -73,7 +76,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 2
 
 
 def choose_features(docs: list[set[str]], labels: np.ndarray, most: int) -> list[str]:
-    """Words whose document rates differ most between the classes of a category, in standard errors."""
+    """For each category the words whose document rates differ most between its classes, in standard errors."""
     index: dict[str, int] = {}
     rows, cols = [], []
     for i, words in enumerate(docs):
@@ -82,20 +85,25 @@ def choose_features(docs: list[set[str]], labels: np.ndarray, most: int) -> list
             cols.append(index.setdefault(w, len(index)))
     if not index:
         return []
-    rows, cols = np.array(rows), np.array(cols)
+    rows, cols, names = np.array(rows), np.array(cols), list(index)
     count = np.bincount(cols, minlength=len(index))
-    best = np.zeros(len(index))
+    # features that the very same documents have get the same mark; the first by name stands for all
+    mark = np.bincount(cols, weights=np.random.default_rng(1).random(len(docs))[rows], minlength=len(index))
+    chosen: dict[str, None] = {}
     for y in labels.T:
         n = np.array([(y == 0).sum(), (y == 1).sum()])
         if n.min() == 0:
             continue
-        pos = np.bincount(cols, weights=y[rows], minlength=len(index))
-        p = (count + 1) / (n.sum() + 2)
-        z = np.abs(pos / n[1] - (count - pos) / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
-        best = np.maximum(best, np.where(count >= _MIN_DOCS, z, 0))
-    names = list(index)
-    order = sorted(np.flatnonzero(best >= _MIN_Z), key=lambda i: (-best[i], names[i]))[:most]
-    return [names[i] for i in order]
+        pos = np.bincount(cols, weights=(y == 1)[rows], minlength=len(index))
+        neg = np.bincount(cols, weights=(y == 0)[rows], minlength=len(index))
+        p = (pos + neg + 1) / (n.sum() + 2)
+        z = np.abs(pos / n[1] - neg / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
+        seen: set[float] = set()
+        for i in sorted(np.flatnonzero((z >= _MIN_Z) & (count >= _MIN_DOCS)), key=lambda i: (-z[i], names[i])):
+            if mark[i] not in seen and len(seen) < most:
+                seen.add(mark[i])
+                chosen[names[i]] = None
+    return list(chosen)
 
 
 def design(docs: list[set[str]], features: list[str]) -> np.ndarray:
@@ -112,7 +120,7 @@ def fit_chain(docs: list[set[str]], labels: np.ndarray, categories: tuple[str, .
 
     labels: 0, 1 or NaN (not labelled for this category; the row is then not used for its model).
     """
-    features = choose_features(docs, np.nan_to_num(labels), max_features)
+    features = choose_features(docs, labels, max_features)
     x = design(docs, features)
     earlier, weights = np.zeros((len(docs), 0)), []
     for k in range(len(categories)):
@@ -157,8 +165,7 @@ def probabilities(texts: pa.Array, chain: Chain | None) -> np.ndarray:
     """Rows of probabilities in the order of CATEGORIES; all 0 where there is no model."""
     if chain is None:
         return np.zeros((len(texts), len(CATEGORIES)))
-    known = set(chain.features)
-    return chain.predict(design([known.intersection(_TOKEN.findall((t.as_py() or "").lower())) for t in texts], chain.features))
+    return chain.predict(design([tokens(t.as_py()) for t in texts], chain.features))
 
 
 def _score(chain: Chain | None):
