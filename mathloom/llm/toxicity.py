@@ -9,6 +9,7 @@ every text is scored whole.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,14 +22,14 @@ from pyspark.sql import functions as F
 MAX_TRAIN_ROWS = 4000
 MAX_FEATURES = 150
 FOLDS = 5
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 #: Letters at the beginning of a word that are features of their own.
 PREFIXES = (3, 4, 5)
 #: Order of the chain: a text's form is judged before its content.
 CATEGORIES = ("low_quality", "toxic")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+")
 #: Documents of the sample that a word must occur in, and the standard errors that its class rates must differ by.
-_MIN_DOCS, _MIN_Z = 5, 4.0
+_MIN_DOCS, _MIN_Z = 5, 6.0
 
 
 @dataclass
@@ -36,7 +37,7 @@ class Chain:
     """Features and, for each category in order, the weights of the features, the earlier categories and the bias."""
 
     categories: tuple[str, ...]
-    features: list[str]
+    features: np.ndarray
     weights: list[np.ndarray]
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -46,10 +47,16 @@ class Chain:
         return out
 
 
-def tokens(text: str | None) -> set[str]:
-    """Distinct lower-cased words and runs of punctuation of a text, and their first letters, as insults are inflected."""
+def hashed(words: set[str]) -> np.ndarray:
+    """Sorted 32-bit hashes."""
+    return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words)))
+
+
+def tokens(text: str | None) -> np.ndarray:
+    """Hashes of a text's distinct lower-cased words and runs of punctuation, and of their first letters, as insults are
+    inflected."""
     words = set(_TOKEN.findall((text or "").lower()))
-    return words.union(*({"^" + w[:n] for w in words if len(w) > n} for n in PREFIXES))
+    return hashed(words.union(*({"^" + w[:n] for w in words if len(w) > n} for n in PREFIXES)))
 
 
 def _with_earlier(x: np.ndarray, earlier: np.ndarray) -> np.ndarray:
@@ -60,9 +67,9 @@ def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 3e-5, rounds: int = 20) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float = 0.4, rounds: int = 20) -> np.ndarray:
     """Weights (the last is the bias) by Newton steps on the regularised log loss."""
-    w = np.zeros(x.shape[1])
+    w, l2 = np.zeros(x.shape[1]), prior / max(1, len(x))
     shrink = np.r_[np.full(x.shape[1] - 1, l2), 1e-6]
     for _ in range(rounds):
         p = _probability(x, w)
@@ -75,47 +82,41 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 3e-5, rounds: int = 2
     return w
 
 
-def choose_features(docs: list[set[str]], labels: np.ndarray, most: int) -> list[str]:
+def choose_features(docs: list[np.ndarray], labels: np.ndarray, most: int) -> np.ndarray:
     """For each category the words whose document rates differ most between its classes, in standard errors."""
-    index: dict[str, int] = {}
-    rows, cols = [], []
-    for i, words in enumerate(docs):
-        for w in words:
-            rows.append(i)
-            cols.append(index.setdefault(w, len(index)))
-    if not index:
-        return []
-    rows, cols, names = np.array(rows), np.array(cols), list(index)
-    count = np.bincount(cols, minlength=len(index))
-    # features that the very same documents have get the same mark; the first by name stands for all
-    mark = np.bincount(cols, weights=np.random.default_rng(1).random(len(docs))[rows], minlength=len(index))
-    chosen: dict[str, None] = {}
+    names, cols = np.unique(np.concatenate([np.empty(0, np.uint32), *docs]), return_inverse=True)
+    rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    count = np.bincount(cols, minlength=len(names))
+    # features that the very same documents have get the same mark; the first stands for all
+    mark = np.bincount(cols, weights=np.random.default_rng(1).random(len(docs))[rows], minlength=len(names))
+    chosen: set[int] = set()
     for y in labels.T:
         n = np.array([(y == 0).sum(), (y == 1).sum()])
         if n.min() == 0:
             continue
-        pos = np.bincount(cols, weights=(y == 1)[rows], minlength=len(index))
-        neg = np.bincount(cols, weights=(y == 0)[rows], minlength=len(index))
+        pos = np.bincount(cols, weights=(y == 1)[rows], minlength=len(names))
+        neg = np.bincount(cols, weights=(y == 0)[rows], minlength=len(names))
         p = (pos + neg + 1) / (n.sum() + 2)
         z = np.abs(pos / n[1] - neg / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
         seen: set[float] = set()
-        for i in sorted(np.flatnonzero((z >= _MIN_Z) & (count >= _MIN_DOCS)), key=lambda i: (-z[i], names[i])):
+        for i in sorted(np.flatnonzero((z >= _MIN_Z) & (count >= _MIN_DOCS)), key=lambda i: (-z[i], i)):
             if mark[i] not in seen and len(seen) < most:
                 seen.add(mark[i])
-                chosen[names[i]] = None
-    return list(chosen)
+                chosen.add(int(i))
+    return names[sorted(chosen)]
 
 
-def design(docs: list[set[str]], features: list[str]) -> np.ndarray:
-    where = {w: i for i, w in enumerate(features)}
+def design(docs: list[np.ndarray], features: np.ndarray) -> np.ndarray:
+    """Which document has which of the (sorted) features."""
     x = np.zeros((len(docs), len(features)))
     for i, words in enumerate(docs):
-        for w in words & where.keys():
-            x[i, where[w]] = 1
+        if len(features) and len(words):
+            at = np.minimum(np.searchsorted(features, words), len(features) - 1)
+            x[i, at[features[at] == words]] = 1
     return x
 
 
-def fit_chain(docs: list[set[str]], labels: np.ndarray, categories: tuple[str, ...], folds: np.ndarray, max_features: int = MAX_FEATURES) -> Chain:
+def fit_chain(docs: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...], folds: np.ndarray, max_features: int = MAX_FEATURES) -> Chain:
     """Fits the models in order; earlier probabilities come from models that didn't see the row's fold.
 
     labels: 0, 1 or NaN (not labelled for this category; the row is then not used for its model).
@@ -136,7 +137,7 @@ def fit_chain(docs: list[set[str]], labels: np.ndarray, categories: tuple[str, .
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = pa.array([sorted(tokens(t.as_py())) for t in batch.column("text")], pa.list_(pa.string()))
+        words = pa.array([tokens(t.as_py()).view(np.int32) for t in batch.column("text")], pa.list_(pa.int32()))
         keep = batch.drop_columns(["text"])
         yield pa.RecordBatch.from_arrays([*keep.columns, words], names=[*keep.schema.names, "words"])
 
@@ -152,13 +153,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     ids = docs.select(F.col("doc_id").cast("long").alias("label_id")).join(marked, "label_id").distinct()
     chosen = ids.orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)  # at most max_rows short rows: safe to broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "label_id")
-    schema = "label_id long, low_quality double, toxic double, words array<string>"
+    schema = "label_id long, low_quality double, toxic double, words array<int>"
     got = rows.select("label_id", *CATEGORIES, "text").mapInArrow(_tokenise, schema).toPandas()
     if got.empty:
         return None
     got = got.drop_duplicates("label_id").sort_values("label_id")
     folds = (got["label_id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % FOLDS
-    return fit_chain([set(w) for w in got["words"]], got[list(CATEGORIES)].to_numpy(np.float64), CATEGORIES, folds)
+    return fit_chain([np.asarray(w, np.int32).view(np.uint32) for w in got["words"]], got[list(CATEGORIES)].to_numpy(np.float64), CATEGORIES, folds)
 
 
 def probabilities(texts: pa.Array, chain: Chain | None) -> np.ndarray:
