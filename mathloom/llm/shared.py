@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -65,11 +67,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of stages whose results have been written to scratch tables."""
-    import gc
+    """Lets Spark's cleaner drop the shuffle files of plans whose results stand in scratch tables.
 
-    gc.collect()
-    spark._jvm.System.gc()
+    The cleaner follows the driver's garbage collection; the second turn finds what Python let go of in the first.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def letters_and_digits(text: str | None) -> bytes:

@@ -17,21 +17,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, WordHashes, cover, free_shuffles, gram_hashes, partitions
+from .shared import Scratch, WordHashes, cover, free_shuffles, gram_hashes, mix64, partitions
 
 WINDOW = 13
 #: Bytes of text that are turned into blocks at once; runs of the index that are compacted into one.
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 3_000_000
 MOST_RUNS = 4
 #: The id that stands for null: smaller than any other.
 NULL_ID = np.iinfo(np.int64).min
 
 #: kind 0: window hashes to be looked up; kind 1: windows already known to be owned by another document of the same block.
+#: In answers the bucket is a group of documents, or, with kind 2, a bucket of the index with its hashes.
 BLOCKS = "bucket long, kind int, ids binary, counts binary, hashes binary"
 _BLOCKS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
-#: kind 0: hashes of a document's windows that others own; kind 1: the hashes of a bucket, for the index.
-ANSWERS = "kind int, key long, hashes binary"
-_ANSWERS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("hashes", pa.binary())])
+OWNED = "doc_id long, hashes binary"
+_OWNED = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
 RUN = "bucket long, hashes binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
@@ -78,7 +78,7 @@ def pack(bucket: np.ndarray, doc: np.ndarray, hashes: np.ndarray, ids: np.ndarra
             yield int(bucket[a]), kind, np.diff(own, prepend=0).tobytes(), counts.astype(np.int32).tobytes(), hashes[a:b].tobytes()
 
 
-def unpack(table: pa.Table, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids and hashes of all entries of BLOCKS rows."""
     ids, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for own, counts, values in zip(*(table.column(c) for c in ("ids", "counts", "hashes"))):
@@ -129,22 +129,41 @@ def per_document(ids: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, byt
             yield int(ids[a]), hashes[a:b].tobytes()
 
 
-def _answer(blocks: pa.Table, runs: list[np.ndarray], keep: bool) -> pa.Table:
+def pack_answers(ids: np.ndarray, hashes: np.ndarray, n_groups: int) -> Iterator[tuple]:
+    """Rows of BLOCKS by group of documents."""
+    own, doc = np.unique(ids, return_inverse=True)
+    group = (mix64(own.view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
+    return pack(group[doc], doc, hashes, own, 0)
+
+
+def gather(blocks: pa.Table) -> pa.Table:
+    """All hashes of each document of a group: OWNED."""
+    rows = [*per_document(*unpack(blocks))]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 2, _OWNED)], schema=_OWNED)
+
+
+def as_table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_BLOCKS), _BLOCKS)], schema=_BLOCKS)
+
+
+def _answer(blocks: pa.Table, runs: list[np.ndarray], keep: bool, n_groups: int) -> pa.Table:
     kind = blocks.column("kind").to_numpy()
     told, asked = blocks.filter(pa.array(kind == 1)), blocks.filter(pa.array(kind == 0))
-    rows = [(0, i, h) for i, h in per_document(*unpack(told))]
+    told_ids, told_hashes = unpack(told)
     ids, hashes = unpack(asked)
+    rows: list[tuple] = []
     if len(hashes):
         order = np.lexsort((ids, hashes))
         owned = ids[order] > ids[by_owner(order, hashes)]
-        sorted_hashes = hashes[order]
+        ids, hashes = ids[order], hashes[order]
         for run in runs:  # both sides are sorted: a merge join
-            at = np.searchsorted(run, sorted_hashes)
-            owned |= run[np.minimum(at, len(run) - 1)] == sorted_hashes
-        rows += ((0, i, h) for i, h in per_document(ids[order][owned], sorted_hashes[owned]))
+            at = np.searchsorted(run, hashes)
+            owned |= run[np.minimum(at, len(run) - 1)] == hashes
         if keep:
-            rows.append((1, blocks.column("bucket")[0].as_py(), np.unique(sorted_hashes).tobytes()))
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, _ANSWERS)], schema=_ANSWERS)
+            rows.append((blocks.column("bucket")[0].as_py(), 2, b"", b"", np.unique(hashes).tobytes()))
+        ids, hashes = ids[owned], hashes[owned]
+    rows += pack_answers(np.concatenate([told_ids, ids]), np.concatenate([told_hashes, hashes]), n_groups)
+    return as_table(rows)
 
 
 def _runs_of(table: pa.Table) -> list[np.ndarray]:
@@ -161,31 +180,31 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.scratch = spark, Scratch(spark, "windows")
-        self.n_buckets = 2 * partitions(spark)
+        self.n_buckets, self.n_groups = 2 * partitions(spark), partitions(spark)
         self.runs: list[str] = []
         self.batches = 0
 
     def append(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """Looks up a batch (doc_id, text), then adds it as a run; keep=False leaves the index as it is, after the last batch.
 
-        Gives (doc_id, hashes): blocks of hashes of those windows of a document that the history has or that also start in a
-        document of the batch with a smaller id.
+        Gives blocks by groups of documents: the hashes of those windows of a document that the history has or that also start
+        in a document of the batch with a smaller id.
         """
-        n, self.batches = self.batches, self.batches + 1
+        n, n_groups, self.batches = self.batches, self.n_groups, self.batches + 1
         blocks = docs.mapInArrow(_emit(self.n_buckets), BLOCKS).groupBy("bucket")
         if self.runs:
             old = self.spark.read.schema(RUN).parquet(*(self.scratch.path(r) for r in self.runs))
-            answers = blocks.cogroup(old.groupBy("bucket")).applyInArrow(lambda new, runs: _answer(new, _runs_of(runs), keep), ANSWERS)
+            answers = blocks.cogroup(old.groupBy("bucket")).applyInArrow(lambda new, runs: _answer(new, _runs_of(runs), keep, n_groups), BLOCKS)
         else:
-            answers = blocks.applyInArrow(lambda new: _answer(new, [], keep), ANSWERS)
+            answers = blocks.applyInArrow(lambda new: _answer(new, [], keep, n_groups), BLOCKS)
         answers = self.scratch.save(answers, f"answers{n}")
         free_shuffles(self.spark)
         if keep:
-            self.scratch.save(answers.filter("kind = 1").select(F.col("key").alias("bucket"), "hashes"), f"run{n}")
+            self.scratch.save(answers.filter("kind = 2").select("bucket", "hashes"), f"run{n}")
             self.runs.append(f"run{n}")
             if len(self.runs) > MOST_RUNS:
                 self.compact()
-        return answers.filter("kind = 0").select(F.col("key").alias("doc_id"), "hashes")
+        return answers.filter("kind = 0")
 
     def compact(self) -> None:
         """Merges all runs into one; the old ones go only when the new one is complete."""
@@ -204,7 +223,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = split_words(text.as_py())
             gone = np.zeros(len(words), bool)
             if blocks.is_valid and len(words) >= WINDOW:
-                owned = np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in blocks.values])
+                owned = np.frombuffer(blocks.as_buffer(), np.uint64)
                 gone = cover(np.flatnonzero(np.isin(gram_hashes(cache.of(words), WINDOW), owned)), WINDOW, len(words))
             kept = b" ".join(w for w, g in zip(words, gone) if not g)
             rows.append((doc_id.as_py(), len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
@@ -215,8 +234,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_windows(docs: DataFrame, answers: DataFrame) -> DataFrame:
     """Takes out the words that an owned window covers: RESULT, a row per input row."""
-    own = answers.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("hashes").alias("blocks"))
-    rows = docs.join(own, docs["doc_id"] == own["key"], "left").select("doc_id", "text", "blocks")
+    own = answers.groupBy("bucket").applyInArrow(gather, OWNED).withColumnRenamed("doc_id", "key")
+    rows = docs.join(own, docs["doc_id"] == own["key"], "left").select("doc_id", "text", "hashes")
     return rows.mapInArrow(_remove, RESULT)
 
 
