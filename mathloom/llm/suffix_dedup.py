@@ -23,25 +23,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import U64, Scratch, cover, free_shuffles, mix64, partitions, true_runs
-from .substring_dedup import NULL_ID, by_owner, chunks, pack, per_document, safe_id, unpack
+from .shared import U64, Scratch, free_shuffles, mix64, partitions, true_runs
+from .substring_dedup import _BLOCKS, BLOCKS, NULL_ID, OWNED, as_table, chunks, gather, pack, pack_answers, safe_id, unpack
 
 WIDTH = 50
 GRAM = 20
 #: Bytes that are hashed at once.
 _PART = 1 << 20
 
-BLOCKS = "bucket long, kind int, ids binary, counts binary, hashes binary"
-_BLOCKS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
-ANSWER = "doc_id long, hashes binary"
-_ANSWER = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
 #: Stretches of one block of documents: ids and marks with counts, then per stretch name, place in its document and bytes.
 _BINARIES = ("ids", "marks", "counts", "hashes", "places", "lengths", "bytes")
 STRETCHES = "bucket long, kind int, " + ", ".join(f"{c} binary" for c in _BINARIES)
 _STRETCHES = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in _BINARIES)])
-#: Pairs of int64, first and last window that others own; the mark tells apart texts of one id.
-RANGES = "doc_id long, mark long, ranges binary"
-_RANGES = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("ranges", pa.binary())])
+#: Of a group of documents: ids and marks (which tell apart texts of one id) with counts, then pairs of int64, the first and last
+#: window of what others own.
+RANGES = "bucket long, ids binary, marks binary, counts binary, ranges binary"
+_RANGES = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("ids", "marks", "counts", "ranges"))])
+OWNED_RANGES = "doc_id long, mark long, ranges binary"
+_OWNED_RANGES = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("ranges", pa.binary())])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -149,20 +148,23 @@ def _emit_names(n_buckets: int):
     return run
 
 
-def _shared_names(blocks: pa.Table) -> pa.Table:
-    kind = blocks.column("kind").to_numpy()
-    rows = [*per_document(*unpack(blocks.filter(pa.array(kind == 1))))]
-    ids, names = unpack(blocks.filter(pa.array(kind == 0)))
-    known = unpack(blocks.filter(pa.array(kind == 2)))[1]
-    if len(names):
-        order = np.argsort(names, kind="stable")
-        v, d = names[order], ids[order]
-        first = np.concatenate(([True], v[1:] != v[:-1]))
-        starts = np.flatnonzero(first)
-        several = np.maximum.reduceat(d, starts) != np.minimum.reduceat(d, starts)
-        shared = several[np.cumsum(first) - 1] | np.isin(v, known)
-        rows += per_document(d[shared], v[shared])
-    return pa.Table.from_batches([_batch(rows, _ANSWER)])
+def _shared_names(n_groups: int):
+    def run(blocks: pa.Table) -> pa.Table:
+        kind = blocks.column("kind").to_numpy()
+        told_ids, told_names = unpack(blocks.filter(pa.array(kind == 1)))
+        ids, names = unpack(blocks.filter(pa.array(kind == 0)))
+        known = unpack(blocks.filter(pa.array(kind == 2)))[1]
+        if len(names):
+            order = np.argsort(names, kind="stable")
+            ids, names = ids[order], names[order]
+            first = np.concatenate(([True], names[1:] != names[:-1]))
+            starts = np.flatnonzero(first)
+            several = np.maximum.reduceat(ids, starts) != np.minimum.reduceat(ids, starts)
+            shared = several[np.cumsum(first) - 1] | np.isin(names, known)
+            ids, names = ids[shared], names[shared]
+        return as_table([*pack_answers(np.concatenate([told_ids, ids]), np.concatenate([told_names, names]), n_groups)])
+
+    return run
 
 
 def _emit_stretches(n_buckets: int):
@@ -177,8 +179,7 @@ def _emit_stretches(n_buckets: int):
             keep = np.zeros(len(names), bool)
             for k in range(len(ids)):
                 a, b = cuts[k], cuts[k + 1]
-                own = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)[int(order[k])].values])
-                keep[a:b] = np.isin(names[a:b], own)
+                keep[a:b] = np.isin(names[a:b], np.frombuffer(batch.column(3)[int(order[k])].as_buffer(), np.uint64))
             names, doc, at, count = names[keep], doc[keep], at[keep], count[keep]
             if not len(names):
                 continue
@@ -203,13 +204,31 @@ def _emit_stretches(n_buckets: int):
     return run
 
 
-def _ranges(ids: np.ndarray, marks: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    order = np.lexsort((marks, ids))
-    ids, marks, pairs = ids[order], marks[order], np.stack([first, last], 1)[order].astype(np.int64)
-    cuts = np.flatnonzero((np.diff(ids) != 0) | (np.diff(marks) != 0)) + 1
+def _ranges(ids: np.ndarray, marks: np.ndarray, first: np.ndarray, last: np.ndarray, n_groups: int) -> Iterator[tuple]:
+    """Rows of RANGES by group of documents."""
+    group = (mix64(ids.view(np.uint64)) % U64(n_groups)).astype(np.int64)
+    order = np.lexsort((marks, ids, group))
+    group, ids, marks, pairs = group[order], ids[order], marks[order], np.stack([first, last], 1)[order].astype(np.int64)
+    cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(ids)]):
         if b > a:
-            yield int(ids[a]), int(marks[a]), pairs[a:b].tobytes()
+            new = np.flatnonzero(np.concatenate(([True], (ids[a + 1 : b] != ids[a : b - 1]) | (marks[a + 1 : b] != marks[a : b - 1]))))
+            yield int(group[a]), ids[a:b][new].tobytes(), marks[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype(np.int32).tobytes(), pairs[a:b].tobytes()
+
+
+def _gather_ranges(table: pa.Table) -> pa.Table:
+    """All ranges of each text of a group of documents."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.int64))]
+    for columns in zip(*(table.column(c) for c in ("ids", "marks", "counts", "ranges"))):
+        ids, marks, counts, pairs = (c.as_buffer() for c in columns)
+        counts = np.frombuffer(counts, np.int32)
+        out.append((np.repeat(np.frombuffer(ids, np.int64), counts), np.repeat(np.frombuffer(marks, np.int64), counts), np.frombuffer(pairs, np.int64).reshape(-1, 2)))
+    ids, marks, pairs = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((marks, ids))
+    ids, marks, pairs = ids[order], marks[order], pairs[order]
+    cuts = np.flatnonzero((np.diff(ids) != 0) | (np.diff(marks) != 0)) + 1
+    rows = [(int(ids[a]), int(marks[a]), pairs[a:b].tobytes()) for a, b in zip([0, *cuts], [*cuts, len(ids)]) if b > a]
+    return pa.Table.from_batches([_batch(rows, _OWNED_RANGES)])
 
 
 def owned_windows(parts: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
@@ -234,7 +253,7 @@ def owned_windows(parts: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
     return [flags[s : s + max(0, n - WIDTH + 1)] for s, n in zip(starts, lengths)]
 
 
-def _owned(table: pa.Table) -> pa.Table:
+def _owned(table: pa.Table, n_groups: int) -> pa.Table:
     none = np.empty(0, np.int64)
     told, asked, names, parts = [[none] * 4], [[none] * 3], [np.empty(0, np.uint64)], []
     for kind, *columns in zip(table.column("kind"), *(table.column(c) for c in _BINARIES)):
@@ -250,7 +269,7 @@ def _owned(table: pa.Table) -> pa.Table:
             names.append(np.frombuffer(hashes, np.uint64))
             parts += [data[e - n : e] for e, n in zip(ends, lengths)]
     (ids, marks, places), names = (np.concatenate(x) for x in zip(*asked)), np.concatenate(names)
-    rows = [*_ranges(*(np.concatenate(x) for x in zip(*told)))]
+    found = told
     if parts:
         number: dict[bytes, int] = {}
         kinds = np.array([number.setdefault(p, len(number)) for p in parts])
@@ -258,7 +277,7 @@ def _owned(table: pa.Table) -> pa.Table:
         np.minimum.at(owner, kinds, ids)
         width = np.array([len(p) for p in parts]) - WIDTH
         whole = ids > owner[kinds]
-        found = [(ids[whole], marks[whole], places[whole], (places + width)[whole])]
+        found.append([ids[whole], marks[whole], places[whole], (places + width)[whole]])
         # names with different stretches: the first stretch of each kind, and then its windows
         name_of = np.zeros(len(number), np.uint64)
         name_of[kinds] = names
@@ -273,9 +292,8 @@ def _owned(table: pa.Table) -> pa.Table:
             for e in np.flatnonzero(mixed[kinds] & ~whole):
                 first, end = true_runs(flags[kinds[e]])
                 if len(first):
-                    found.append((np.full(len(first), ids[e]), np.full(len(first), marks[e]), places[e] + first, places[e] + end - 1))
-        rows += _ranges(*(np.concatenate(x) for x in zip(*found)))
-    return pa.Table.from_batches([_batch(rows, _RANGES)])
+                    found.append([np.full(len(first), ids[e]), np.full(len(first), marks[e]), places[e] + first, places[e] + end - 1])
+    return pa.Table.from_batches([_batch([*_ranges(*(np.concatenate(x) for x in zip(*found)), n_groups)], _RANGES)])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +303,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
             kept, removed, spans = data, 0, 0
             if blocks.is_valid:
-                pairs = np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in blocks.values]).reshape(-1, 2)
+                pairs = np.frombuffer(blocks.as_buffer(), np.int64).reshape(-1, 2)
                 delta = np.zeros(len(data) + 1, np.int64)
                 np.add.at(delta, pairs[:, 0], 1)
                 np.add.at(delta, pairs[:, 1] + WIDTH, -1)
@@ -306,19 +324,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    n_buckets = 2 * partitions(spark)
+    n_buckets, n_groups = 2 * partitions(spark), partitions(spark)
     rows = docs.select(safe_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = rows.withColumn("mark", F.xxhash64("text"))
-    names = scratch.save(rows.mapInArrow(_emit_names(n_buckets), BLOCKS).groupBy("bucket").applyInArrow(_shared_names, ANSWER), "names")
+    names = scratch.save(rows.mapInArrow(_emit_names(n_buckets), BLOCKS).groupBy("bucket").applyInArrow(_shared_names(n_groups), BLOCKS), "names")
     free_shuffles(spark)
-    own = names.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("hashes").alias("blocks"))
-    known = marked.join(own, marked["doc_id"] == own["key"]).select("doc_id", "mark", "text", "blocks")
-    ranges = scratch.save(known.mapInArrow(_emit_stretches(n_buckets), STRETCHES).groupBy("bucket").applyInArrow(_owned, RANGES), "ranges")
+    own = names.groupBy("bucket").applyInArrow(gather, OWNED).withColumnRenamed("doc_id", "key")
+    known = marked.join(own, marked["doc_id"] == own["key"]).select("doc_id", "mark", "text", "hashes")
+    ranges = scratch.save(known.mapInArrow(_emit_stretches(n_buckets), STRETCHES).groupBy("bucket").applyInArrow(lambda t: _owned(t, n_groups), RANGES), "ranges")
     free_shuffles(spark)
     scratch.drop("names")
-    gone = ranges.groupBy(F.col("doc_id").alias("key"), F.col("mark").alias("key_mark")).agg(F.collect_list("ranges").alias("blocks"))
+    gone = ranges.groupBy("bucket").applyInArrow(_gather_ranges, OWNED_RANGES).withColumnsRenamed({"doc_id": "key", "mark": "key_mark"})
     same = (marked["doc_id"] == gone["key"]) & (marked["mark"] == gone["key_mark"])
-    out = marked.join(gone, same, "left").select("doc_id", "text", "blocks").mapInArrow(_cut, RESULT)
+    out = marked.join(gone, same, "left").select("doc_id", "text", "ranges").mapInArrow(_cut, RESULT)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(int(NULL_ID))))
 
 
