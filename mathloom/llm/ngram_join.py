@@ -36,6 +36,8 @@ NUMERATOR, DENOMINATOR = 85, 100
 HOT_ROWS = 64
 TILE_ROWS = 1000
 TILE_COLUMNS = 2048
+#: Bits of the filter by which tasks skip documents that no pair or tile asks for (1 MB); what it lets through is joined exactly.
+FILTER_BITS = 1 << 23
 #: Frequent columns that tasks hold to order rows by: 16 bytes each. Others count as rare, which costs time, not links.
 MOST_FREQUENT = 200_000
 
@@ -151,12 +153,31 @@ def _multiply_columns(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PAIRS)], schema=_PAIRS)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
-    for batch in batches:
-        for ids, texts in chunks(batch):
-            grams = _all_grams(texts, cache)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([signature(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], names=["doc_id", "sig", "grams"])
+def _rows(wanted: dict[int, bytes]):
+    """Sets of the documents whose bit is set; `wanted` holds the bitmap by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, size = WordHashes(), 8 * max(map(len, wanted.values()), default=1)
+        for batch in batches:
+            place = batch.column(2).to_numpy() - 1
+            bucket, bit = place // size + 1, place % size
+            keep = [int(b) in wanted and bool(wanted[int(b)][x >> 3] >> (x & 7) & 1) for b, x in zip(bucket, bit)]
+            for ids, texts in chunks(batch.filter(pa.array(keep, pa.bool_()))):
+                grams = _all_grams(texts, cache)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([signature(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], names=["doc_id", "sig", "grams"])
+
+    return run
+
+
+def _place(c: str):
+    """The bit of an id, from 1 to FILTER_BITS."""
+    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+
+
+def _bitmap(ids: DataFrame) -> dict[int, bytes]:
+    """Bits of the ids by bucket: at most FILTER_BITS / 8 bytes, whatever the number of ids."""
+    bits = ids.select(_place("doc_id").alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    return {r["bucket"]: bytes(r["bits"]) for r in bits.collect()}
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -204,6 +225,8 @@ def _multiply_tiles(table: pa.Table) -> pa.Table:
     tile, side, sig, size, count = (table.column(c).to_numpy() for c in ("tile", "side", "sig", "n", "copies"))
     grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in table.column("grams")]
     order = np.lexsort((sig, side, tile))
+    a, b = order[1:], order[:-1]
+    order = order[np.concatenate(([True], (sig[a] != sig[b]) | (side[a] != side[b]) | (tile[a] != tile[b])))]  # repeated rows of a document
     cuts = np.flatnonzero(np.diff(tile[order])) + 1
     links, counts = [], {}
     for a, b in zip([0, *cuts], [*cuts, len(order)]):
@@ -275,16 +298,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     free_shuffles(spark)
     tiles = _tiles(pairs, scratch)
     scratch.drop("pairs", "cold")
-    wanted = tiles.select("sig").distinct().join(classes, "sig").select(F.col("first_id").alias("doc_id"), F.col("sig").alias("wanted"), "n", "copies")
-    whole = rows.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(_rows, ROWS).dropDuplicates(["doc_id", "sig"])
-    whole = whole.join(wanted.select("doc_id", F.col("wanted").alias("sig"), "n", "copies"), ["doc_id", "sig"])
-    whole = scratch.save(whole.select("sig", "n", "copies", "grams"), "rows")
-    free_shuffles(spark)
+    named = tiles.join(classes, "sig").select(F.col("first_id").alias("doc_id"), "sig", "n", "copies", "tile", "side")
+    named = scratch.save(named, "named-tiles")
+    whole = rows.withColumn("place", _place("doc_id")).mapInArrow(_rows(_bitmap(named)), ROWS)
     spread = F.pmod(F.xxhash64("tile"), F.lit(8 * n_buckets))
-    links = tiles.join(whole, "sig").withColumn("task", spread).groupBy("task").applyInArrow(_multiply_tiles, LINKS)
+    links = named.join(whole, ["doc_id", "sig"]).withColumn("task", spread).groupBy("task").applyInArrow(_multiply_tiles, LINKS)
     links = scratch.save(links, "links")
     free_shuffles(spark)
-    scratch.drop("rows", "tiles")
+    scratch.drop("named-tiles", "tiles")
     component = connected_components(links.filter("kind = 0"), scratch, "links")
     named = classes.join(component, classes["sig"] == component["node"], "left").select("sig", "first_id", "copies", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
