@@ -3,11 +3,11 @@
 Rows of the incidence matrix are the distinct n-gram sets (documents with equal sets are one row), columns are n-grams.
 Linked rows have nearly equal sizes and a large overlap, which allows to multiply little of the matrix:
 
-1. Columns are ordered from rare to frequent. Of n columns a row only needs its first n - ceil(t n) + 1, as linked rows must
-   share one of those. The products of these columns are summed up into counts for pairs of rows, in blocks of columns.
+1. Columns are ordered by hash, but those known to be in many rows come last. Of n columns a row only needs its first
+   n - ceil(t n) + 1, as linked rows must share one of those; as these are columns of small hashes, only such are counted. The products of these columns are summed up into counts for pairs of rows, in blocks of columns.
    A pair goes on if its sizes and its count still allow for the overlap that its sizes ask for.
 2. Columns with very many rows aren't multiplied there: rows that hang together by them are dealt out to tiles, blocks
-   of rows by blocks of rows.
+   of rows by blocks of rows, of sizes that can link.
 3. The whole rows of the pairs and tiles are multiplied, again in blocks of columns, and the exact overlaps compared with the
    bound.
 
@@ -17,6 +17,7 @@ isn't written out as pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +39,17 @@ TILE_ROWS = 1000
 TILE_COLUMNS = 2048
 #: Bits of the filter by which tasks skip documents that no pair or tile asks for (1 MB); what it lets through is joined exactly.
 FILTER_BITS = 1 << 23
-#: Frequent columns that tasks hold to order rows by: 16 bytes each. Others count as rare, which costs time, not links.
+#: Share of the hashes whose columns are counted; rows from which a column is frequent; frequent columns that tasks hold to
+#: order rows by, 16 bytes each. Any other column counts as rare, which costs time, not links.
+COUNTED = 0.3
+FREQUENT_ROWS = 16
 MOST_FREQUENT = 200_000
 
-#: kind 0: a document; kind 1: a column with the rows of a block that have it.
-SETS = "kind int, doc_id long, n long, sig long, size long"
-_SETS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("size", pa.int64())])
+#: kind 0: a document; kind 1: the columns of a block of documents with their numbers of rows.
+SETS = "bucket long, kind int, doc_id long, n long, sig long, columns binary, counts binary"
+_SETS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("columns", pa.binary()), ("counts", pa.binary())])
+#: kind 0: a document; kind 1: a frequent column (sig) with its number of rows (n).
+COUNTS = "kind int, doc_id long, n long, sig long"
 ENTRIES = "bucket long, columns binary, sigs binary, sizes binary"
 _ENTRIES = pa.schema([("bucket", pa.int64()), ("columns", pa.binary()), ("sigs", pa.binary()), ("sizes", pa.binary())])
 #: kind 0: a pair with the columns that it shares; kind 1: a row (a) of a hot column (b).
@@ -84,16 +90,36 @@ def _all_grams(texts: list[str | None], cache: WordHashes) -> list[np.ndarray]:
     return [grams_of(flat[e - len(w) : e]) for w, e in zip(words, ends)]
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
-    for batch in batches:
-        for ids, texts in chunks(batch):
-            grams = _all_grams(texts, cache)
-            sigs = [signature(g) for g in grams]
-            rows = [(0, int(i), len(g), s, 1) for i, g, s in zip(ids, grams, sigs)]
-            column, count = np.unique(np.concatenate([np.empty(0, np.uint64), *dict(zip(sigs, grams)).values()]), return_counts=True)
-            rows += ((1, None, None, c, n) for c, n in zip(column[count > 2].view(np.int64).tolist(), count[count > 2].tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SETS)], schema=_SETS)
+def _sets(n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, most = WordHashes(), U64(int(COUNTED * 2**64))
+        for batch in batches:
+            for ids, texts in chunks(batch):
+                grams = _all_grams(texts, cache)
+                sigs = [signature(g) for g in grams]
+                rows = [(int(k), 0, int(i), len(g), s, None, None) for k, i, g, s in zip(mix64(ids.view(np.uint64)) % U64(n_buckets), ids, grams, sigs)]
+                low = [g[: np.searchsorted(g, most)] for g in dict(zip(sigs, grams)).values()]
+                column, count = np.unique(np.concatenate([np.empty(0, np.uint64), *low]), return_counts=True)
+                bucket = (mix64(column) % U64(n_buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+                rows += ((k, 1, None, None, None, column[o].tobytes(), count[o].astype(np.int32).tobytes()) for k in range(n_buckets) if len(o := order[cuts[k] : cuts[k + 1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SETS)], schema=_SETS)
+
+    return run
+
+
+def _count_columns(table: pa.Table) -> pa.Table:
+    """The documents as they are, and the frequent ones of a bucket's columns."""
+    kind = table.column("kind").to_numpy()
+    blocks = table.filter(pa.array(kind == 1))
+    read = lambda c, t: np.concatenate([np.empty(0, t), *(np.frombuffer(x.as_buffer(), t) for x in blocks.column(c))])
+    column, where = np.unique(read("columns", np.uint64), return_inverse=True)
+    rows = np.bincount(where, read("counts", np.int32), len(column)).astype(np.int64)
+    column, rows = column[rows >= FREQUENT_ROWS].view(np.int64), rows[rows >= FREQUENT_ROWS]
+    documents = table.filter(pa.array(kind == 0)).select(["kind", "doc_id", "n", "sig"])
+    frequent = pa.table([pa.array(np.ones(len(column), np.int32)), pa.nulls(len(column), pa.int64()), pa.array(rows), pa.array(column)], schema=documents.schema)
+    return pa.concat_tables([documents, frequent])
 
 
 def rare_first(grams: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -246,24 +272,37 @@ def _multiply_tiles(table: pa.Table) -> pa.Table:
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    top = sets.filter("kind = 1").groupBy("sig").agg(F.sum("size").alias("rows")).orderBy(F.desc("rows"), "sig").limit(MOST_FREQUENT).toPandas()
+    top = sets.filter("kind = 1").select("sig", "n").orderBy(F.desc("n"), "sig").limit(MOST_FREQUENT).toPandas()
     column = top["sig"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(column)
-    return column[order], top["rows"].to_numpy(np.int64)[order]
+    return column[order], top["n"].to_numpy(np.int64)[order]
+
+
+def _dense(rows: DataFrame) -> DataFrame:
+    """Tiles of the groups' rows (sig, group, n). Rows that link are in the same band of sizes or in neighbouring ones."""
+    rows = rows.join(rows.groupBy("group").agg(F.count("*").alias("rows")), "group")
+    wide = math.log(DENOMINATOR / NUMERATOR) * 1.0001
+    band = F.when(F.col("rows") <= TILE_ROWS, 0).otherwise(F.floor(F.log("n") / wide)).cast("int")
+    rows = rows.withColumn("band", band)
+    n_blocks = rows.groupBy("group", "band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"))
+    rows = rows.join(n_blocks, ["group", "band"]).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))  # bands that a row is held against
+    others = n_blocks.select("group", F.col("band").alias("other_band"), F.col("blocks").alias("others"))
+    rows = rows.withColumn("other_band", F.col("band") + F.col("step")).join(others, ["group", "other_band"])
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    own, other = F.struct("band", "block"), F.struct(F.col("other_band").alias("band"), F.col("other").alias("block"))
+    tile = F.xxhash64(F.lit("rows"), "group", F.least(own, other), F.greatest(own, other))
+    side = F.when(own == other, 2).when(own < other, 0).otherwise(1)
+    return rows.select(tile.alias("tile"), side.alias("side"), "sig")
 
 
 def _tiles(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """What is multiplied whole: (tile, side, sig)."""
-    hot = pairs.filter("kind = 1").select("a", "b")
+    hot = pairs.filter("kind = 1").select("a", "b", "size_a")
     # rows that hang together by hot columns: a column is a node too, with a negative name
     edges = hot.select("a", (-1 - F.abs(F.xxhash64("b") / 2).cast("long")).alias("b"))
     group = connected_components(edges, scratch, "hot").filter("node >= 0").select(F.col("node").alias("sig"), F.col("component").alias("group"))
-    blocks = group.join(group.groupBy("group").agg(F.count("*").alias("rows")), "group")
-    n = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("sig"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    tile = F.xxhash64(F.lit("rows"), "group", F.least("block", "other"), F.greatest("block", "other"))
-    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    dense = blocks.select(tile.alias("tile"), side.alias("side"), "sig")
+    dense = _dense(group.join(hot.groupBy(F.col("a").alias("sig")).agg(F.first("size_a").alias("n")), "sig"))
     cold = pairs.filter("kind = 0").groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("shared").alias("shared"))
     bound = F.ceil(F.lit(NUMERATOR) * (F.col("size_a") + F.col("size_b")) / (NUMERATOR + DENOMINATOR))
     rest = lambda c: F.ceil(F.lit(NUMERATOR) * F.col(c) / DENOMINATOR) - 1
@@ -289,11 +328,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     rows = docs.select(safe_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = scratch.save(rows.mapInArrow(_sets, SETS), "sets")
+    n_buckets = 2 * partitions(spark)
+    sets = scratch.save(rows.mapInArrow(_sets(n_buckets), SETS).groupBy("bucket").applyInArrow(_count_columns, COUNTS), "sets")
+    free_shuffles(spark)
     frequent, counts = _frequent(sets)
     documents = sets.filter("kind = 0").select("doc_id", "n", "sig")
     classes = scratch.save(documents.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
-    n_buckets = 2 * partitions(spark)
     pairs = scratch.save(rows.mapInArrow(_entries(n_buckets, frequent, counts), ENTRIES).groupBy("bucket").applyInArrow(_multiply_columns, PAIRS), "pairs")
     free_shuffles(spark)
     tiles = _tiles(pairs, scratch)
