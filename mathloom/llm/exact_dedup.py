@@ -22,6 +22,10 @@ INDEX_SCHEMA = "bucket long, n long, cells binary, digests binary, winners binar
 GROUP_SCHEMA = "digest binary, keep_id long, group_size long"
 #: Digests of a bucket on average: a bucket's index row stays near 200 kB however large the history is.
 BUCKET_DIGESTS = 4096
+#: Digests of a displacement cell on average. Cells with one digest take what is left, so the fewer digests a cell has, the
+#: more slots are still free when the last cells with several are placed; with two, a seventh of them.
+KEYS_PER_CELL = 2
+_SEEDS_AT_ONCE = 64
 _NO_ID = np.iinfo(np.int64).min
 
 
@@ -50,7 +54,7 @@ def build_cells(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Displacement cells and each digest's slot, for an (n, 32) array of distinct digests."""
     n = len(digests)
     first, second, third = _words(np.ascontiguousarray(digests))
-    n_cells = n // 4 + 1
+    n_cells = n // KEYS_PER_CELL + 1
     cell = (third % np.uint64(n_cells)).astype(np.int64)
     members = np.split(np.argsort(cell, kind="stable"), np.cumsum(np.bincount(cell, minlength=n_cells))[:-1])
     cells, slot, taken = np.zeros(n_cells, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
@@ -58,14 +62,16 @@ def build_cells(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = members[c]
         if len(rows) < 2:
             break
-        seed = 1
+        seeds = np.arange(1, _SEEDS_AT_ONCE + 1, dtype=np.uint64)
         while True:
-            at = _slots(first[rows], second[rows], seed, n)
-            if not taken[at].any() and len(np.unique(at)) == len(at):
+            at = _slots(first[rows], second[rows], seeds[:, None], n)
+            apart = (np.diff(np.sort(at, axis=1), axis=1) > 0).all(axis=1)
+            fits = np.flatnonzero(apart & ~taken[at].any(axis=1))
+            if len(fits):
                 break
-            seed += 1
-        cells[c], slot[rows] = seed, at
-        taken[at] = True
+            seeds += np.uint64(_SEEDS_AT_ONCE)
+        cells[c], slot[rows] = seeds[fits[0]], at[fits[0]]
+        taken[slot[rows]] = True
     free = iter(np.flatnonzero(~taken))
     for c in range(n_cells):
         if len(members[c]) == 1:
