@@ -5,11 +5,15 @@ Sums are aggregations, products and comparisons are joins on the id; no row has
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 COEFF = "decimal(38,0)"
+#: Numbers of a block of the sieve.
+SIEVE_BLOCK = 1 << 14
 
 
 def normalise(terms: DataFrame, key: str = "poly_id", modulus: int | None = None) -> DataFrame:
@@ -179,8 +183,27 @@ def primes_below(spark, n: int) -> DataFrame:
     return numbers.join(multiples, "prime", "left_anti")
 
 
-def prime_factors(n: Column, primes: list[int]) -> Column:
-    """Sorted prime factors with multiplicity, by trial division; what is left over at the end is a factor if above 1."""
+def prime_divisors(numbers: DataFrame, column: str) -> DataFrame:
+    """(column, primes): all primes up to the root of the largest number that divide a number; numbers without one are left out.
+
+    A segmented sieve: within each block that holds a number the multiples of every prime are written out and joined.
+    """
+    own = numbers.select(column).filter(F.col(column) > 1).distinct()
+    largest = own.agg(F.max(column)).first()[0] or 1
+    primes = primes_below(numbers.sparkSession, math.isqrt(largest) + 1)
+    blocks = own.select(F.floor(F.col(column) / SIEVE_BLOCK).cast("long").alias("block")).distinct()
+    low, high = F.col("block") * SIEVE_BLOCK, (F.col("block") + 1) * SIEVE_BLOCK - 1
+    steps = F.sequence(F.floor((low + F.col("prime") - 1) / F.col("prime")), F.floor(high / F.col("prime")))
+    pairs = blocks.crossJoin(F.broadcast(primes)).filter(F.floor(high / F.col("prime")) * F.col("prime") >= low)
+    multiples = pairs.select("prime", F.explode(steps).alias("step")).select("prime", (F.col("prime") * F.col("step")).alias(column))
+    return own.join(multiples, column).groupBy(column).agg(F.array_sort(F.collect_set("prime")).alias("primes"))
+
+
+def prime_factors(n: Column, primes: list[int] | Column) -> Column:
+    """Sorted prime factors with multiplicity, by trial division; what is left over at the end is a factor if above 1.
+
+    That is a prime if the primes hold all divisors up to the root of n.
+    """
     start = F.struct(n.cast("long").alias("left"), F.array().cast("array<long>").alias("found"))
 
     def divide(s: Column, p: Column) -> Column:
@@ -189,7 +212,8 @@ def prime_factors(n: Column, primes: list[int]) -> Column:
         k = F.coalesce(F.array_max(powers), F.lit(0))
         return F.struct((s["left"] / F.pow(p.cast("double"), k)).cast("long").alias("left"), F.concat(s["found"], F.array_repeat(p.cast("long"), k)).alias("found"))
 
-    end = F.aggregate(F.array(*(F.lit(p).cast("long") for p in primes)), start, divide)
+    known = primes if isinstance(primes, Column) else F.array(*(F.lit(p).cast("long") for p in primes))
+    end = F.aggregate(known, start, divide)
     return F.when(end["left"] > 1, F.concat(end["found"], F.array(end["left"]))).otherwise(end["found"])
 
 

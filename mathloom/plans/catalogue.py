@@ -496,10 +496,11 @@ WITH RECURSIVE f AS (SELECT p_partkey AS n, p_partkey + 2 AS rest, 2 AS d, [] ::
 SELECT n AS p_partkey, array_to_string(CASE WHEN rest > 1 THEN list_append(found, rest) ELSE found END, ' | ') AS factors FROM f WHERE d * d > rest
 """)
 def int_factor(spark, read):
-    """Prime factors of all part numbers plus 2; numbers below 10 000 times the square of the largest prime used are complete."""
-    primes = [r[0] for r in polynomials.primes_below(spark, 160).orderBy("prime").collect()]
-    factors = polynomials.prime_factors(F.col("p_partkey") + 2, primes)
-    return read("part").select("p_partkey", nested.to_text(nested.flat(factors)).alias("factors"))
+    """Prime factors of all part numbers plus 2."""
+    rows = read("part").select("p_partkey", (F.col("p_partkey") + 2).cast("long").alias("n"))
+    rows = rows.join(polynomials.prime_divisors(rows, "n"), "n", "left")
+    factors = polynomials.prime_factors(F.col("n"), F.coalesce("primes", F.array().cast("array<long>")))
+    return rows.select("p_partkey", nested.to_text(nested.flat(factors)).alias("factors"))
 
 
 @query("""

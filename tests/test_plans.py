@@ -184,3 +184,19 @@ def test_the_rest_works_without_the_training_data_package():
     for p in pathlib.Path(catalogue.__file__).parents[1].rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"\bllm\b", p.read_text()), p
+
+
+def test_factors_of_large_part_numbers(spark, tmp_path):
+    def brute(n):
+        out, d = [], 2
+        while d * d <= n:
+            while n % d == 0:
+                out.append(d)
+                n //= d
+            d += 1
+        return out + [n] * (n > 1)
+
+    numbers = [2, 3, 163 * 163, 163 * 167, 167**2 * 2, 16384, 16387, 101 * 103 * 107, 9973**2, 99_999_989, 163 * 163]
+    spark.createDataFrame([(n - 2,) for n in numbers], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    got = [(r["p_partkey"], r["factors"]) for r in catalogue.QUERIES["int_factor"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((n - 2, " | ".join(map(str, brute(n)))) for n in numbers)
