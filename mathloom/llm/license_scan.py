@@ -45,7 +45,7 @@ class Notice:
         self.edits = n // BYTES_PER_EDIT
         cuts = [n * i // (self.edits + 1) for i in range(self.edits + 2)]
         self.seeds = [(a, self.phrase[a:b]) for a, b in zip(cuts, cuts[1:])]
-        self.verify = regex.compile(rb"(?b)(?<= )(?:%b){e<=%d}(?= )" % (regex.escape(self.phrase), self.edits))
+        self.verify = regex.compile(rb"(?b)(?:%b){e<=%d}" % (regex.escape(self.phrase), self.edits))
         self.digits = sorted(c for c in self.phrase if 48 <= c <= 57)
 
 
@@ -60,21 +60,33 @@ def places(text: bytes, part: bytes) -> Iterator[int]:
 def fuzzy_spans(text: bytes, notice: Notice) -> list[tuple[int, int, int]]:
     """(start, end, edits) of the notice's matches in a text of words between single spaces.
 
-    Digits must be the phrase's own: another version number is another license.
+    Digits must be the phrase's own: another version number is another license. Every stretch of whole words around a seed is
+    verified by itself; of matches that overlap, the one with the fewest edits counts.
     """
-    margin, n = notice.edits + 1, len(notice.phrase)
-    windows: list[list[int]] = []
-    for low, high in sorted({(max(0, at - offset - margin), at - offset + n + margin) for offset, seed in notice.seeds for at in places(text, seed)}):
-        if windows and low <= windows[-1][1]:
-            windows[-1][1] = max(high, windows[-1][1])
-        else:
-            windows.append([low, high])
-    found = []
-    for low, high in windows:
-        for m in notice.verify.finditer(text, low, min(high, len(text))):
-            if sorted(c for c in m[0] if 48 <= c <= 57) == notice.digits:
-                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-    return found
+    k, n = notice.edits, len(notice.phrase)
+    found = {}
+    for low in {at - offset for offset, seed in notice.seeds for at in places(text, seed)}:
+        ends = [e for e in range(max(low + n - 2 * k, 1), min(low + n + 2 * k, len(text) - 1) + 1) if text[e] == 32]
+        for start in range(max(low - k, 1), low + k + 1):
+            if text[start - 1 : start] != b" ":
+                continue
+            for end in ends:
+                if (start, end) not in found and abs(end - start - n) <= k:
+                    found[start, end] = _edits(text[start:end], notice)
+    out, taken = [], bytearray(len(text))
+    for start, end, edits in sorted(((a, b, e) for (a, b), e in found.items() if e is not None), key=lambda m: (m[2], abs(m[1] - m[0] - n), m[0])):
+        if not any(taken[start:end]):
+            taken[start:end] = b"\1" * (end - start)
+            out.append((start, end, edits))
+    return sorted(out)
+
+
+def _edits(part: bytes, notice: Notice) -> int | None:
+    """Edits between the notice and these words, None beyond its bound or with other digits."""
+    if sorted(c for c in part if 48 <= c <= 57) != notice.digits:
+        return None
+    m = notice.verify.fullmatch(part)
+    return sum(m.fuzzy_counts) if m else None
 
 
 def scan_text(text: str | None, base: tuple = BASE, notices: list[Notice] | None = None) -> tuple:

@@ -139,3 +139,35 @@ def test_candidates_share_a_seed():
     items = decontaminate.Items([1], [ITEM], hashes)
     assert decontaminate.leaks_of("x " + " ".join(ITEM.split()[:5]), items, hashes) == []
     assert len(decontaminate.leaks_of(" ".join(ITEM.split()[:9]), items, hashes)) == 1
+
+
+def brute_spans(text, notice):
+    """Stretches of whole words within the notice's bound; of those that overlap, the one with the fewest edits."""
+    cuts, n = [i for i, c in enumerate(text) if c == " "], len(notice.phrase)
+    close = [(a + 1, b) for a in cuts for b in cuts if abs(b - a - 1 - n) <= notice.edits and b > a]
+    close = [(edits(notice.phrase.decode(), text[a:b]), abs(b - a - n), a, b) for a, b in close if sorted(filter(str.isdigit, text[a:b])) == sorted(map(chr, notice.digits))]
+    out = []
+    for e, _, a, b in sorted(close):
+        if e <= notice.edits and all(b <= x or y <= a for x, y, _ in out):
+            out.append((a, b, e))
+    return sorted(out)
+
+
+def test_neighbouring_notices_are_all_found():
+    notices = {n.label: n for n in license_scan._notices()}
+    assert len(license_scan.fuzzy_spans(b" under the mt license under the mit license ", notices["mit"])) == 2
+    assert len(license_scan.fuzzy_spans(b" under the mt license under the mit license under th mit license under the mit licence ", notices["mit"])) == 4
+    assert license_scan.scan_text("apche licens version 2 apache license version 3")[5] == "apache-2"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 6), st.lists(st.tuples(st.integers(0, 10), st.integers(0, 30), st.sampled_from("xq 23")), min_size=1, max_size=8), st.sampled_from([" ", " a ", " 2 "]))
+def test_spans_of_notices_in_a_row(which, changes, between):
+    phrase, label = (license_scan.BASE + license_scan.MORE)[which]
+    copies = []
+    for kind, at, c in changes:
+        at %= len(phrase)
+        copies.append(phrase if kind > 7 else phrase[:at] + (c if kind < 3 else c + phrase[at] if kind < 6 else "") + phrase[at + 1 :])
+    text = " " + " ".join(between.join(copies).split()) + " "
+    notice = license_scan.Notice(phrase.encode(), label)
+    assert license_scan.fuzzy_spans(text.encode(), notice) == brute_spans(text, notice)
