@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,18 @@ from .exact_dedup import first_of_repeats
 from .shared import U64, Scratch, WordHashes, free_shuffles, gram_hashes, mix64, partitions
 from .substring_dedup import NULL_ID, chunks, safe_id
 
-N = 4
-#: Two sets link when DENOMINATOR * overlap >= NUMERATOR * union.
-NUMERATOR, DENOMINATOR = 85, 100
+
+@dataclass(frozen=True)
+class Rule:
+    """Words of an n-gram; two sets link when denominator * overlap >= numerator * union."""
+
+    n: int
+    numerator: int
+    denominator: int = 100
+
+
+#: What op3_ngram_join and what the pipeline's stage hold near copies by.
+QUERY, STAGE = Rule(4, 85), Rule(5, 80)
 #: Rows of a column from which it is left to the tiles; rows of a tile's side; columns multiplied at once.
 HOT_ROWS = 64
 TILE_ROWS = 1000
@@ -61,9 +71,9 @@ LINKS = "kind int, a long, b long"
 _LINKS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def grams_of(words: np.ndarray) -> np.ndarray:
+def grams_of(words: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct n-gram hashes of a document's word hashes; of fewer words the whole sequence is one n-gram."""
-    return np.unique(gram_hashes(words, min(N, len(words)))) if len(words) else np.empty(0, np.uint64)
+    return np.unique(gram_hashes(words, min(n, len(words)))) if len(words) else np.empty(0, np.uint64)
 
 
 def signature(grams: np.ndarray) -> int:
@@ -74,28 +84,28 @@ def signature(grams: np.ndarray) -> int:
     return int(gram_hashes(both, 2)[0] >> U64(1))
 
 
-def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def needed(a: np.ndarray, b: np.ndarray, rule: Rule) -> np.ndarray:
     """The smallest overlap with which sets of these sizes link."""
-    return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
+    return -(-rule.numerator * (a + b) // (rule.numerator + rule.denominator))
 
 
-def first_columns(n):
+def first_columns(n, rule: Rule):
     """Columns that a row of this size needs in step 1."""
-    return n - -(-NUMERATOR * n // DENOMINATOR) + 1
+    return n - -(-rule.numerator * n // rule.denominator) + 1
 
 
-def _all_grams(texts: list[str | None], cache: WordHashes) -> list[np.ndarray]:
+def _all_grams(texts: list[str | None], cache: WordHashes, n: int) -> list[np.ndarray]:
     words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
     flat, ends = cache.of([w for own in words for w in own]), np.cumsum([len(w) for w in words])
-    return [grams_of(flat[e - len(w) : e]) for w, e in zip(words, ends)]
+    return [grams_of(flat[e - len(w) : e], n) for w, e in zip(words, ends)]
 
 
-def _sets(n_buckets: int):
+def _sets(n_buckets: int, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, most = WordHashes(), U64(int(COUNTED * 2**64))
         for batch in batches:
             for ids, texts in chunks(batch):
-                grams = _all_grams(texts, cache)
+                grams = _all_grams(texts, cache, rule.n)
                 sigs = [signature(g) for g in grams]
                 rows = [(int(k), 0, int(i), len(g), s, None, None) for k, i, g, s in zip(mix64(ids.view(np.uint64)) % U64(n_buckets), ids, grams, sigs)]
                 low = [g[: np.searchsorted(g, most)] for g in dict(zip(sigs, grams)).values()]
@@ -130,15 +140,15 @@ def rare_first(grams: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> n
     return grams[np.argsort(np.where(frequent[at] == grams, counts[at], 0), kind="stable")]
 
 
-def _entries(n_buckets: int, frequent: np.ndarray, counts: np.ndarray):
+def _entries(n_buckets: int, frequent: np.ndarray, counts: np.ndarray, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             for _, texts in chunks(batch):
-                rows = {signature(g): g for g in _all_grams(texts, cache) if len(g)}
+                rows = {signature(g): g for g in _all_grams(texts, cache, rule.n) if len(g)}
                 if not rows:
                     continue
-                first = [rare_first(g, frequent, counts)[: first_columns(len(g))] for g in rows.values()]
+                first = [rare_first(g, frequent, counts)[: first_columns(len(g), rule)] for g in rows.values()]
                 lengths = [len(f) for f in first]
                 column = np.concatenate(first)
                 sig, size = np.repeat(np.array(list(rows), np.int64), lengths), np.repeat(np.array([len(g) for g in rows.values()], np.int32), lengths)
@@ -151,35 +161,39 @@ def _entries(n_buckets: int, frequent: np.ndarray, counts: np.ndarray):
     return run
 
 
-def _multiply_columns(table: pa.Table) -> pa.Table:
+def _multiply_columns(rule: Rule):
     """Products of one bucket's columns, summed up for pairs of rows; hot columns are passed on."""
-    column, sig, size = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("columns", np.uint64), ("sigs", np.int64), ("sizes", np.int32)))
-    order = np.lexsort((sig, column))
-    column, sig, size = column[order], sig[order], size[order].astype(np.int64)
-    new = np.concatenate(([True], (column[1:] != column[:-1]) | (sig[1:] != sig[:-1])))  # a set found in two blocks is one row
-    column, sig, size = column[new], sig[new], size[new]
-    starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
-    n = np.diff(np.append(starts, len(column)))
-    out = [(np.empty(0, np.int64),) * 4]
-    for width in np.unique(n[(n > 1) & (n < HOT_ROWS)]):
-        at = starts[n == width]
-        i, j = np.triu_indices(width, 1)
-        a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-        fits = DENOMINATOR * np.minimum(size[a], size[b]) >= NUMERATOR * np.maximum(size[a], size[b])
-        a, b = a[fits], b[fits]
-        out.append((sig[a], sig[b], size[a], size[b]))
-    a, b, size_a, size_b = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((b, a))
-    a, b, size_a, size_b = a[order], b[order], size_a[order], size_b[order]
-    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
-    shared = np.diff(np.append(first, len(a)))
-    hot = np.repeat(n >= HOT_ROWS, n)
-    zero, ones = np.zeros(hot.sum(), np.int64), np.ones(hot.sum(), np.int64)
-    columns = (np.concatenate([np.zeros(len(first), np.int32), ones.astype(np.int32)]), np.concatenate([a[first], sig[hot]]), np.concatenate([b[first], column[hot].view(np.int64)]), np.concatenate([size_a[first], size[hot]]), np.concatenate([size_b[first], zero]), np.concatenate([shared, zero]))
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PAIRS)], schema=_PAIRS)
-
-
-def _rows(wanted: dict[int, bytes]):
+
+    def run(table: pa.Table) -> pa.Table:
+        column, sig, size = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("columns", np.uint64), ("sigs", np.int64), ("sizes", np.int32)))
+        order = np.lexsort((sig, column))
+        column, sig, size = column[order], sig[order], size[order].astype(np.int64)
+        new = np.concatenate(([True], (column[1:] != column[:-1]) | (sig[1:] != sig[:-1])))  # a set found in two blocks is one row
+        column, sig, size = column[new], sig[new], size[new]
+        starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
+        n = np.diff(np.append(starts, len(column)))
+        out = [(np.empty(0, np.int64),) * 4]
+        for width in np.unique(n[(n > 1) & (n < HOT_ROWS)]):
+            at = starts[n == width]
+            i, j = np.triu_indices(width, 1)
+            a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            fits = rule.denominator * np.minimum(size[a], size[b]) >= rule.numerator * np.maximum(size[a], size[b])
+            a, b = a[fits], b[fits]
+            out.append((sig[a], sig[b], size[a], size[b]))
+        a, b, size_a, size_b = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((b, a))
+        a, b, size_a, size_b = a[order], b[order], size_a[order], size_b[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
+        shared = np.diff(np.append(first, len(a)))
+        hot = np.repeat(n >= HOT_ROWS, n)
+        zero, ones = np.zeros(hot.sum(), np.int64), np.ones(hot.sum(), np.int64)
+        columns = (np.concatenate([np.zeros(len(first), np.int32), ones.astype(np.int32)]), np.concatenate([a[first], sig[hot]]), np.concatenate([b[first], column[hot].view(np.int64)]), np.concatenate([size_a[first], size[hot]]), np.concatenate([size_b[first], zero]), np.concatenate([shared, zero]))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PAIRS)], schema=_PAIRS)
+
+    return run
+
+
+def _rows(wanted: dict[int, bytes], rule: Rule):
     """Sets of the documents whose bit is set; `wanted` holds the bitmap by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +203,7 @@ def _rows(wanted: dict[int, bytes]):
             bucket, bit = place // size + 1, place % size
             keep = [int(b) in wanted and bool(wanted[int(b)][x >> 3] >> (x & 7) & 1) for b, x in zip(bucket, bit)]
             for ids, texts in chunks(batch.filter(pa.array(keep, pa.bool_()))):
-                grams = _all_grams(texts, cache)
+                grams = _all_grams(texts, cache, rule.n)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([signature(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], names=["doc_id", "sig", "grams"])
 
     return run
@@ -246,29 +260,33 @@ def forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
             ahead += [(1 - side, int(j)) for j in new]
 
 
-def _multiply_tiles(table: pa.Table) -> pa.Table:
+def _multiply_tiles(rule: Rule):
     """Exact overlaps within tiles. side 0 rows are held against side 1 rows; side 2 rows against each other."""
-    tile, side, sig, size, count = (table.column(c).to_numpy() for c in ("tile", "side", "sig", "n", "copies"))
-    grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in table.column("grams")]
-    order = np.lexsort((sig, side, tile))
-    a, b = order[1:], order[:-1]
-    order = order[np.concatenate(([True], (sig[a] != sig[b]) | (side[a] != side[b]) | (tile[a] != tile[b])))]  # repeated rows of a document
-    cuts = np.flatnonzero(np.diff(tile[order])) + 1
-    links, counts = [], {}
-    for a, b in zip([0, *cuts], [*cuts, len(order)]):
-        own = order[a:b]
-        left, right = own[side[own] != 1], own[side[own] != 0]
-        if not len(left) or not len(right):
-            continue
-        total = overlaps([grams[i] for i in left], [grams[i] for i in right])
-        linked = total >= needed(size[left][:, None], size[right][None, :])
-        linked &= sig[left][:, None] != sig[right][None, :]
-        links += ((0, int(sig[left[i]]), int(sig[right[j]])) for i, j in forest(linked))
-        for s, c in zip((*sig[left], *(() if side[own[0]] == 2 else sig[right])), (*(linked @ count[right]), *(() if side[own[0]] == 2 else linked.T @ count[left]))):
-            if c:
-                counts[int(s)] = counts.get(int(s), 0) + int(c)
-    rows = [*links, *((1, s, c) for s, c in counts.items())]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, _LINKS)], schema=_LINKS)
+
+    def run(table: pa.Table) -> pa.Table:
+        tile, side, sig, size, count = (table.column(c).to_numpy() for c in ("tile", "side", "sig", "n", "copies"))
+        grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in table.column("grams")]
+        order = np.lexsort((sig, side, tile))
+        a, b = order[1:], order[:-1]
+        order = order[np.concatenate(([True], (sig[a] != sig[b]) | (side[a] != side[b]) | (tile[a] != tile[b])))]  # repeated rows of a document
+        cuts = np.flatnonzero(np.diff(tile[order])) + 1
+        links, counts = [], {}
+        for a, b in zip([0, *cuts], [*cuts, len(order)]):
+            own = order[a:b]
+            left, right = own[side[own] != 1], own[side[own] != 0]
+            if not len(left) or not len(right):
+                continue
+            total = overlaps([grams[i] for i in left], [grams[i] for i in right])
+            linked = total >= needed(size[left][:, None], size[right][None, :], rule)
+            linked &= sig[left][:, None] != sig[right][None, :]
+            links += ((0, int(sig[left[i]]), int(sig[right[j]])) for i, j in forest(linked))
+            for s, c in zip((*sig[left], *(() if side[own[0]] == 2 else sig[right])), (*(linked @ count[right]), *(() if side[own[0]] == 2 else linked.T @ count[left]))):
+                if c:
+                    counts[int(s)] = counts.get(int(s), 0) + int(c)
+        rows = [*links, *((1, s, c) for s, c in counts.items())]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, _LINKS)], schema=_LINKS)
+
+    return run
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -278,10 +296,10 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return column[order], top["n"].to_numpy(np.int64)[order]
 
 
-def _dense(rows: DataFrame) -> DataFrame:
+def _dense(rows: DataFrame, rule: Rule) -> DataFrame:
     """Tiles of the groups' rows (sig, group, n). Rows that link are in the same band of sizes or in neighbouring ones."""
     rows = rows.join(rows.groupBy("group").agg(F.count("*").alias("rows")), "group")
-    wide = math.log(DENOMINATOR / NUMERATOR) * 1.0001
+    wide = math.log(rule.denominator / rule.numerator) * 1.0001
     band = F.when(F.col("rows") <= TILE_ROWS, 0).otherwise(F.floor(F.log("n") / wide)).cast("int")
     rows = rows.withColumn("band", band)
     n_blocks = rows.groupBy("group", "band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"))
@@ -296,16 +314,16 @@ def _dense(rows: DataFrame) -> DataFrame:
     return rows.select(tile.alias("tile"), side.alias("side"), "sig")
 
 
-def _tiles(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+def _tiles(pairs: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
     """What is multiplied whole: (tile, side, sig)."""
     hot = pairs.filter("kind = 1").select("a", "b", "size_a")
     # rows that hang together by hot columns: a column is a node too, with a negative name
     edges = hot.select("a", (-1 - F.abs(F.xxhash64("b") / 2).cast("long")).alias("b"))
     group = connected_components(edges, scratch, "hot").filter("node >= 0").select(F.col("node").alias("sig"), F.col("component").alias("group"))
-    dense = _dense(group.join(hot.groupBy(F.col("a").alias("sig")).agg(F.first("size_a").alias("n")), "sig"))
+    dense = _dense(group.join(hot.groupBy(F.col("a").alias("sig")).agg(F.first("size_a").alias("n")), "sig"), rule)
     cold = pairs.filter("kind = 0").groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("shared").alias("shared"))
-    bound = F.ceil(F.lit(NUMERATOR) * (F.col("size_a") + F.col("size_b")) / (NUMERATOR + DENOMINATOR))
-    rest = lambda c: F.ceil(F.lit(NUMERATOR) * F.col(c) / DENOMINATOR) - 1
+    bound = F.ceil(F.lit(rule.numerator) * (F.col("size_a") + F.col("size_b")) / (rule.numerator + rule.denominator))
+    rest = lambda c: F.ceil(F.lit(rule.numerator) * F.col(c) / rule.denominator) - 1
     # what two rows share lies in their first columns, or in the rest of the row whose first columns end earlier
     cold = cold.join(group.select(F.col("sig").alias("a"), F.col("group").alias("group_a")), "a", "left").join(group.select(F.col("sig").alias("b"), F.col("group").alias("group_b")), "b", "left")
     apart = F.coalesce(F.col("group_a") != F.col("group_b"), F.lit(True))
@@ -317,7 +335,7 @@ def _tiles(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(dense.unionByName(single), "tiles")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = QUERY) -> DataFrame:
     """A row per input row: doc_id, n_shingles (size of its set), n_links (other rows that it links with), component_id (smallest id
     that links lead to, itself included).
 
@@ -329,20 +347,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch = Scratch(spark, "ngrams")
     rows = docs.select(safe_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_buckets = 2 * partitions(spark)
-    sets = scratch.save(rows.mapInArrow(_sets(n_buckets), SETS).groupBy("bucket").applyInArrow(_count_columns, COUNTS), "sets")
+    sets = scratch.save(rows.mapInArrow(_sets(n_buckets, rule), SETS).groupBy("bucket").applyInArrow(_count_columns, COUNTS), "sets")
     free_shuffles(spark)
     frequent, counts = _frequent(sets)
     documents = sets.filter("kind = 0").select("doc_id", "n", "sig")
     classes = scratch.save(documents.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
-    pairs = scratch.save(rows.mapInArrow(_entries(n_buckets, frequent, counts), ENTRIES).groupBy("bucket").applyInArrow(_multiply_columns, PAIRS), "pairs")
+    pairs = scratch.save(rows.mapInArrow(_entries(n_buckets, frequent, counts, rule), ENTRIES).groupBy("bucket").applyInArrow(_multiply_columns(rule), PAIRS), "pairs")
     free_shuffles(spark)
-    tiles = _tiles(pairs, scratch)
+    tiles = _tiles(pairs, scratch, rule)
     scratch.drop("pairs", "cold")
     named = tiles.join(classes, "sig").select(F.col("first_id").alias("doc_id"), "sig", "n", "copies", "tile", "side")
     named = scratch.save(named, "named-tiles")
-    whole = rows.withColumn("place", _place("doc_id")).mapInArrow(_rows(_bitmap(named)), ROWS)
+    whole = rows.withColumn("place", _place("doc_id")).mapInArrow(_rows(_bitmap(named), rule), ROWS)
     spread = F.pmod(F.xxhash64("tile"), F.lit(8 * n_buckets))
-    links = named.join(whole, ["doc_id", "sig"]).withColumn("task", spread).groupBy("task").applyInArrow(_multiply_tiles, LINKS)
+    links = named.join(whole, ["doc_id", "sig"]).withColumn("task", spread).groupBy("task").applyInArrow(_multiply_tiles(rule), LINKS)
     links = scratch.save(links, "links")
     free_shuffles(spark)
     scratch.drop("named-tiles", "tiles")
@@ -363,7 +381,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document with the smallest id stays, with all its columns; of rows that repeat its id and text, one."""
-    kept = ngram_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = ngram_join(docs, rule=STAGE).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("sha"), F.struct("*").alias("row"))
     rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
     return first_of_repeats(rows, "id", "sha").select("row.*")

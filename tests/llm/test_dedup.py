@@ -179,3 +179,40 @@ def test_components(spark):
         parent[high] = low
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "t").collect())
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def brute_kept(rows, n, numerator):
+    """Smallest ids of what hangs together by links of n words and numerator / 100."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    name = [i for i, _ in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= numerator * len(sets[a] | sets[b]) and name[a] != name[b]:
+                low, high = sorted((name[a], name[b]))
+                name = [low if x == high else x for x in name]
+    return sorted(set(name))
+
+
+def test_ngram_stage_by_its_own_rule(spark):
+    """Near copies with a tenth, two tenths and single words replaced: the stage holds them against 5 words and 0.8."""
+    rows, rng = [], np.random.default_rng(11)
+    for k in range(12):
+        words = [f"g{k}w{x}" for x in rng.integers(0, 10_000, 200)]
+        tenth, fifth = (words[:60] + [f"new{k}x{x}" for x in range(m)] + words[60 + m :] for m in (16 + k % 3, 40))
+        single = [w if x % 45 else f"one{k}x{x}" for x, w in enumerate(words)]
+        rows += [(10 * k + i, " ".join(w)) for i, w in enumerate((words, tenth, fifth, single))]
+    rows += [(1000, "a b c d"), (1001, "A b  c d"), (1002, "a b c d e"), (1003, None), (1004, "")]
+    kept = ngram_join.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = sorted(r["doc_id"] for r in kept.collect())
+    assert got == brute_kept(rows, 5, 80) and got != brute_kept(rows, 4, 85)
+
+
+@pytest.mark.parametrize("hot, tile", [(64, 1000), (8, 20)])
+def test_ngram_join_by_another_rule(edges, monkeypatch, hot, tile):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", hot)
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", tile)
+    rows = [(r["doc_id"], r["component_id"]) for r in ngram_join.ngram_join(edges.filter("doc_id <> 17"), rule=ngram_join.Rule(5, 80)).collect()]
+    assert sorted({c for _, c in rows}) == brute_kept(ids_and_texts(edges.filter("doc_id <> 17")), 5, 80)
