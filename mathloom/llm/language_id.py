@@ -35,7 +35,9 @@ LEXICON_WORDS = 20_000
 EPOCHS, RATE, L2 = 4, 0.2, 1e-5
 BLOCK = 32
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+#: Longer runs of letters, as of scripts without blanks, are cut into pieces of so many letters, each a word of its own.
+WORD_LETTERS = 40
+_WORD = re.compile(rf"[^\W\d_]{{1,{WORD_LETTERS}}}")
 #: Words whose features a task remembers.
 _REMEMBERED = 300_000
 
@@ -43,13 +45,13 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
+    """Runs of letters, lower-cased, in pieces of at most WORD_LETTERS; every letter is in one."""
     return _WORD.findall((text or "").lower())
 
 
 def features_of(word: str, lexicon: dict[str, int]) -> list[int]:
     """Hashed features of a word: itself, prefixes, suffixes, 2- and 3-grams, and the language whose lexicon has it."""
-    edged = f"^{word[:40]}$"
+    edged = f"^{word}$"
     names = [word, "=" + str(lexicon.get(word, -1))]
     names += ["<" + word[:n] for n in (1, 2, 3)] + [">" + word[-n:] for n in (1, 2, 3, 4)]
     names += [edged[i : i + 2] for i in range(len(edged) - 1)] + [edged[i : i + 3] for i in range(len(edged) - 2)]
@@ -299,7 +301,8 @@ def _predict(model: Model | None, most_words: int = 400_000):
 def language_id(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score (mean posterior of the language over the words).
 
-    Without a model one is fitted on the documents that aren't held out. Null texts and texts without a letter are `und`
+    Without a model one is fitted on the documents that aren't held out. Runs of letters beyond
+    WORD_LETTERS count as several words. Null texts and texts without a letter are `und`
     with score 0, as is everything when no text is labelled. A null id isn't held out and never learned from; repeated
     rows get equal predictions; other columns are not read.
     """

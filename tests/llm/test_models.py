@@ -106,3 +106,16 @@ def test_toxicity_edge_cases(spark, edges, nothing):
 @pytest.mark.parametrize("stage", [toxicity.stage])
 def test_stage_keeps_columns(spark, edges, stage):
     assert stage(spark, edges, DATA).columns == edges.columns
+
+
+def test_every_letter_of_a_long_run_counts():
+    rng = np.random.default_rng(2)
+    letters = {"aa": "abcdefgh", "bb": "stuvwxyz"}
+    word = lambda lang, n: "".join(rng.choice(list(letters[lang]), n))
+    model = language_id.fit([(lang, [word(lang, 6) for _ in range(12)]) for lang in letters for _ in range(100)])
+    scores = language_id.WordScores(model)
+    for head, rest in (("aa", "bb"), ("bb", "aa")):
+        run = word(head, 40) + word(rest, 2000)
+        assert "".join(language_id.words_of(run)) == run and max(map(len, language_id.words_of(run))) <= 40
+        mean = language_id.label_words([language_id.words_of(run)], scores)[0].mean(axis=0)
+        assert model.languages[int(mean.argmax())] == rest
