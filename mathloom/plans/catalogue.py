@@ -106,7 +106,9 @@ def _event_lists(read) -> DataFrame:
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id")
 def last_element(spark, read):
-    return _event_lists(read).select("user_id", loadprep.last_element(F.col("value")).alias("last"))
+    """Only the last piece of a user's list is made: it is all that the operator needs."""
+    last = F.max_by("event_type", F.when(F.col("event_type").isNotNull(), F.col("event_id")))
+    return read("events").groupBy("user_id").agg(last.alias("value")).select("user_id", loadprep.last_element(F.concat(F.lit(" "), "value", F.lit(" "))).alias("last"))
 
 
 @query("SELECT user_id, string_agg(event_type, ' | ' ORDER BY event_id DESC) AS reversed FROM events GROUP BY user_id")
@@ -531,8 +533,9 @@ def welford_stats(spark, read):
 SELECT user_id, count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std FROM events GROUP BY user_id
 """)
 def list_stats(spark, read):
-    rows = read("events").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("v")).select("user_id", metrics.list_statistics(F.col("v")).alias("s"))
-    return rows.select("user_id", F.col("s.count").cast("long").alias("n"), "s.min", "s.max", F.round("s.mean", 9).alias("mean"), F.round("s.std", 9).alias("std"))
+    v = F.col("value").cast("double")
+    rows = read("events").groupBy("user_id").agg(F.count("*").alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    return rows.withColumns({"mean": F.round("mean", 9), "std": F.round("std", 9)})
 
 
 _LABELS_SQL = """

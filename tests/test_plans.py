@@ -200,3 +200,14 @@ def test_factors_of_large_part_numbers(spark, tmp_path):
     spark.createDataFrame([(n - 2,) for n in numbers], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
     got = [(r["p_partkey"], r["factors"]) for r in catalogue.QUERIES["int_factor"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((n - 2, " | ".join(map(str, brute(n)))) for n in numbers)
+
+
+def test_statistics_and_last_elements_hold_no_lists(spark, tmp_path):
+    rows = [(1, i, "view", float(i)) for i in range(50)] + [(1, 50, None, None), (2, 51, "click", None), (3, 52, None, 1.5)]
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("list_stats", "last_element"):
+        got, want = catalogue.QUERIES[name](spark, str(tmp_path)), con.sql(catalogue.SQL[name])
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+        assert rows_of(got.collect(), got.columns) == rows_of(want.fetchall(), want.columns)
