@@ -1,4 +1,5 @@
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -86,13 +87,42 @@ def test_chain_uses_out_of_fold_predictions():
     assert ((got >= 0.5) == labels).mean() > 0.98 and len(chain.weights[1]) == len(chain.features) + 2
 
 
-def test_newton_reaches_the_optimum():
+def test_weights_reach_the_optimum():
     rng = np.random.default_rng(5)
     x = np.hstack([rng.normal(size=(300, 4)), np.ones((300, 1))])
     y = (x @ [1, -2, 0, 1, 0.5] + rng.logistic(size=300) > 0).astype(float)
-    w = toxicity.fit_logistic(x, y)
+    row, column = np.indices(x.shape)
+    w = toxicity.fit_logistic(toxicity.Rows(300, 5, row.ravel(), column.ravel(), x.ravel()), y, 0.4)
     p = 1 / (1 + np.exp(-x @ w))
-    assert np.abs(x.T @ (p - y) / 300 + np.r_[np.full(4, 0.4 / 300), 1e-6] * w).max() < 1e-4
+    assert np.abs(x.T @ (p - y) / 300 + np.r_[np.full(4, 0.4 / 300), 1e-6 / 300] * w).max() < 1e-4
+
+
+def test_scores_of_the_query_are_those_of_the_chain(spark, edges):
+    """Brute force: every row's features counted by themselves, the chain's sums written out."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    chain = toxicity.train(docs, labels)
+    number = {h: i for i, h in enumerate(chain.features.tolist())}
+    for r in [*toxicity.op6_toxicity(spark, DATA).join(docs, "doc_id").collect()]:
+        count = {}
+        for w in toxicity._TOKEN.findall((r["text"] or "").lower()):
+            for f in [w, *("^" + w[:n] for n in toxicity.PREFIXES if len(w) > n)]:
+                h = zlib.crc32(f.encode())
+                count[h] = count.get(h, 0) + 1
+        earlier = []
+        for w in chain.weights:
+            z = sum(np.log1p(n) * w[number[h]] for h, n in count.items() if h in number) + sum(p * v for p, v in zip(earlier, w[len(number) : -1])) + w[-1]
+            earlier.append(1 / (1 + np.exp(-z)))
+        assert np.allclose([r["p_low_quality"], r["p_toxic"]], earlier) and r["kept"] == (r["toxic"] == 0) == (r["p_toxic"] < toxicity.THRESHOLD)
+
+
+def test_the_sample_stays_bounded_when_ids_repeat(spark, monkeypatch):
+    """One id on many rows: one of them is read."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, f"other {i}") for i in range(2, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 30)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda docs, *a: seen.append(len(docs)))
+    toxicity.train(docs, labels, 10)
+    assert seen == [10]
 
 
 def test_toxicity_edge_cases(spark, edges, nothing):
