@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .exact_dedup import first_of_repeats
-from .shared import U64, Scratch, WordHashes, free_shuffles, gram_hashes, mix64, partitions
-from .substring_dedup import NULL_ID, chunks, safe_id
+from .exact_dedup import one_of_each
+from .shared import NULL_ID, U64, Scratch, WordHashes, free_shuffles, gram_hashes, join_groups, mix64, null_id, partitions, safe_id
+from .substring_dedup import chunks
 
 
 @dataclass(frozen=True)
@@ -336,8 +336,8 @@ def _tiles(pairs: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = QUERY) -> DataFrame:
-    """A row per input row: doc_id, n_shingles (size of its set), n_links (other rows that it links with), component_id (smallest id
-    that links lead to, itself included).
+    """A row per input row: doc_id, n_shingles (size of its set), component_id (smallest id that links lead to, itself included),
+    n_links (other rows that it links with).
 
     Words stand between ASCII white space, A-Z lower-cased. Null and empty texts have no n-grams and link with nothing;
     equal non-empty sets link. A null id is smaller than any other, so a component with one has a null name. Repeated rows
@@ -368,11 +368,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = classes.join(component, classes["sig"] == component["node"], "left").select("sig", "first_id", "copies", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     degree = links.filter("kind = 1").groupBy(F.col("a").alias("sig")).agg(F.sum("b").alias("others"))
-    named = named.join(least, "component").join(degree, "sig", "left").select("sig", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    named = named.join(least, "component").join(degree, "sig", "left").select("sig", "copies", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     named = scratch.save(named, "named")
-    out = documents.join(named, "sig", "left")
-    back = lambda c: F.nullif(c, F.lit(int(NULL_ID)))
-    return out.select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), back(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    alone = documents.filter("n = 0").select("doc_id", "n", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
+    out = join_groups(documents.filter("n > 0"), named, "sig", "copies").select("doc_id", "n", "n_links", "component_id").unionByName(alone)
+    return out.select(null_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), null_id("component_id").alias("component_id"), "n_links")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,11 +380,15 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays, with all its columns; of rows that repeat its id and text, one."""
-    kept = ngram_join(docs, rule=STAGE).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("sha"), F.struct("*").alias("row"))
-    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return first_of_repeats(rows, "id", "sha").select("row.*")
+    """Of each component the document with the smallest id stays, with all its columns; of rows that repeat its id and text, one.
+
+    Null, empty and repeated rows as in `ngram_join`: texts without words all stay. An empty table gives an empty one.
+    """
+    found = ngram_join(docs, rule=STAGE).select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))
+    wanted = found.groupBy("id").agg(F.count("*").alias("copies"), F.max("first").alias("first")).filter("first").select("id", "copies")
+    wanted = Scratch(spark, "kept").save(wanted, "kept")
+    rows = docs.select(safe_id("doc_id").alias("id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("sha"), F.struct("*").alias("row"))
+    return one_of_each(rows, wanted, ["id"]).select("row.*")
 
 
 ORACLE_SQL = r"""
@@ -397,6 +401,6 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
      r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
      c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
      d AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
-SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(n_links, 0) AS n_links, component_id
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
 FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.a = doc_id LEFT JOIN d ON d.a = doc_id
 """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 import time
@@ -9,11 +10,20 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOWER_KEEP = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c >= 0x80 else 0x20 for c in range(256))
-_MULTIPLIERS = tuple(int(x) | 1 for x in np.random.default_rng(20240607).integers(1, 2**63, 64, dtype=np.uint64))
 U64 = np.uint64
+#: Base of the rolling hash, odd, and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+#: A key is hot if it has more rows than one in so many of a partition's even share.
+_HOT_SHARE = 8
+#: Copies of one row that a task writes out in a row.
+_COPIES_AT_ONCE = 1 << 16
+#: The id that stands for null: smaller than any other.
+NULL_ID = np.iinfo(np.int64).min
 
 
 class Scratch:
@@ -56,11 +66,15 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="mathloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder()
     return folder.rstrip("/")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="mathloom-")
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its owner sizes to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -77,6 +91,44 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def safe_id(column: str) -> Column:
+    """An id with NULL_ID for null, which is equal to the smallest long."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(int(NULL_ID)))
+
+
+def null_id(column: str | Column) -> Column:
+    """An id as it was before `safe_id`."""
+    return F.nullif(column, F.lit(int(NULL_ID)))
+
+
+def hot_rows(spark: SparkSession, total: int) -> int:
+    """Rows of a key from which it is hot. Of `total` rows at most _HOT_SHARE * partitions keys can have more."""
+    return max(1, total // (_HOT_SHARE * partitions(spark)))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of rows with one row a key, `size` being at least the number of the key's rows.
+
+    Keys with many rows are broadcast: there are at most _HOT_SHARE times as many as partitions (`hot_rows`). The rows of the others
+    are shuffled. Both tables are read more than once, so they should be written ones.
+    """
+    spark = rows.sparkSession
+    limit = hot_rows(spark, groups.agg(F.sum(size)).first()[0] or 0)
+    hot = groups.filter(F.col(size) > limit)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(size) <= limit), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def each_copy(rows: DataFrame, copies: str = "copies") -> DataFrame:
+    """Every row as often as `copies` says, with `first_copy`, true for one of them. Rows with very many are spread over tasks."""
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / _COPIES_AT_ONCE)))
+    blocks = rows.filter(F.col(copies) > _COPIES_AT_ONCE).withColumn("_block", block).repartition(partitions(rows.sparkSession))
+    blocks = rows.filter(F.col(copies) <= _COPIES_AT_ONCE).withColumn("_block", F.lit(0).cast("long")).unionByName(blocks)
+    last = F.least(F.col(copies) - F.col("_block") * _COPIES_AT_ONCE, F.lit(_COPIES_AT_ONCE).cast("long"))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), last)).alias("_copy")
+    return blocks.select("*", copy).withColumn("first_copy", (F.col("_block") == 0) & (F.col("_copy") == 1)).drop("_block", "_copy")
+
+
 def letters_and_digits(text: str | None) -> bytes:
     """UTF-8 with A-Z lower-cased and all but digits, letters and non-ASCII bytes as spaces."""
     return (text or "").encode("utf-8", "surrogatepass").lower().translate(_LOWER_KEEP)
@@ -106,15 +158,33 @@ class WordHashes(dict):
         return np.array(list(map(self.__getitem__, words)), dtype=np.uint64)
 
 
+class Rolling:
+    """Karp-Rabin hashes of the runs of a sequence of 64-bit word hashes: one pass, then each run of any length costs a difference.
+
+    With prefix sums S of word[j] * base^-j, a run from i of n words has the hash (S[i + n] - S[i]) * base^i modulo 2^64.
+    """
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        ones = np.ones(n, np.uint64)
+        power = lambda x: np.cumprod(np.concatenate(([U64(1)], ones[1:] * U64(x)))) if n else ones
+        self.sums = np.concatenate(([U64(0)], np.cumsum(words * power(_INVERSE), dtype=np.uint64)))
+        self.shift = power(_BASE)
+
+    def runs(self, n: int) -> np.ndarray:
+        """Hashes of all runs of n words."""
+        if n >= len(self.sums):
+            return np.empty(0, np.uint64)
+        return mix64((self.sums[n:] - self.sums[: len(self.sums) - n]) * self.shift[: len(self.sums) - n])
+
+    def at(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Hashes of runs with any starts and lengths (at least 1)."""
+        return mix64((self.sums[start + n] - self.sums[start]) * self.shift[start])
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive word hashes; empty if there are fewer words."""
-    count = len(words) - n + 1
-    if count <= 0:
-        return np.empty(0, np.uint64)
-    total = np.zeros(count, np.uint64)
-    for k in range(n):
-        total += words[k : k + count] * U64(_MULTIPLIERS[k])
-    return mix64(total)
+    return Rolling(words).runs(n)
 
 
 def true_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

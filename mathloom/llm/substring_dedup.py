@@ -14,17 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, WordHashes, cover, free_shuffles, gram_hashes, mix64, partitions
+from .shared import NULL_ID, Scratch, WordHashes, cover, free_shuffles, gram_hashes, mix64, partitions, safe_id
 
 WINDOW = 13
 #: Bytes of text that are turned into blocks at once; runs of the index that are compacted into one.
 CHUNK_BYTES = 3_000_000
 MOST_RUNS = 4
-#: The id that stands for null: smaller than any other.
-NULL_ID = np.iinfo(np.int64).min
 
 #: kind 0: window hashes to be looked up; kind 1: windows already known to be owned by another document of the same block.
 #: In answers the bucket is a group of documents, or, with kind 2, a bucket of the index with its hashes.
@@ -36,10 +34,6 @@ RUN = "bucket long, hashes binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def safe_id(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("long"), F.lit(int(NULL_ID)))
-
-
 def split_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space."""
     return (text or "").encode("utf-8", "surrogatepass").split()

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import U64, Scratch, free_shuffles, mix64, partitions, true_runs
-from .substring_dedup import _BLOCKS, BLOCKS, NULL_ID, OWNED, as_table, chunks, gather, pack, pack_answers, safe_id, unpack
+from .shared import NULL_ID, U64, Scratch, free_shuffles, mix64, partitions, safe_id, true_runs
+from .substring_dedup import _BLOCKS, BLOCKS, OWNED, as_table, chunks, gather, pack, pack_answers, unpack
 
 WIDTH = 50
 GRAM = 20

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mathloom.llm import exact_dedup, ngram_join, substring_dedup, suffix_dedup
+from mathloom.llm import exact_dedup, ngram_join, shared, substring_dedup, suffix_dedup
 from mathloom.llm.components import connected_components
 from mathloom.llm.shared import Scratch
 
@@ -46,6 +46,32 @@ def test_exact_dedup_with_history(spark):
     assert got[10]["keep_id"] == 610 and got[1340]["group_size"] == 1
 
 
+def test_exact_dedup_of_large_and_null_ids(spark):
+    """Ids beyond 2^53 beside null ids, with and without history; every text keeps one row."""
+    big = 2**60
+    rows = [(big + i, f"text {i % 7}") for i in range(40)] + [(None, f"text {i}") for i in (1, 2, 50)] + [(big, None), (None, None), (-big, "text 3")]
+    old, new = rows[::2], rows[1::2]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    for got in (exact_dedup.exact_dedup(frame(rows)).collect(), exact_dedup.exact_dedup(frame(new), frame(old)).collect()):
+        groups = defaultdict(list)
+        for i, t in rows:
+            groups[hashlib.sha256((t or "").encode()).hexdigest()].append(i)
+        keep = {d: max(ids, key=rank) for d, ids in groups.items()}
+        assert bag((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == bag((i, keep[d], len(ids), d) for d, ids in groups.items() for i in ids)
+        assert Counter(r["text_sha256"] for r in got if r["kept"]) == Counter(dict.fromkeys(groups, 1))
+    kept = exact_dedup.stage(spark, frame(rows), "").collect()
+    assert Counter(r["text"] or "" for r in kept) == Counter({t or "": 1 for _, t in rows})
+
+
+def test_many_copies_of_one_row(spark, monkeypatch):
+    """A row that is most of the table goes the way of hot keys and is written out in blocks."""
+    monkeypatch.setattr(shared, "_COPIES_AT_ONCE", 100)
+    docs = spark.createDataFrame([(5, "same")] * 1234 + [(i, f"text {i % 40}") for i in range(100, 200)], "doc_id long, text string").repartition(6)
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert len(got) == 1334 and sum(r["kept"] for r in got) == 41 and {r["group_size"] for r in got if r["doc_id"] == 5} == {1234}
+    assert exact_dedup.stage(spark, docs, "").count() == 41
+
+
 def test_perfect_hash_is_minimal():
     digests = np.frombuffer(b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(3000)), np.uint8).reshape(-1, 32)
     cells, slots = exact_dedup.build_cells(digests)
@@ -141,7 +167,7 @@ def brute_links(rows):
     least = {}
     for a, (i, _) in enumerate(rows):
         least[find(a)] = min(least.get(find(a), 2**63), rank(i))
-    return [(i, len(sets[a]), links[a], None if least[find(a)] == LEAST else least[find(a)]) for a, (i, _) in enumerate(rows)]
+    return [(i, len(sets[a]), None if least[find(a)] == LEAST else least[find(a)], links[a]) for a, (i, _) in enumerate(rows)]
 
 
 @pytest.mark.parametrize("hot, tile", [(64, 1000), (8, 20)])
@@ -157,7 +183,7 @@ def test_ngram_stage_keeps_one_of_each_group(edges, spark):
     kept = ngram_join.stage(spark, edges.filter("doc_id <> 17"), "")
     assert kept.columns == edges.columns
     rows = [(i, t) for i, t in ids_and_texts(edges.filter("doc_id <> 17"))]
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, _, c in brute_links(rows)})
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c, _ in brute_links(rows)})
 
 
 def test_exact_stage_keeps_one_of_each_text(edges, spark):

@@ -18,7 +18,7 @@ def test_stages_against_brute_force(spark):
     rows = [r for r, x in zip(rows, p) if x < toxicity.THRESHOLD]
     last = {t: max(i for i, u in rows if u == t) for t in {t for _, t in rows}}
     rows = [(i, t) for i, t in rows if last[t] == i]
-    rows = [(i, t) for (i, t), link in zip(rows, brute_links(rows)) if link[3] == i]
+    rows = [(i, t) for (i, t), link in zip(rows, brute_links(rows)) if link[2] == i]
     hashes = WordHashes()
     block = decontaminate.Items([r["item_id"] for r in items], [r["text"] for r in items], hashes)
     rows = [(i, t) for i, t in rows if not decontaminate.leaks_of(t, block, hashes)]
