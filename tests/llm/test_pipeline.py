@@ -1,10 +1,10 @@
 import numpy as np
 
 import corpus_pipeline
-from mathloom.llm import decontaminate, toxicity
-from mathloom.llm.shared import WordHashes
+from mathloom.llm import toxicity
 
-from .test_dedup import brute_links
+from .test_dedup import brute_kept
+from .test_scans import WORD, brute_tiles, lower
 
 DATA = "/root/testdata/sf0.01"
 
@@ -18,10 +18,12 @@ def test_stages_against_brute_force(spark):
     rows = [r for r, x in zip(rows, p) if x < toxicity.THRESHOLD]
     last = {t: max(i for i, u in rows if u == t) for t in {t for _, t in rows}}
     rows = [(i, t) for i, t in rows if last[t] == i]
-    rows = [(i, t) for (i, t), link in zip(rows, brute_links(rows)) if link[2] == i]
-    hashes = WordHashes()
-    block = decontaminate.Items([r["item_id"] for r in items], [r["text"] for r in items], hashes)
-    rows = [(i, t) for i, t in rows if not decontaminate.leaks_of(t, block, hashes)]
+    stays = set(brute_kept(rows, 5, 80))  # five words and 0.8, as for near copies where no contract says otherwise
+    rows = [(i, t) for i, t in rows if i in stays]
+    split = lambda t: WORD.findall(lower(t))
+    tests = [split(r["text"]) for r in items]
+    leaked = lambda t: any(brute_tiles(own, words, 5) >= len(own) / 2 for own in tests if (words := split(t)) and {*zip(*(own[k:] for k in range(5)))} & {*zip(*(words[k:] for k in range(5)))})
+    rows = [(i, t) for i, t in rows if not leaked(t)]
     packed = corpus_pipeline.run(spark, DATA).collect()
     assert {r["doc_id"] for r in packed} == {i for i, _ in rows}
     assert sum(r["length"] for r in packed) == sum({r["doc_id"]: r["doc_tokens"] for r in packed}.values())

@@ -2,12 +2,13 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from mathloom.llm import decontaminate, license_scan
-from mathloom.llm.shared import WordHashes
 
+DATA = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TEXTS = [None, "", "no notice", "Released under the MIT-License. Under the mit license!", "Apache License, Version 2.0", "apache license version 20", "apache licence version 2", "apache license version 1", "CC BY-NC", "cc by nd", "undér the mit license", "under the mit licence", "GNU General Publik License", "under the mit licenseé", "a\x00under the mit license"]
 
@@ -94,10 +95,49 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), items).count() == 0
 
 
-def test_a_benchmark_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
-    docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
-    assert decontaminate.leaks(docs, spark.createDataFrame([(i, ITEM) for i in range(4)], "item_id long, text string")).count() == 4
+def test_a_benchmark_of_equal_items(spark, monkeypatch):
+    """Each text meets its items in small parts; seeds in many texts are dealt out."""
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 3)
+    docs = spark.createDataFrame([(i, ITEM) for i in range(3)] + [(9, ITEM + " more")] + [(100 + i, f"{ITEM} x{i}") for i in range(60)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, ITEM) for i in range(20)] + [(0, ITEM)], "item_id long, text string")
+    got = decontaminate.leaks(docs, items).collect()
+    assert Counter((r["doc_id"], r["item_id"]) for r in got) == Counter((d, i) for d in (0, 1, 2, 9, *range(100, 160)) for i in (0, *range(20)))
+
+
+def test_long_matches_and_repeated_words(spark):
+    """A passage of 400 words, found whole and in shuffled parts; one repeated word; a long text."""
+    w = [f"p{i}" for i in range(400)]
+    parts = [w[i : i + 40] for i in range(0, 400, 40)]
+    docs = {1: " ".join(w), 2: " a ".join(" ".join(x) for x in reversed(parts)), 3: "same " * 3000, 4: "other " * 20_000 + " ".join(w), 5: " ".join(w[:199]), 6: " ".join(w[:200])}
+    items = {1: " ".join(w), 2: "same " * 500}
+    got = decontaminate.leaks(spark.createDataFrame([*docs.items()], "doc_id long, text string"), spark.createDataFrame([*items.items()], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["coverage"], r["n_tiles"], r["longest_tile"]) for r in got} == {(1, 1, 1, 1, 400), (2, 1, 1, 10, 40), (3, 2, 1, 1, 500), (4, 1, 1, 1, 400), (6, 1, 0.5, 1, 200)}
+
+
+def test_the_query_against_all_pairs(spark):
+    """Every document against every item, tiled by comparing all places."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("n_chars < 1500").collect()
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet").collect()
+    split = lambda t: WORD.findall(lower(t))
+    want = set()
+    for d in docs:
+        words = split(d["text"])
+        seeds = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        for i in items:
+            own = split(i["text"])
+            if seeds & {tuple(own[k : k + 5]) for k in range(len(own) - 4)} and (share := brute_tiles(own, words, 5) / len(own)) >= 0.5:
+                want.add((d["doc_id"], i["item_id"], share))
+    got = decontaminate.op9_decontaminate(spark, DATA).collect()
+    kept = {d["doc_id"] for d in docs}
+    assert want and {(r["doc_id"], r["item_id"], r["coverage"]) for r in got if r["doc_id"] in kept} == want
+
+
+def test_leak_stage(spark, edges, nothing, tmp_path):
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert decontaminate.stage(spark, nothing, str(tmp_path)).count() == 0
+    more = edges.limit(2).withColumns({"text": F.lit("z " + ITEM), "doc_id": F.lit(None).cast("long")})
+    got = decontaminate.stage(spark, edges.unionByName(more), str(tmp_path))
+    assert got.columns == edges.columns and Counter(got.collect()) == Counter(edges.collect())
 
 
 def brute_tiles(p, t, least):
@@ -130,15 +170,7 @@ def test_tiles(pattern, text):
         used_p.update(range(i, i + n))
         used_t.update(range(j, j + n))
     assert all(c == 1 for c in [*used_p.values(), *used_t.values()])
-    longest = brute_tiles(pattern, text, 3)
-    assert (not found) == (not longest)  # ties may be tiled otherwise, but a first tile is found if there is one
-
-
-def test_candidates_share_a_seed():
-    hashes = WordHashes()
-    items = decontaminate.Items([1], [ITEM], hashes)
-    assert decontaminate.leaks_of("x " + " ".join(ITEM.split()[:5]), items, hashes) == []
-    assert len(decontaminate.leaks_of(" ".join(ITEM.split()[:9]), items, hashes)) == 1
+    assert sum(n for n, _, _ in found) == brute_tiles(pattern, text, 3)
 
 
 def brute_spans(text, notice):
