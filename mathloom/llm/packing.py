@@ -35,7 +35,9 @@ def load_encoder(vocabulary: str = VOCABULARY):
     """text -> uint32 ids of the public byte-level vocabulary.
 
     The ranks file and the JSON file hold the same vocabulary and give the same ids; the ranks' library is about five times
-    as fast. Texts with the special token's own string go to the JSON file's library, whose ids are the reference.
+    as fast. The JSON file's library, whose ids are the reference, takes the texts that the other can't: those with the special
+    token's own string, and those with runs of white space beyond what the other's pattern matching goes back over (about a
+    million), which it refuses.
     """
     import public_tokenizers
     import tiktoken
@@ -46,9 +48,12 @@ def load_encoder(vocabulary: str = VOCABULARY):
     exact = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
 
     def encode(text: str) -> np.ndarray:
-        if "<|endoftext|>" in text:
-            return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+        if "<|endoftext|>" not in text:
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+            except ValueError:
+                pass
+        return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
@@ -177,9 +182,10 @@ def packing(docs: DataFrame, vocabulary: str = VOCABULARY, tiers: tuple[int, ...
     """One row per piece: doc_id, start (ids of its document before it), length, ids_crc32, doc_tokens, sequence_id, offset (in the
     sequence), window (the sequence's length) and step_group.
 
-    Each task packs its own rows batch by batch, so nothing is shuffled. Sequence ids hold the partition's number in their
-    upper bits. Null and empty texts are the closing id alone. A null id stays null; repeated rows are packed each; other columns
-    are not read.
+    Each task packs its own rows batch by batch, so nothing is shuffled; step groups are balanced within a batch. Sequence ids hold
+    the partition's number in their upper bits. Null and empty texts are the closing id alone. Long texts, long runs of white space
+    too, are encoded whole and cut into as many windows as it takes. Pieces of one length are taken in the order of the batch. A
+    null id stays null; repeated rows are packed each; an empty table gives an empty one; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_packer(vocabulary, tiers), SCHEMA)
@@ -190,4 +196,5 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of `packing`, with its rules for nulls, empty and long texts, repeated rows and empty tables."""
     return packing(docs)

@@ -61,6 +61,18 @@ def test_ids_are_those_of_the_reference_file(spark):
         assert encode(t).tolist() == want(t), t[:50]
 
 
+def test_long_runs_of_white_space(spark):
+    """Through Spark: runs of a million blanks, line breaks and a mixture, and a long word."""
+    want = reference_ids()
+    texts = {1: "a" + " " * 1_000_000 + "b", 2: "\n" * 1_000_000, 3: " \n\t" * 300_000, 4: "x" * 200_000, 5: "end"}
+    rows = packing.packing(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    for i, t in texts.items():
+        ids = np.array([*want(t), 0], "<u4")
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        assert sum(r["length"] for r in own) == len(ids) == own[0]["doc_tokens"]
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
+
+
 @pytest.mark.parametrize("which", ["edges", "nothing"])
 def test_packing(spark, request, which):
     docs, want = request.getfixturevalue(which), reference_ids()
