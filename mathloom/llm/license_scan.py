@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -93,7 +94,8 @@ def scan_text(text: str | None, base: tuple = BASE, notices: list[Notice] | None
     """The columns of SCHEMA but the id, for one text."""
     words = letters_and_digits(text).split()
     joined = b" " + b" ".join(words) + b" "
-    index = lambda at: joined.count(b" ", 0, at)  # noqa: E731  the word that begins at or after this place
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    index = lambda at: int(np.searchsorted(blanks, at))  # noqa: E731  the word that begins at or after this place
     starts, base_labels, spans, score = [], set(), [], 0.0
     for phrase, label in base:
         for at in places(joined, b" " + phrase.encode() + b" "):
@@ -130,12 +132,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     score (1 for an exact match) and spans in words.
 
     Words are maximal runs of digits, letters and non-ASCII characters after A-Z are lower-cased. Null and empty texts have no
-    words and no labels; a null id stays null; repeated rows are scanned each; other columns are not read.
+    words and no labels; long texts are scanned whole; of overlapping matches the one with the fewest edits, the most fitting
+    length and then the first place counts; a null id stays null; repeated rows are scanned each; an empty table gives an empty
+    one; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scan, SCHEMA)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans are given as `label:first word+words~edits`, in the order of notices and places."""
     found = license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+    shown = F.transform("spans", lambda s: F.concat(s["label"], F.lit(":"), s["first_word"].cast("string"), F.lit("+"), s["n_words"].cast("string"), F.lit("~"), s["edits"].cast("string")))
+    return found.withColumns({"n_spans": F.size("spans").cast("long"), "spans": F.array_join(shown, " ")})

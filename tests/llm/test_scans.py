@@ -185,6 +185,38 @@ def brute_spans(text, notice):
     return sorted(out)
 
 
+def test_the_query_against_brute_force(spark):
+    """All columns of every document that has a word of a notice, spans by comparing all stretches of words."""
+    rows = {r["doc_id"]: r for r in license_scan.op2_license_scan(spark, DATA).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    notices, checked = license_scan._notices(), 0
+    for d in docs:
+        words, r = WORD.findall(lower(d["text"])), rows[d["doc_id"]]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_base(d["text"])
+        if len(words) > 120 or not {"license", "licence", "cc", "apache", "mit", "general", "clause"} & set(words):
+            continue
+        text, spans, score, checked = " " + " ".join(words) + " ", [], float(r["n_base"] > 0), checked + 1
+        for n in notices:
+            for a, b, e in brute_spans(text, n):
+                spans.append(f"{n.label}:{text[:a].count(' ') - 1}+{text[a:b].count(' ') + 1}~{e}")
+                score = max(score, 1 - e / len(n.phrase))
+        labels = {s.split(":")[0] for s in spans} | {*filter(None, r["base_labels"].split(","))}
+        assert (r["spans"], r["n_spans"], r["labels"], r["score"]) == (" ".join(spans), len(spans), ",".join(sorted(labels)), score)
+    assert checked > 5
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    took = []
+    for n in (500, 4000):
+        began = time.process_time()
+        found = license_scan.scan_text("Released under the MIT license; see apache license, version 2. " * n)
+        took.append(time.process_time() - began)
+        assert found[1] == 2 * n and len(found[7]) == 2 * n
+    assert took[1] < 24 * took[0]
+
+
 def test_neighbouring_notices_are_all_found():
     notices = {n.label: n for n in license_scan._notices()}
     assert len(license_scan.fuzzy_spans(b" under the mt license under the mit license ", notices["mit"])) == 2
