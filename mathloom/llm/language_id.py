@@ -11,7 +11,6 @@ once, messages are passed from block to block, then the words within all blocks
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -19,33 +18,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Labelled texts that the model is fitted on, for each language and together; stretches taken from each and their words.
-ROWS_PER_LANGUAGE = 300
+#: Labelled texts, read whole, that the model is fitted on, for each language and together; words of the stretches that they are cut into.
+ROWS_PER_LANGUAGE = 100
 MAX_TRAIN_ROWS = 6000
-STRETCHES = 8
 STRETCH_WORDS = 12
 #: Stretches of a training sequence, and how often the next one is of the same language.
 SPLICE, STAY = 4, 0.5
 FEATURES = 1 << 16
-LEXICON_WORDS = 20_000
-EPOCHS, RATE, L2 = 4, 0.2, 1e-5
+EPOCHS, RATE, L2 = 2, 0.2, 1e-5
 BLOCK = 32
 UNKNOWN = "und"
 #: Longer runs of letters, as of scripts without blanks, are cut into pieces of so many letters, each a word of its own.
 WORD_LETTERS = 40
-_WORD = re.compile(rf"[^\W\d_]{{1,{WORD_LETTERS}}}")
+_WORD = regex.compile(rf"\p{{L}}[\p{{L}}\p{{M}}]{{0,{WORD_LETTERS - 1}}}")
 #: Words whose features a task remembers.
 _REMEMBERED = 300_000
 
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
+SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, word_langs string"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased, in pieces of at most WORD_LETTERS; every letter is in one."""
+    """Runs of letters (Unicode category L) with their marks, lower-cased, in pieces of at most WORD_LETTERS; every letter is in one."""
     return _WORD.findall((text or "").lower())
 
 
@@ -146,8 +144,8 @@ def learn_lexicon(stretches: list[tuple[int, list[str]]], n_lang: int) -> dict[s
         rates = np.array([c[w] for c in counts]) / sizes
         best = int(rates.argmax())
         if counts[best][w] >= 3 and rates[best] >= 5 * (rates.sum() - rates[best]):
-            found.append((-counts[best][w], w, best))
-    return {w: lang for _, w, lang in sorted(found)[:LEXICON_WORDS]}
+            found.append((w, best))
+    return dict(found)
 
 
 def fit(stretches: list[tuple[str, list[str]]]) -> Model | None:
@@ -165,16 +163,20 @@ def fit(stretches: list[tuple[str, list[str]]]) -> Model | None:
     seen_w, seen_t = np.full(FEATURES, 1e-3), np.full(model.transitions.shape, 1e-3)
     length = SPLICE * STRETCH_WORDS
     for epoch in range(EPOCHS):
-        sequences = []
-        for _ in range(len(data) // SPLICE + 1):
-            lang, words, labels = int(rng.integers(len(languages))), [], []
-            while len(words) < length:
-                pick = by_lang[lang][int(rng.integers(len(by_lang[lang])))]
-                words += pick
-                labels += [lang] * len(pick)
-                if rng.random() > STAY:
-                    lang = int(rng.integers(len(languages)))
-            sequences.append((words[:length], labels[:length]))
+        # every stretch once; within a language in random order, the languages drawn by what they have left
+        left = [list(rng.permutation(len(own))) for own in by_lang]
+        words, labels, lang = [], [], None
+        while any(left):
+            if lang is None or not left[lang] or rng.random() > STAY:
+                share = np.cumsum([len(own) for own in left])
+                lang = int(np.searchsorted(share, rng.integers(share[-1]), "right"))
+            pick = by_lang[lang][left[lang].pop()]
+            words += pick
+            labels += [lang] * len(pick)
+        # what doesn't fill a last sequence is filled up from the beginning
+        n = -(-len(words) // length) * length
+        words, labels = [words[i % len(words)] for i in range(n)], [labels[i % len(labels)] for i in range(n)]
+        sequences = [(words[i : i + length], labels[i : i + length]) for i in range(0, n, length)]
         for at in range(0, len(sequences), 64):
             part = sequences[at : at + 64]
             flat, gold = [w for s, _ in part for w in s], np.array([y for _, s in part for y in s])
@@ -202,17 +204,15 @@ def fit(stretches: list[tuple[str, list[str]]]) -> Model | None:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches spread evenly over each whole text."""
+    """Each whole text in consecutive stretches, a row for each."""
     for batch in batches:
         langs, out = [], []
         for lang, text in zip(*batch.columns):
             words = words_of(text.as_py())
-            spare = max(0, len(words) - STRETCH_WORDS)
-            for at in sorted({spare * k // max(1, STRETCHES - 1) for k in range(STRETCHES)}):
-                if words:
-                    langs.append(lang.as_py())
-                    out.append(words[at : at + STRETCH_WORDS])
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.list_(pa.string()))], names=["lang", "words"])
+            own = [" ".join(words[at : at + STRETCH_WORDS]) for at in range(0, len(words), STRETCH_WORDS)]
+            langs += [lang.as_py()] * len(own)
+            out += own
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.string())], names=["lang", "words"])
 
 
 def held_out(id_col: str = "doc_id"):
@@ -228,10 +228,11 @@ def train(docs: DataFrame) -> Model | None:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = rows.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= ROWS_PER_LANGUAGE).orderBy("rank", "lang").limit(MAX_TRAIN_ROWS)
     # at most MAX_TRAIN_ROWS short rows: safe to broadcast
-    texts = rows.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "text")
-    got = texts.mapInArrow(_stretches, "lang string, words array<string>").toPandas()
-    got["words"] = got["words"].map(list)
-    return fit(sorted(zip(got["lang"], got["words"])))
+    texts = rows.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")  # repeats don't reach the driver
+    got = texts.mapInArrow(_stretches, "lang string, words string").toArrow()
+    rows = sorted(zip(got.column("lang").to_pylist(), got.column("words").to_pylist()))
+    return fit([(lang, words.split(" ")) for lang, words in rows])
 
 
 class WordScores:
@@ -268,18 +269,27 @@ def label_words(texts: list[list[str]], scores: WordScores) -> list[np.ndarray]:
     return np.split(posterior, np.cumsum(lengths)[:-1])
 
 
+def word_runs(posterior: np.ndarray, languages: list[str]) -> str:
+    """The words' languages in order, as `en*12 de*3`."""
+    label = posterior.argmax(axis=1)
+    cuts = np.flatnonzero(np.diff(label)) + 1
+    return " ".join(f"{languages[label[a]]}*{b - a}" for a, b in zip([0, *cuts], [*cuts, len(label)]))
+
+
 def _predict(model: Model | None, most_words: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(model) if model else None
         for batch in batches:
-            langs, probs = [], []
+            langs, probs, runs = [], [], []
             pending: list[list[str]] = []
 
             def flush() -> None:
                 whole = [w for w in pending if w]
                 found = iter(label_words(whole, scores)) if whole else iter(())
                 for own in pending:
-                    mean = next(found).mean(axis=0) if own else None
+                    posterior = next(found) if own else None
+                    mean = posterior.mean(axis=0) if own else None
+                    runs.append(word_runs(posterior, model.languages) if own else "")
                     langs.append(UNKNOWN if mean is None else model.languages[int(mean.argmax())])
                     probs.append(0.0 if mean is None else float(min(1.0, mean.max())))
                 pending.clear()
@@ -293,18 +303,19 @@ def _predict(model: Model | None, most_words: int = 400_000):
                 pending.append(words)
                 size += len(words)
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(probs, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(probs, pa.float64()), pa.array(runs, pa.string())], names=["doc_id", "held_out", "lang_pred", "score", "word_langs"])
 
     return run
 
 
 def language_id(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score (mean posterior of the language over the words).
+    """One row per input row: doc_id, held_out, lang_pred, score (mean posterior of the language over the words), word_langs (the
+    words' own languages in order, see `word_runs`).
 
-    Without a model one is fitted on the documents that aren't held out. Runs of letters beyond
-    WORD_LETTERS count as several words. Null texts and texts without a letter are `und`
-    with score 0, as is everything when no text is labelled. A null id isn't held out and never learned from; repeated
-    rows get equal predictions; other columns are not read.
+    Without a model one is fitted on the documents that aren't held out. Runs of letters beyond WORD_LETTERS count as several
+    words; texts of any length are labelled whole. Of languages with equal scores the first by name counts. Null texts and texts
+    without a letter are `und` with score 0, as is everything when no text is labelled. A null id isn't held out and never learned
+    from; repeated rows get equal predictions; an empty table gives an empty one; other columns are not read.
     """
     model = model or train(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 
 from mathloom.llm import language_id, toxicity
 
@@ -49,6 +50,32 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_predictions_of_the_query(spark):
+    """Every row against the chain written out word by word: forward and backward sums in plain Python."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language_id.train(docs)
+    move, scores, n = np.exp(model.transitions), language_id.WordScores(model), 0
+    for r in language_id.language_id(docs, model).join(docs.select("doc_id", "text"), "doc_id").filter("length(text) < 2000").collect():
+        words = [w[i : i + 40] for w in regex.findall(r"\p{L}[\p{L}\p{M}]*", (r["text"] or "").lower()) for i in range(0, len(w), 40)]
+        if not words:
+            assert (r["lang_pred"], r["score"], r["word_langs"]) == ("und", 0, "")
+            continue
+        x, n = np.exp(scores.of(words)), n + 1
+        ahead, back = [x[0]], [np.ones(x.shape[1])]
+        for t in range(1, len(words)):
+            ahead.append((ahead[-1] @ move) * x[t] / (ahead[-1] @ move * x[t]).sum())
+            back.append(move @ (back[-1] * x[-t]) / (move @ (back[-1] * x[-t])).sum())
+        p = np.array([a * b / (a * b).sum() for a, b in zip(ahead, reversed(back))])
+        assert model.languages[int(p.mean(axis=0).argmax())] == r["lang_pred"] and np.isclose(p.mean(axis=0).max(), r["score"])
+        runs = [(k, len([*g])) for k, g in itertools.groupby(p.argmax(axis=1))]
+        assert r["word_langs"] == " ".join(f"{model.languages[k]}*{m}" for k, m in runs)
+    assert n > 300
+
+
+def test_numbers_are_not_letters():
+    assert language_id.words_of("½ ² ⅷ ① 12 _") == [] and language_id.words_of("e\u0301a ß中 ß") == ["e\u0301a", "ß中", "ß"]
+
+
 def test_language_edge_cases(spark, edges, nothing):
     got = language_id.language_id(edges).collect()
     assert len(got) == edges.count()
