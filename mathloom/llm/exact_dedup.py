@@ -173,7 +173,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
     columns are not read.
     """
     rows = each_copy(join_groups(*_grouped(docs, history, id_col, text_col), "digest", "group_size"))
-    kept = (F.col("doc_id") == F.col("keep_id")) & F.col("first_copy")
+    kept = (F.col("doc_id") == F.col("keep_id")) & (F.col("copy") == 0)
     return rows.select(null_id("doc_id").alias("doc_id"), null_id("keep_id").alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -119,14 +119,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
-def each_copy(rows: DataFrame, copies: str = "copies") -> DataFrame:
-    """Every row as often as `copies` says, with `first_copy`, true for one of them. Rows with very many are spread over tasks."""
+def each_copy(rows: DataFrame, copies: str = "copies", number: str = "copy") -> DataFrame:
+    """Every row as often as `copies` says, numbered from 0. Rows with very many copies are spread over tasks."""
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / _COPIES_AT_ONCE)))
-    blocks = rows.filter(F.col(copies) > _COPIES_AT_ONCE).withColumn("_block", block).repartition(partitions(rows.sparkSession))
-    blocks = rows.filter(F.col(copies) <= _COPIES_AT_ONCE).withColumn("_block", F.lit(0).cast("long")).unionByName(blocks)
-    last = F.least(F.col(copies) - F.col("_block") * _COPIES_AT_ONCE, F.lit(_COPIES_AT_ONCE).cast("long"))
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), last)).alias("_copy")
-    return blocks.select("*", copy).withColumn("first_copy", (F.col("_block") == 0) & (F.col("_copy") == 1)).drop("_block", "_copy")
+    many = rows.filter(F.col(copies) > _COPIES_AT_ONCE).withColumn("_block", block).repartition(partitions(rows.sparkSession))
+    blocks = rows.filter(F.col(copies) <= _COPIES_AT_ONCE).withColumn("_block", F.lit(0).cast("long")).unionByName(many)
+    first = F.col("_block") * _COPIES_AT_ONCE
+    return blocks.select("*", F.explode(F.sequence(first, F.least(F.col(copies), first + _COPIES_AT_ONCE) - 1)).alias(number)).drop("_block")
 
 
 def letters_and_digits(text: str | None) -> bytes:
