@@ -8,8 +8,10 @@ the matches are then classified, numbers are split by the number policy, white s
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,8 +90,32 @@ class Lexer:
         first, second = (number, reserved) if self.numbers_first else (reserved, number)
         return rf"{first}|{second}|([A-Za-z_][A-Za-z_0-9]*)|(\s+)|([\s\S])"
 
+    @property
+    def digits_reserved(self) -> bool:
+        """Whether all that the number policy emits is reserved and goes before numbers, so that numbers fall apart by themselves."""
+        g, reserved = self.policy.digit_group, set(self.reserved)
+        return not self.numbers_first and all("".join(d) in reserved for n in range(1, g + 1) for d in product(string.digits, repeat=n)) and (not self.policy.allow_float or "." in reserved)
+
     def tokens(self, c: Column) -> Column:
         """ARRAY<STRING> of tokens."""
+        spaced = any(re.search(r"\s", t) for t in self.reserved)
+        if self.policy.attach_sign or spaced or not (self.numbers_first or self.digits_reserved):
+            return self._classified(c)
+        # a match takes the white space before its token along; the end of the text is an empty one
+        number, reserved = f"(?:{self.policy.pattern})", "(?:" + "|".join(map(re.escape, self.reserved)) + ")"
+        first, second = (number, reserved) if self.numbers_first else (reserved, number)
+        words = F.array_remove(F.regexp_extract_all(c, F.lit(rf"\s*+({first}|{second}|[A-Za-z_][A-Za-z_0-9]*|\S|\z)"), F.lit(1)), "")
+        known = sorted({t for t in self.reserved if len(t) == 1} | set(string.ascii_letters + string.digits + "_"))
+        stray = lambda w: (F.length(w) == 1) & ~w.isin(*known)
+        if self.numbers_first and self.policy.allow_float:
+            point = lambda w: F.contains(w, F.lit(".")) & w.rlike(rf"^(?:{self.policy.pattern})$")
+            out = F.flatten(F.transform(words, lambda w: F.when(F.length(w) == 1, F.array(F.when(w.isin(*known), w).otherwise(self.unknown))).when(point(w), number_tokens(w, self.policy)).otherwise(F.array(w))))
+        else:
+            out = F.transform(words, lambda w: F.when((F.length(w) > 1) | w.isin(*known), w).otherwise(self.unknown))
+        return F.when(F.exists(words, stray), self._classified(c)).otherwise(out) if self.strict else out
+
+    def _classified(self, c: Column) -> Column:
+        """Tokens by classes of all matches, white space too; knows the place of a stray character."""
         pattern, reserved = F.lit(self.pattern), set(self.reserved)
         words = F.regexp_extract_all(c, pattern, F.lit(0))
         if self.policy.attach_sign:

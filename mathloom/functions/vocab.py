@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 from itertools import product
 from typing import Any
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 #: Fixed values.
 BASE_TOKENS = ("[SEP]",)
 BASE_SPECIAL = {"pad_token": "[PAD]", "bos_token": "<s>", "eos_token": "</s>", "cls_token": "[CLS]"}
-#: Ids are looked up in a literal map up to this size, by a join beyond it.
-MAP_TOKENS = 2000
+#: Ids are looked up in a literal map, which is searched from its beginning, up to this size, by a join beyond it.
+MAP_TOKENS = 256
 
 
 def range_tokens(prefix: str, low: int, high: int, centered: bool = False) -> list[str]:
@@ -22,14 +23,16 @@ def range_tokens(prefix: str, low: int, high: int, centered: bool = False) -> li
     return [f"{prefix}{i}" for i in range(low - shift, high + shift + 1)]
 
 
-def is_finite_field(name: str) -> bool:
-    return name.startswith("GF")
+def field_order(name: str) -> int:
+    """The number of elements of GF17 or GF(17), 0 for names of other domains."""
+    m = re.fullmatch(r"GF\(?(\d+)\)?", name)
+    return int(m[1]) if m else 0
 
 
-def finite_field_tokens(name: str, centered: bool = False) -> list[str]:
-    if not is_finite_field(name):
+def field_tokens(name: str, centered: bool = False) -> list[str]:
+    """Coefficient tokens of a finite field, with negative representatives too."""
+    if (p := field_order(name)) < 1:
         raise ValueError(f"not a finite field: {name}")
-    p = int(name[2:])
     return range_tokens("C", 1 - p, p, centered)
 
 

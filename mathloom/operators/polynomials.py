@@ -52,17 +52,22 @@ def product(polys: DataFrame, key: str, position: str, longest: int, modulus: in
     return normalise(out, key, modulus)
 
 
-def prefix_sums(polys: DataFrame, key: str, position: str, modulus: int | None = None) -> DataFrame:
-    """For each position the sum of all polynomials up to it, without a self-join: coefficients are added up along the
-    positions where their exponents occur and hold until the next one."""
-    places = polys.select(key, position).distinct()
+def prefix_sums(polys: DataFrame, key: str, position: str, modulus: int | None = None, places: DataFrame | None = None) -> DataFrame:
+    """For each position the sum of all polynomials up to it; `places` has the (key, position) of polynomials, those of polys without it.
+
+    Coefficients are added up along the positions where their exponents occur, and each holds from there until before the next. A
+    position has a rank within its key, so a sum is written out for exactly the ranks where it holds.
+    """
     own = polys.groupBy(key, position, "exps").agg(F.sum("coeff").alias("coeff"))
-    running = own.withColumn("coeff", F.sum("coeff").over(Window.partitionBy(key, "exps").orderBy(position)))
-    until = F.lead(position).over(Window.partitionBy(key, "exps").orderBy(position))
-    held = running.withColumn("_until", until).withColumnRenamed(position, "_from")
-    grid = held.join(places, key).filter((F.col(position) >= F.col("_from")) & (F.col("_until").isNull() | (F.col(position) < F.col("_until"))))
+    places = (places if places is not None else own.select(key, position)).distinct()
+    ranks = places.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(position)))
+    ranks = ranks.withColumn("_last", F.max("_rank").over(Window.partitionBy(key)))
+    by_terms = Window.partitionBy(key, "exps").orderBy("_rank")
+    running = own.join(ranks, [key, position]).withColumns({"coeff": F.sum("coeff").over(by_terms), "_until": F.lead("_rank").over(by_terms) - 1})
     coeff = F.pmod("coeff", F.lit(modulus)) if modulus else F.col("coeff")
-    return grid.select(key, position, "exps", coeff.alias("coeff")).filter("coeff <> 0")
+    held = running.withColumn("coeff", coeff).filter("coeff <> 0")
+    held = held.select(key, "exps", "coeff", F.explode(F.sequence("_rank", F.coalesce("_until", "_last"))).alias("_rank"))
+    return held.join(ranks.select(key, position, "_rank"), [key, "_rank"]).select(key, position, "exps", "coeff")
 
 
 def degree(terms: DataFrame, key: str = "poly_id") -> DataFrame:
@@ -207,16 +212,40 @@ def prime_factors(n: Column, primes: list[int] | Column) -> Column:
     start = F.struct(n.cast("long").alias("left"), F.array().cast("array<long>").alias("found"))
 
     def divide(s: Column, p: Column) -> Column:
-        # how often p divides what is left: the largest k with p^k | left
-        powers = F.filter(F.sequence(F.lit(1), F.lit(63)), lambda k: (F.pow(p.cast("double"), k) <= s["left"].cast("double")) & (F.pmod(s["left"], F.greatest(F.pow(p.cast("double"), k).cast("long"), F.lit(1).cast("long"))) == 0))
-        k = F.coalesce(F.array_max(powers), F.lit(0))
-        return F.struct((s["left"] / F.pow(p.cast("double"), k)).cast("long").alias("left"), F.concat(s["found"], F.array_repeat(p.cast("long"), k)).alias("found"))
+        # p as often as it divides: at most the number of bits of what is left, in whole numbers
+        times = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(s["left"].cast("double"))).cast("int") + 1))
+        once = lambda r, _: F.when(F.pmod(r["left"], p) == 0, F.struct(F.call_function("div", r["left"], p).alias("left"), F.concat(r["found"], F.array(p)).alias("found"))).otherwise(r)
+        return F.aggregate(times, s, once)
 
-    known = primes if isinstance(primes, Column) else F.array(*(F.lit(p).cast("long") for p in primes))
+    known = (primes if isinstance(primes, Column) else F.array(*map(F.lit, primes))).cast("array<long>")
     end = F.aggregate(known, start, divide)
     return F.when(end["left"] > 1, F.concat(end["found"], F.array(end["left"]))).otherwise(end["found"])
 
 
+def quadratic_factors(a: Column, b: Column, c: Column) -> Column:
+    """Irreducible factors over the rationals of a x^2 + b x + c (whole numbers without a common divisor, a > 0), as (p, q, r) for
+    p x^2 + q x + r: two linear ones if the discriminant is a square, else itself. Whole numbers below 2^26 or so, exact."""
+    a, b, c = (x.cast("long") for x in (a, b, c))
+    d = b * b - 4 * a * c
+    root = F.round(F.sqrt(F.greatest(d, F.lit(0)).cast("double"))).cast("long")
+
+    def linear(sign: int) -> Column:
+        # 2 a x + b - root, without the common divisor
+        rest = b - sign * root
+        common = gcd(2 * a, rest)
+        return F.struct(F.lit(0).cast("long").alias("p"), F.call_function("div", 2 * a, common).alias("q"), F.call_function("div", rest, common).alias("r"))
+
+    whole = F.array(F.struct(a.alias("p"), b.alias("q"), c.alias("r")))
+    return F.when((d >= 0) & (root * root == d), F.array(linear(1), linear(-1))).otherwise(whole)
+
+
+def gcd(x: Column, y: Column) -> Column:
+    """Greatest common divisor of longs by Euclid's algorithm: at most about 90 steps, and steps after the last change nothing."""
+    start = F.struct(F.abs(x).alias("x"), F.abs(y).alias("y"))
+    step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.pmod(s["x"], s["y"]).alias("y")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)["x"]
+
+
 def monomial_counts(variables: int, degree: int) -> Column:
     """Numbers of monomials of each degree from 0 to `degree`: binomials (variables + d - 1 over d)."""
     one = lambda d: F.aggregate(F.when(d > 0, F.sequence(F.lit(1), d)).otherwise(F.array().cast("array<int>")), F.lit(1).cast("long"), lambda s, k: F.floor(s * (F.lit(variables - 1) + k) / k).cast("long"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import nested
 from ..operators import metrics
 from ..sources import scans, sinks
+from ..sources.folders import new_folder
 
 #: seed -> (problem, answer) as strings or lists, or None to skip the index.
 Instance = Callable[[int], tuple[Any, Any] | None]
@@ -73,12 +74,25 @@ def generate(spark: SparkSession, instance: Instance, sizes: dict[str, int], roo
     return rows.mapInPandas(_run(instance, statistics), SCHEMA)
 
 
-def generate_accepted(spark: SparkSession, instance: Instance, tag: str, n: int, root_seed: int = 42, share: float = 0.25, statistics: Statistics | None = None) -> DataFrame:
-    """The first n indices that yield a sample, when at least about `share` of all do; an error if there are too few."""
-    out = generate(spark, instance, {tag: int(n / share) + 16}, root_seed, statistics).orderBy("sample_index").limit(n)
-    if out.count() < n:
-        raise RuntimeError("too few accepted samples; lower the expected share")
-    return out
+def generate_accepted(spark: SparkSession, instance: Instance, tag: str, n: int, root_seed: int = 42, share: float = 0.25, statistics: Statistics | None = None, most: int = 1 << 40) -> DataFrame:
+    """The first n indices that yield a sample.
+
+    Ranges of indices are generated and written, each sized by the share accepted so far (at first `share`), until there are n; an
+    error only if `most` indices don't yield them.
+    """
+    folder, done, found, parts = new_folder(spark, "accepted"), 0, 0, []
+    while found < n:
+        if done >= most:
+            raise RuntimeError(f"only {found} of {done} indices yield a sample")
+        size = min(most - done, int(1.1 * (n - found) / share) + 16)
+        rows = spark.range(done, done + size).select(F.lit(tag).alias("tag"), F.col("id").alias("sample_index"))
+        rows = rows.withColumn("seed", seed_hex(F.lit(root_seed), F.col("tag"), F.col("sample_index")))
+        parts.append(f"{folder}/{done}")
+        rows.mapInPandas(_run(instance, statistics), SCHEMA).write.parquet(parts[-1])
+        done += size
+        found += spark.read.schema(SCHEMA).parquet(parts[-1]).count()
+        share = max(found / done, 1 / (4 * done))
+    return spark.read.schema(SCHEMA).parquet(*parts).orderBy("sample_index").limit(n)
 
 
 def write(df: DataFrame, folder: str, formats: tuple[str, ...] = ("parquet", "text", "jsonl"), report: bool = True) -> None:

@@ -15,6 +15,7 @@ from ..functions.vocab import encode, encode_by_join, MAP_TOKENS
 from ..operators.collate import collate
 from ..operators.validate import check_tokens
 from ..sources import scans
+from ..sources.folders import new_folder
 
 #: Rows of each split and epochs of a dry run.
 DRY_RUN = {"train": 1000, "test": 100, "epochs": 1, "batch_size": 8}
@@ -34,6 +35,22 @@ class Prepared:
         return collate(df, "batch_idx", "input_ids_raw", "target_ids_raw", self.lexer.vocab.special_id("pad_token"))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds idx, from 0 without gaps in the order of a scan's rows, by the numbers of rows of its partitions; written first, so that a
+    second pass meets the same partitions."""
+    path = new_folder(df.sparkSession, "numbered")
+    part, at = F.shiftright(F.col("_id"), 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    df.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.schema(df.schema.add("_id", "long")).parquet(path)
+    sizes = {r[0]: r[1] for r in rows.groupBy(part.alias("part")).count().collect()}  # a number for each partition
+    starts, total = [], 0
+    for k in range(max(sizes, default=-1) + 1):
+        starts.append(total)
+        total += sizes.get(k, 0)
+    first = F.element_at(F.array(*map(F.lit, starts)), part + 1) if starts else F.lit(0)
+    return rows.withColumn("idx", (first + at).cast("long")).drop("_id")
+
+
 def tokenised(df: DataFrame, lexer: Lexer) -> DataFrame:
     """(idx, problem, answer) with token and id columns; large vocabularies are joined."""
     df = df.withColumns({"input_tokens": lexer.tokens(df["problem"]), "target_tokens": lexer.tokens(df["answer"])})
@@ -53,8 +70,7 @@ def prepare(spark: SparkSession, lexer: Lexer, train: dict[str, Any], test: dict
         df = scans.load(spark, step=step, **source)
         if check:
             check_tokens(df, lexer, "problem", "answer")
-        # ids of rows: the order of a scan's partitions
-        out[name] = tokenised(df.withColumn("idx", F.monotonically_increasing_id()), lexer)
+        out[name] = tokenised(numbered(df), lexer)
     return Prepared(out["train"], out["test"], lexer)
 
 

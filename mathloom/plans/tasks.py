@@ -53,13 +53,11 @@ def rational_polynomial_factors(rng: random.Random):
 
 
 def eigenvector(rng: random.Random, n: int = 3):
-    """A symmetric matrix with two decimals and its dominant eigenvector."""
-    a = [[0.0] * n for _ in range(n)]
-    for i in range(n):
-        for j in range(i, n):
-            a[i][j] = a[j][i] = round(rng.uniform(-1, 1), 2)
+    """A positive semidefinite matrix, normal numbers times their transpose, and its dominant eigenvector, with two decimals."""
+    a = [[rng.gauss(0, 1) for _ in range(n)] for _ in range(n)]
+    m = [[sum(row[i] * row[j] for row in a) for j in range(n)] for i in range(n)]
     two = lambda x: f"{x:.2f}"
-    return [[two(x) for x in row] for row in a], [two(x) for x in algebra.dominant_eigenvector(a)]
+    return [[two(x) for x in row] for row in m], [two(x) for x in algebra.dominant_eigenvector(m)]
 
 
 def reduction(rng: random.Random):

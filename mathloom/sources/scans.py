@@ -107,8 +107,10 @@ def load(spark: SparkSession, text: str | None = None, jsonl: str | None = None,
 
 
 def read_eval_results(spark: SparkSession, path: str) -> DataFrame:
-    """(generated, reference) of a JSON array file; missing keys are empty."""
-    df = spark.read.schema("generated string, reference string").option("multiLine", True).json(path)
+    """(generated, reference) of a file that holds a JSON array or JSON lines; missing keys are empty."""
+    first = spark.read.text(path).filter(strip(F.col("value")) != "").first()
+    array = first is not None and first[0].lstrip().startswith("[")
+    df = spark.read.schema("generated string, reference string").option("multiLine", array).json(path)
     return df.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("generated", "reference")))
 
 
@@ -119,8 +121,9 @@ def latest_step(files: DataFrame, column: str = "path") -> DataFrame:
 
 
 def read_job_log(spark: SparkSession, path: str) -> DataFrame:
-    """(record, _line) of the log's objects; other lines are ignored."""
-    rows = lines(spark, path).withColumn("record", F.try_parse_json("value"))
+    """(record, _line) of the log's objects, the files of later appends last; other lines are ignored."""
+    place = F.struct(F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    rows = spark.read.text(path).select(strip(F.col("value")).alias("value"), place.alias(_LINE)).withColumn("record", F.try_parse_json("value"))
     return rows.filter("schema_of_variant(record) like 'OBJECT%'").select("record", _LINE)
 
 
@@ -130,6 +133,11 @@ def latest_jobs(log: DataFrame) -> DataFrame:
     return rows.groupBy("job_id").agg(F.max_by("text", _LINE).alias("record"))
 
 
+def present_jobs(log: DataFrame) -> DataFrame:
+    """The last record of each job that isn't deleted."""
+    return latest_jobs(log).filter(F.coalesce(F.try_variant_get(F.parse_json("record"), "$.status", "string"), F.lit("")) != "deleted")
+
+
 def last_jobs(log: DataFrame, n: int) -> DataFrame:
     """The last n (at least one) records, newest first."""
     return log.orderBy(F.desc(_LINE)).limit(max(1, n)).drop(_LINE)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nested
+from ..functions.text import utc_now
 
 
 def check_tag(tag: Any) -> str:
@@ -57,5 +58,13 @@ def write_eval_results(df: DataFrame, folder: str, step: int | None = None) -> N
     df.select("generated", "reference").write.mode("overwrite").json(f"{folder}/{name}")
 
 
+def delete_jobs(log: DataFrame, ids: DataFrame, path: str) -> None:
+    """Appends a record with the status `deleted` for each of the ids (job_id) that the log (`scans.latest_jobs`) has; the records
+    before it stay."""
+    gone = log.join(ids.select("job_id").distinct(), "job_id", "left_semi")
+    field = lambda name: F.try_variant_get(F.parse_json("record"), f"$.{name}", "string").alias(name)
+    append_jobs(gone.select("job_id", utc_now().alias("created_at"), field("kernel_id"), field("bundle_dataset_id"), F.lit("deleted").alias("status")), path)
+
+
 def append_jobs(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)

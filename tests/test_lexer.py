@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mathloom.functions.lexer import Lexer, NumberPolicy, chain, number_tokens
-from mathloom.functions.vocab import Vocab, decode, encode, finite_field_tokens, range_tokens
+from mathloom.functions.vocab import Vocab, decode, encode, field_tokens, range_tokens
 
 VOCAB = Vocab.from_config({"range": {"c": ["C", -50, 50], "e": ["E", 0, 20], "v": ["x", 0, 2]}, "misc": ["+", "*", "^", "(", ")"], "special_tokens": {"unk_token": "<unk>"}})
 PLAIN = Vocab.build(range_tokens("", 0, 111) + ["+"])
@@ -82,9 +82,9 @@ def test_chain_and_decode(spark):
 def test_vocabularies():
     assert VOCAB.tokens[0] == "[SEP]" and VOCAB.special["unk_token"] == "<unk>" and VOCAB.ids["[PAD]"] == len(VOCAB.tokens)
     assert range_tokens("x", 0, 2) == ["x0", "x1", "x2"] and range_tokens("C", -2, 4, centered=True) == [f"C{i}" for i in range(-3, 6)]
-    assert finite_field_tokens("GF3") == ["C-2", "C-1", "C0", "C1", "C2", "C3"]
+    assert field_tokens("GF3") == ["C-2", "C-1", "C0", "C1", "C2", "C3"]
     with pytest.raises(ValueError):
-        finite_field_tokens("ZZ")
+        field_tokens("ZZ")
     flags = {"misc": ["a", "a"], "flags": {"include_base_vocab": False}, "include_base_vocab": True, "include_base_special_tokens": False}
     assert Vocab.from_config(flags).tokens == ("a",) and Vocab.from_config(flags).special == {}
     assert Vocab.from_config(VOCAB.config()) == VOCAB
