@@ -28,6 +28,8 @@ from .substring_dedup import _BLOCKS, BLOCKS, OWNED, as_table, chunks, gather, p
 
 WIDTH = 50
 GRAM = 20
+#: Bytes of a bucket's entries on average, and of entries for each byte of text.
+BUCKET_BYTES, ENTRY_BYTES = 64_000_000, 3
 #: Bytes that are hashed at once.
 _PART = 1 << 20
 
@@ -319,12 +321,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes the bytes that repeat a document with a smaller id: RESULT, a row per input row, `kept` being the remaining bytes.
 
-    Null and empty texts have no bytes; texts shorter than WIDTH bytes lose nothing; a null id is smaller than any other; rows
-    with equal ids don't take bytes from each other; other columns are not read.
+    Null and empty texts have no bytes; texts shorter than WIDTH bytes lose nothing; long texts are taken whole; a null id is smaller
+    than any other; rows with equal ids don't take bytes from each other; an empty table gives an empty one; other columns are not
+    read. Buckets hold about BUCKET_BYTES of entries, however large the input is.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    n_buckets, n_groups = 2 * partitions(spark), partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    least = -(-ENTRY_BYTES * size // BUCKET_BYTES)
+    n_buckets, n_groups = max(2 * partitions(spark), least), max(partitions(spark), least)
     rows = docs.select(safe_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = rows.withColumn("mark", F.xxhash64("text"))
     names = scratch.save(rows.mapInArrow(_emit_names(n_buckets), BLOCKS).groupBy("bucket").applyInArrow(_shared_names(n_groups), BLOCKS), "names")
@@ -342,3 +347,22 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+#: Texts as hexadecimal digits, cut into overlapping parts, as taking a piece of a long string costs its length.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     c AS (SELECT doc_id, h, unnest(range(0, greatest(1, CAST(ceil((strlen(h) // 2 - 49) / 2000.0) AS BIGINT)))) AS c FROM d),
+     p AS (SELECT doc_id, c, substr(h, 1 + 4000 * c, 4098) AS part FROM c),
+     s AS (SELECT doc_id, c, part, unnest(range(0, least(2000, strlen(part) // 2 - 49))) AS i FROM p WHERE strlen(part) >= 100),
+     o AS (SELECT doc_id, c * 2000 + i AS i, min(doc_id) OVER (PARTITION BY substr(part, 2 * i + 1, 100)) AS owner FROM s),
+     r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 50 THEN 0 ELSE 1 END AS new FROM o WHERE owner < doc_id WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+     x AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM r),
+     y AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM x GROUP BY ALL),
+     z AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM y),
+     k AS (SELECT z.doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS tail
+           FROM z JOIN d USING (doc_id) GROUP BY z.doc_id)
+SELECT doc_id, strlen(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
