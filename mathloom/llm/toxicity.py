@@ -34,13 +34,15 @@ CATEGORIES = ("low_quality", "toxic")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+")
 #: Standard errors below which a difference is noise; those at which a feature is taken as it is; strength of the regularisation.
 NOISE, FULL, L2 = 1.5, 4.0, 0.1
+#: Documents of the sample that a feature must occur in.
+MIN_DOCS = 3
 #: Words whose features a task remembers.
 _REMEMBERED = 300_000
 
 
 @dataclass
 class Rows:
-    """A sparse matrix: value at (row, column), in the order of the rows."""
+    """A sparse matrix: value at (row, column), in the order of the rows. Narrow types, as the driver holds the whole sample."""
 
     n: int
     width: int
@@ -56,7 +58,7 @@ class Rows:
 
     def of(self, chosen: np.ndarray) -> Rows:
         keep = chosen[self.row]
-        return Rows(int(chosen.sum()), self.width, (np.cumsum(chosen) - 1)[self.row[keep]], self.column[keep], self.value[keep])
+        return Rows(int(chosen.sum()), self.width, (np.cumsum(chosen) - 1).astype(np.int32)[self.row[keep]], self.column[keep], self.value[keep])
 
     def beside(self, dense: np.ndarray) -> Rows:
         """With further dense columns, and a last one of ones."""
@@ -87,7 +89,7 @@ def hashed(words: Iterable[str]) -> np.ndarray:
     for w, n in Counter(words).items():
         total[zlib.crc32(w.encode("utf-8", "surrogatepass"))] += n
     names = sorted(total)
-    return np.array([names, [total[h] for h in names]], np.int64).reshape(2, -1)
+    return np.array([names, [total[h] for h in names]], np.uint32).reshape(2, -1)
 
 
 def features_of(word: str) -> list[str]:
@@ -105,11 +107,11 @@ def tokens(text: str | None) -> np.ndarray:
 
 def design(docs: list[np.ndarray], features: np.ndarray) -> Rows:
     """How often (log scale) which document has which of the sorted features."""
-    flat = np.concatenate([np.empty((2, 0), np.int64), *docs], axis=1)
-    row = np.repeat(np.arange(len(docs)), [d.shape[1] for d in docs])
-    at = np.minimum(np.searchsorted(features, flat[0]), max(0, len(features) - 1))
-    known = features[at] == flat[0] if len(features) else np.zeros(len(row), bool)
-    return Rows(len(docs), len(features), row[known], at[known], np.log1p(flat[1][known]))
+    name, count = (np.concatenate([np.empty(0, np.uint32), *(d[i] for d in docs)]) for i in (0, 1))
+    row = np.repeat(np.arange(len(docs), dtype=np.int32), [d.shape[1] for d in docs])
+    at = np.minimum(np.searchsorted(features, name), max(0, len(features) - 1)).astype(np.int32)
+    known = features[at] == name if len(features) else np.zeros(len(row), bool)
+    return Rows(len(docs), len(features), row[known], at[known], np.log1p(count[known].astype(np.float32)))
 
 
 def _probability(z: np.ndarray) -> np.ndarray:
@@ -175,7 +177,8 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray, categories: tuple[str,
 
     labels: 0, 1 or NaN (not labelled for this category; the row is then not used for its model).
     """
-    names = np.unique(np.concatenate([np.empty(0, np.int64), *(d[0] for d in docs)]))
+    names, count = np.unique(np.concatenate([np.empty(0, np.uint32), *(d[0] for d in docs)]), return_counts=True)
+    names = names[count >= MIN_DOCS]
     x = design(docs, names)
     earlier, weights = np.zeros((len(docs), 0)), []
     for k in range(len(categories)):
@@ -194,7 +197,7 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray, categories: tuple[str,
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [tokens(t.as_py()) for t in batch.column("text")]
-        words = [pa.array([list(f[i]) for f in found], pa.list_(pa.int64())) for i in (0, 1)]
+        words = [pa.array([f[i].view(np.int32) for f in found], pa.list_(pa.int32())) for i in (0, 1)]
         keep = batch.drop_columns(["text"])
         yield pa.RecordBatch.from_arrays([*keep.columns, *words], names=[*keep.schema.names, "words", "counts"])
 
@@ -211,15 +214,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     chosen = ids.orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)  # at most max_rows short rows: safe to broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "label_id")
     rows = rows.groupBy("label_id", *CATEGORIES).agg(F.min("text").alias("text"))  # repeats of an id don't reach the driver
-    schema = "label_id long, low_quality double, toxic double, words array<long>, counts array<long>"
+    schema = "label_id long, low_quality double, toxic double, words array<int>, counts array<int>"
     got = rows.mapInArrow(_tokenise, schema).toArrow().sort_by("label_id")
     if not got.num_rows:
         return None
-    flat = [got.column(c).combine_chunks().flatten().to_numpy() for c in ("words", "counts")]
+    flat = [got.column(c).combine_chunks().flatten().to_numpy().view(np.uint32) for c in ("words", "counts")]
     cuts = np.cumsum(got.column("words").combine_chunks().value_lengths().to_numpy())[:-1]
     folds = (got.column("label_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % FOLDS
     marks = np.stack([got.column(c).to_numpy() for c in CATEGORIES], 1).astype(np.float64)
-    return fit_chain(np.split(np.stack(flat), cuts, axis=1), marks, CATEGORIES, folds)
+    flat = np.stack(flat)
+    del got
+    return fit_chain(np.split(flat, cuts, axis=1), marks, CATEGORIES, folds)
 
 
 class Columns(dict):
