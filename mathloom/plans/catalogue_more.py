@@ -129,6 +129,19 @@ def file_manifest(spark, read):
     return parts.filter("part <> ''").distinct()
 
 
+@query("""
+SELECT event_id, event_id % 6 <> 4 AND event_id % 6 <> 5 AS well_formed FROM events
+""")
+def nested_format_check(spark, read):
+    """Formulas with parentheses, some of them unbalanced or with a factor that stands beside another."""
+    k = F.col("event_id").cast("string")
+    forms = [("(", ")*(x - 1)^2 | (y)"), ("((x + ", ")*(y - (2*x + 1))**2)^3"), ("-(x + 1/2)*", ""), ("x*(", " + y^2) - 4"), ("(x + ", "*(y - 1)"), ("x(", ")")]
+    value = F.lit(None)
+    for i, (a, b) in enumerate(forms):
+        value = F.when(F.col("event_id") % 6 == i, F.concat(F.lit(a), k, F.lit(b))).otherwise(value)
+    return read("events").select("event_id", validate.pieces_are_formulas(value, ["x", "y"]).alias("well_formed"))
+
+
 # ---- load steps, lexer, vocabularies
 
 

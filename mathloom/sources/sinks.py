@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from datetime import timedelta
 from pathlib import Path
 from typing import Any
@@ -32,6 +33,7 @@ def record_lines(df: DataFrame) -> DataFrame:
 def write_samples(df: DataFrame, folder: str, formats: tuple[str, ...] = ("parquet", "text", "jsonl"), order: str | None = "sample_index") -> None:
     """One folder for each format and tag: all of a tag is written at once or not at all. Without rows nothing is written."""
     if df.isEmpty():
+        warnings.warn("no samples: nothing is written", stacklevel=2)
         return
     for tag in [check_tag(r["tag"]) for r in df.select("tag").distinct().collect()]:
         own = df.filter(F.col("tag") == tag)
