@@ -296,19 +296,25 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return column[order], top["n"].to_numpy(np.int64)[order]
 
 
-def _dense(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Tiles of the groups' rows (sig, group, n). Rows that link are in the same band of sizes or in neighbouring ones."""
-    rows = rows.join(rows.groupBy("group").agg(F.count("*").alias("rows")), "group")
+def _dense(rows: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
+    """Tiles of the groups' rows (sig, group, n). Rows that link are in the same band of sizes or in neighbouring ones.
+
+    Groups and bands may hold a large share of the rows, so what is known of them is joined by `join_groups`.
+    """
+    rows = scratch.save(rows, "hot-rows")
+    sizes = scratch.save(rows.groupBy("group").agg(F.count("*").alias("rows")), "hot-groups")
     wide = math.log(rule.denominator / rule.numerator) * 1.0001
     band = F.when(F.col("rows") <= TILE_ROWS, 0).otherwise(F.floor(F.log("n") / wide)).cast("int")
-    rows = rows.withColumn("band", band)
-    n_blocks = rows.groupBy("group", "band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"))
-    rows = rows.join(n_blocks, ["group", "band"]).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))  # bands that a row is held against
-    others = n_blocks.select("group", F.col("band").alias("other_band"), F.col("blocks").alias("others"))
-    rows = rows.withColumn("other_band", F.col("band") + F.col("step")).join(others, ["group", "other_band"])
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    own, other = F.struct("band", "block"), F.struct(F.col("other_band").alias("band"), F.col("other").alias("block"))
+    rows = scratch.save(join_groups(rows, sizes, "group", "rows").select("sig", "group", band.alias("band")), "hot-bands")
+    blocks = rows.groupBy("group", "band").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"))
+    # the bands that a band is held against, three at most, with their numbers of blocks
+    steps = blocks.select("group", "band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("other_band"))
+    near = steps.join(blocks.select("group", F.col("band").alias("other_band"), F.col("blocks").alias("others")), ["group", "other_band"])
+    near = near.groupBy("group", "band").agg(F.collect_list(F.struct("other_band", "others")).alias("near"))
+    rows = join_groups(rows, scratch.save(blocks.join(near, ["group", "band"]), "hot-near"), ["group", "band"], "rows")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).withColumn("near", F.explode("near"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("near.others") - 1)))
+    own, other = F.struct("band", "block"), F.struct(F.col("near.other_band").alias("band"), F.col("other").alias("block"))
     tile = F.xxhash64(F.lit("rows"), "group", F.least(own, other), F.greatest(own, other))
     side = F.when(own == other, 2).when(own < other, 0).otherwise(1)
     return rows.select(tile.alias("tile"), side.alias("side"), "sig")
@@ -320,7 +326,7 @@ def _tiles(pairs: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
     # rows that hang together by hot columns: a column is a node too, with a negative name
     edges = hot.select("a", (-1 - F.abs(F.xxhash64("b") / 2).cast("long")).alias("b"))
     group = connected_components(edges, scratch, "hot").filter("node >= 0").select(F.col("node").alias("sig"), F.col("component").alias("group"))
-    dense = _dense(group.join(hot.groupBy(F.col("a").alias("sig")).agg(F.first("size_a").alias("n")), "sig"), rule)
+    dense = _dense(group.join(hot.groupBy(F.col("a").alias("sig")).agg(F.first("size_a").alias("n")), "sig"), scratch, rule)
     cold = pairs.filter("kind = 0").groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("shared").alias("shared"))
     bound = F.ceil(F.lit(rule.numerator) * (F.col("size_a") + F.col("size_b")) / (rule.numerator + rule.denominator))
     rest = lambda c: F.ceil(F.lit(rule.numerator) * F.col(c) / rule.denominator) - 1

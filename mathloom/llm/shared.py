@@ -106,7 +106,7 @@ def hot_rows(spark: SparkSession, total: int) -> int:
     return max(1, total // (_HOT_SHARE * partitions(spark)))
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str) -> DataFrame:
     """Inner join of rows with one row a key, `size` being at least the number of the key's rows.
 
     Keys with many rows are broadcast: there are at most _HOT_SHARE times as many as partitions (`hot_rows`). The rows of the others
