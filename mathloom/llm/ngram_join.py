@@ -49,6 +49,8 @@ TILE_ROWS = 1000
 TILE_COLUMNS = 2048
 #: Bits of the filter by which tasks skip documents that no pair or tile asks for (1 MB); what it lets through is joined exactly.
 FILTER_BITS = 1 << 23
+#: Bytes of text for each bucket of columns, whose entries take at most about as many.
+BUCKET_BYTES = 64_000_000
 #: Share of the hashes whose columns are counted; rows from which a column is frequent; frequent columns that tasks hold to
 #: order rows by, 16 bytes each. Any other column counts as rare, which costs time, not links.
 COUNTED = 0.3
@@ -100,6 +102,13 @@ def _all_grams(texts: list[str | None], cache: WordHashes, n: int) -> list[np.nd
     return [grams_of(flat[e - len(w) : e], n) for w, e in zip(words, ends)]
 
 
+def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its entries."""
+    order = np.argsort(bucket, kind="stable")
+    own, starts = np.unique(bucket[order], return_index=True)
+    return zip(own.tolist(), np.split(order, starts[1:]))
+
+
 def _sets(n_buckets: int, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, most = WordHashes(), U64(int(COUNTED * 2**64))
@@ -108,12 +117,11 @@ def _sets(n_buckets: int, rule: Rule):
                 grams = _all_grams(texts, cache, rule.n)
                 sigs = [signature(g) for g in grams]
                 rows = [(int(k), 0, int(i), len(g), s, None, None) for k, i, g, s in zip(mix64(ids.view(np.uint64)) % U64(n_buckets), ids, grams, sigs)]
-                low = [g[: np.searchsorted(g, most)] for g in dict(zip(sigs, grams)).values()]
+                # small sets may begin with columns of any hash
+                low = [g[: max(np.searchsorted(g, most), first_columns(len(g), rule))] for g in dict(zip(sigs, grams)).values()]
                 column, count = np.unique(np.concatenate([np.empty(0, np.uint64), *low]), return_counts=True)
                 bucket = (mix64(column) % U64(n_buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-                rows += ((k, 1, None, None, None, column[o].tobytes(), count[o].astype(np.int32).tobytes()) for k in range(n_buckets) if len(o := order[cuts[k] : cuts[k + 1]]))
+                rows += ((k, 1, None, None, None, column[o].tobytes(), count[o].astype(np.int32).tobytes()) for k, o in _dealt(bucket))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SETS)], schema=_SETS)
 
     return run
@@ -141,6 +149,9 @@ def rare_first(grams: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> n
 
 
 def _entries(n_buckets: int, frequent: np.ndarray, counts: np.ndarray, rule: Rule):
+    """Entries by bucket of columns; those of columns known to be hot, which aren't multiplied, by buckets of rows from n_buckets on."""
+    hot = frequent[counts >= HOT_ROWS]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
@@ -153,15 +164,15 @@ def _entries(n_buckets: int, frequent: np.ndarray, counts: np.ndarray, rule: Rul
                 column = np.concatenate(first)
                 sig, size = np.repeat(np.array(list(rows), np.int64), lengths), np.repeat(np.array([len(g) for g in rows.values()], np.int32), lengths)
                 bucket = (mix64(column) % U64(n_buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-                out = [(k, column[o].tobytes(), sig[o].tobytes(), size[o].tobytes()) for k in range(n_buckets) if len(o := order[cuts[k] : cuts[k + 1]])]
+                known = np.isin(column, hot)
+                bucket[known] = n_buckets + (mix64(sig[known].view(np.uint64)) % U64(n_buckets)).astype(np.int64)
+                out = [(k, column[o].tobytes(), sig[o].tobytes(), size[o].tobytes()) for k, o in _dealt(bucket)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ENTRIES)], schema=_ENTRIES)
 
     return run
 
 
-def _multiply_columns(rule: Rule):
+def _multiply_columns(n_buckets: int, rule: Rule):
     """Products of one bucket's columns, summed up for pairs of rows; hot columns are passed on."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -172,9 +183,10 @@ def _multiply_columns(rule: Rule):
         column, sig, size = column[new], sig[new], size[new]
         starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
         n = np.diff(np.append(starts, len(column)))
+        is_hot = (n >= HOT_ROWS) | (table.column("bucket")[0].as_py() >= n_buckets)
         out = [(np.empty(0, np.int64),) * 4]
-        for width in np.unique(n[(n > 1) & (n < HOT_ROWS)]):
-            at = starts[n == width]
+        for width in np.unique(n[(n > 1) & ~is_hot]):
+            at = starts[(n == width) & ~is_hot]
             i, j = np.triu_indices(width, 1)
             a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
             fits = rule.denominator * np.minimum(size[a], size[b]) >= rule.numerator * np.maximum(size[a], size[b])
@@ -185,7 +197,7 @@ def _multiply_columns(rule: Rule):
         a, b, size_a, size_b = a[order], b[order], size_a[order], size_b[order]
         first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
         shared = np.diff(np.append(first, len(a)))
-        hot = np.repeat(n >= HOT_ROWS, n)
+        hot = np.repeat(is_hot, n)
         zero, ones = np.zeros(hot.sum(), np.int64), np.ones(hot.sum(), np.int64)
         columns = (np.concatenate([np.zeros(len(first), np.int32), ones.astype(np.int32)]), np.concatenate([a[first], sig[hot]]), np.concatenate([b[first], column[hot].view(np.int64)]), np.concatenate([size_a[first], size[hot]]), np.concatenate([size_b[first], zero]), np.concatenate([shared, zero]))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PAIRS)], schema=_PAIRS)
@@ -352,13 +364,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     rows = docs.select(safe_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n_buckets = 2 * partitions(spark)
+    n_buckets = max(2 * partitions(spark), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
     sets = scratch.save(rows.mapInArrow(_sets(n_buckets, rule), SETS).groupBy("bucket").applyInArrow(_count_columns, COUNTS), "sets")
     free_shuffles(spark)
     frequent, counts = _frequent(sets)
     documents = sets.filter("kind = 0").select("doc_id", "n", "sig")
     classes = scratch.save(documents.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
-    pairs = scratch.save(rows.mapInArrow(_entries(n_buckets, frequent, counts, rule), ENTRIES).groupBy("bucket").applyInArrow(_multiply_columns(rule), PAIRS), "pairs")
+    pairs = scratch.save(rows.mapInArrow(_entries(n_buckets, frequent, counts, rule), ENTRIES).groupBy("bucket").applyInArrow(_multiply_columns(n_buckets, rule), PAIRS), "pairs")
     free_shuffles(spark)
     tiles = _tiles(pairs, scratch, rule)
     scratch.drop("pairs", "cold")
