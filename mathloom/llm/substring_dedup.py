@@ -405,16 +405,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words; texts shorter than a window lose nothing; long texts are taken whole; a null id is smaller than any other; rows with
     equal ids don't take words from each other; an empty table gives an empty one; other columns are not read.
     """
-    rows = docs.select(safe_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    number, columns = F.col(id_col).cast("long"), (safe_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(*columns)
     low, high, size = rows.agg(F.min(null_id("doc_id")), F.max(null_id("doc_id")), F.sum(F.octet_length("text"))).first()
     index = FingerprintIndex(docs.sparkSession, size or 0, bits)
     ends = sorted({low + int((high - low) * share) for share in BATCHES}) if low is not None else []
-    answers, left = None, rows
-    for end in [*ends, None]:
-        part = left.filter(F.col("doc_id") <= end) if end is not None else left
-        found = index.append(part, keep=end is not None)
+    answers = None
+    for begin, end in zip([None, *ends], [*ends, None]):
+        part = docs  # null ids are in the first batch; bounds of the ids themselves reach the scan
+        if end is not None:
+            part = part.filter((number <= end) | number.isNull() if begin is None else number <= end)
+        if begin is not None:
+            part = part.filter(number > begin)
+        found = index.append(part.select(*columns), keep=end is not None)
         answers = found if answers is None else answers.unionByName(found)
-        left = rows.filter(F.col("doc_id") > end) if end is not None else left
     return remove_windows(rows, answers, index.scratch, bits, keep_text).withColumn("doc_id", null_id("doc_id"))
 
 
