@@ -186,6 +186,21 @@ def test_ngram_join(edges, nothing, monkeypatch, hot, tile):
         assert ngram_join.ngram_join(nothing).count() == 0
 
 
+def test_ngram_join_with_common_passages(spark, monkeypatch):
+    """Columns of more rows than HOT_ROWS, known before the rows are multiplied, in texts that link and in others that don't."""
+    seen = []
+    real = ngram_join._frequent
+    monkeypatch.setattr(ngram_join, "_frequent", lambda sets: seen.append(real(sets)) or seen[-1])
+    common, rng, rows = [f"c{k}" for k in range(60)], np.random.default_rng(3), []
+    for i in range(160):
+        own = [f"o{x}" for x in rng.integers(0, 10**6, (1, 4, 20, 90)[i % 4])]
+        rows.append((i, " ".join(own + common if i % 8 < 4 else common + own)))
+    rows += [(200 + i, f"tiny words come here {i % 30}") for i in range(90)] + [(400, None), (401, "")]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert bag(got) == bag(brute_links(rows))
+    assert (seen[0][1] >= ngram_join.HOT_ROWS).any()
+
+
 def test_ngram_stage_keeps_one_of_each_group(edges, spark):
     kept = ngram_join.stage(spark, edges.filter("doc_id <> 17"), "")
     assert kept.columns == edges.columns
