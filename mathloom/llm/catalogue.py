@@ -16,6 +16,7 @@ MODULES = {
     "op8_substring_dedup": "substring_dedup",
     "op9_decontaminate": "decontaminate",
     "op10_warc": "warc",
+    "op11_periodic_runs": "periodic_runs",
 }
 
 
