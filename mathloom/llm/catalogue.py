@@ -17,6 +17,7 @@ MODULES = {
     "op9_decontaminate": "decontaminate",
     "op10_warc": "warc",
     "op11_periodic_runs": "periodic_runs",
+    "op12_weighted_sampling": "weighted_sampling",
 }
 
 
