@@ -18,6 +18,7 @@ MODULES = {
     "op10_warc": "warc",
     "op11_periodic_runs": "periodic_runs",
     "op12_weighted_sampling": "weighted_sampling",
+    "op13_whitening": "whitening",
 }
 
 
