@@ -63,9 +63,9 @@ def parquet_sink_scan(spark, read):
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS problem, s_name AS answer FROM supplier ORDER BY s_suppkey LIMIT 25")
 def limited_scan(spark, read):
-    """The first lines of a file: the limit is the operator."""
+    """The first lines of some files: the limit is the operator, and files behind it aren't read."""
     path = new_folder(spark, "lines")
-    read("supplier").orderBy("s_suppkey").select(F.concat(F.lit("  "), "s_suppkey", F.lit(" # "), "s_name")).coalesce(1).write.text(path)
+    read("supplier").repartitionByRange(12, "s_suppkey").sortWithinPartitions("s_suppkey").select(F.concat(F.lit("  "), "s_suppkey", F.lit(" # "), "s_name")).write.text(path)
     return scans.load(spark, text=path, limit=25)
 
 
@@ -183,23 +183,18 @@ WITH g AS (SELECT c_custkey, CAST(c_custkey % 10 AS INTEGER) AS n FROM customer)
 SELECT idx, array_to_string(list_resize(ids, longest, 19), ' ') AS input_ids, array_to_string(list_resize([20, idx % 17 + 1, 21], 3, 19), ' ') AS targets FROM b
 """)
 def prepared_batches(spark, read):
-    """Lines of numbers as a file, lexed, encoded and padded by batches of 16 in the order of the file."""
+    """Lines of numbers in ten files, lexed, encoded and padded by batches of 16 in the order of the files."""
     path = new_folder(spark, "lines")
-    own = read("customer").select("c_custkey", F.row_number().over(_by("c_custkey")).alias("place"), (F.col("c_custkey") % 10).cast("int").alias("n"))
+    own = read("customer").select("c_custkey", (F.col("c_custkey") % 10).cast("int").alias("n"))
     xs = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda i: (F.col("c_custkey") * i % 17).cast("string")), ",")
-    own.select("place", F.concat(xs, F.lit(" # "), ((F.col("place") - 1) % 17).cast("string")).alias("value")).orderBy("place").select("value").write.text(path)
+    lines = own.repartitionByRange(10, "c_custkey").sortWithinPartitions("c_custkey").select(F.concat(xs, F.lit(" # "), (F.col("c_custkey") % 17).cast("string")).alias("value"))
+    lines.write.text(path)
     lexer = lex.Lexer.build(Vocab.build(range_tokens("", 0, 16) + [","]), lex.NumberPolicy(False, 0, False))
     done = prepare.prepare(spark, lexer, {"text": path}, {"text": path}, validate_train=True)
     show = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
     return done.batches("train", 16).select("idx", show("input_ids").alias("input_ids"), show("target_ids_raw").alias("targets"))
 
 
-def _by(*columns: str):
-    from pyspark.sql.window import Window
-
-    return Window.orderBy(*columns)
-
-
 @query("SELECT 'p' || n_nationkey AS problem, substr(n_name || ' is a nation with quite a long name, longer than fifty', 1, 47) || '...' AS answer FROM nation ORDER BY n_nationkey LIMIT 5")
 def preview_rows(spark, read):
     rows = read("nation").orderBy("n_nationkey").select(F.concat(F.lit("p"), "n_nationkey").alias("problem"), F.concat("n_name", F.lit(" is a nation with quite a long name, longer than fifty")).alias("answer"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import nested
 from ..operators import metrics
 from ..sources import scans, sinks
-from ..sources.folders import new_folder
+from ..sources.folders import new_folder, remove
 
 #: seed -> (problem, answer) as strings or lists, or None to skip the index.
 Instance = Callable[[int], tuple[Any, Any] | None]
@@ -74,25 +74,43 @@ def generate(spark: SparkSession, instance: Instance, sizes: dict[str, int], roo
     return rows.mapInPandas(_run(instance, statistics), SCHEMA)
 
 
-def generate_accepted(spark: SparkSession, instance: Instance, tag: str, n: int, root_seed: int = 42, share: float = 0.25, statistics: Statistics | None = None, most: int = 1 << 40) -> DataFrame:
+def generate_accepted(spark: SparkSession, instance: Instance, tag: str, n: int, root_seed: int = 42, share: float = 0.25, statistics: Statistics | None = None, most: int | None = None) -> DataFrame:
     """The first n indices that yield a sample.
 
-    Ranges of indices are generated and written, each sized by the share accepted so far (at first `share`), until there are n; an
-    error only if `most` indices don't yield them.
+    Ranges of indices are generated and written, each sized by the share accepted so far (at first `share`) but at most four times as
+    long as the one before, until there are n. It is an error if `most` indices, 1000 n + 10,000 unless given, don't yield them.
     """
-    folder, done, found, parts = new_folder(spark, "accepted"), 0, 0, []
-    while found < n:
-        if done >= most:
-            raise RuntimeError(f"only {found} of {done} indices yield a sample")
-        size = min(most - done, int(1.1 * (n - found) / share) + 16)
+    most = 1000 * n + 10_000 if most is None else most
+    folder, done, found, parts, size = new_folder(spark, "accepted"), 0, 0, [], int(1.1 * n / share) + 16
+    while True:
+        size = min(size, most - done)
         rows = spark.range(done, done + size).select(F.lit(tag).alias("tag"), F.col("id").alias("sample_index"))
         rows = rows.withColumn("seed", seed_hex(F.lit(root_seed), F.col("tag"), F.col("sample_index")))
         parts.append(f"{folder}/{done}")
         rows.mapInPandas(_run(instance, statistics), SCHEMA).write.parquet(parts[-1])
+        last = spark.read.schema(SCHEMA).parquet(parts[-1])
+        before, found = found, found + last.count()
+        if found >= n:
+            cut = nth_smallest(last, "sample_index", n - before, done, done + size)
+            return spark.read.schema(SCHEMA).parquet(*parts).filter(F.col("sample_index") <= cut)
         done += size
-        found += spark.read.schema(SCHEMA).parquet(parts[-1]).count()
-        share = max(found / done, 1 / (4 * done))
-    return spark.read.schema(SCHEMA).parquet(*parts).orderBy("sample_index").limit(n)
+        if done >= most:
+            remove(spark, folder)
+            raise RuntimeError(f"only {found} of {done} indices yield a sample")
+        size = min(4 * size, int(1.1 * (n - found) * done / max(found, 1)) + 16)
+
+
+def nth_smallest(rows: DataFrame, column: str, n: int, low: int, high: int, buckets: int = 1024) -> int:
+    """The n-th smallest (from 1) of distinct numbers from low to high - 1, by counts of ever smaller buckets."""
+    while high - low > 1:
+        width = -(-(high - low) // buckets)
+        counts = rows.filter(F.col(column).between(low, high - 1)).groupBy(F.expr(f"({column} - {low}) div {width}").alias("bucket")).count().orderBy("bucket").collect()  # at most `buckets`
+        for bucket, count in counts:
+            if n <= count:
+                break
+            n -= count
+        low, high = low + bucket * width, min(high, low + (bucket + 1) * width)
+    return low
 
 
 def write(df: DataFrame, folder: str, formats: tuple[str, ...] = ("parquet", "text", "jsonl"), report: bool = True) -> None:

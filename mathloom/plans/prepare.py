@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.lexer import Lexer
 from ..functions.loadprep import LoadStep
@@ -36,30 +37,41 @@ class Prepared:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Adds idx, from 0 without gaps in the order of a scan's rows, by the numbers of rows of its partitions; written first, so that a
-    second pass meets the same partitions."""
-    path = new_folder(df.sparkSession, "numbered")
-    part, at = F.shiftright(F.col("_id"), 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    df.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
-    rows = df.sparkSession.read.schema(df.schema.add("_id", "long")).parquet(path)
-    sizes = {r[0]: r[1] for r in rows.groupBy(part.alias("part")).count().collect()}  # a number for each partition
-    starts, total = [], 0
-    for k in range(max(sizes, default=-1) + 1):
-        starts.append(total)
-        total += sizes.get(k, 0)
-    first = F.element_at(F.array(*map(F.lit, starts)), part + 1) if starts else F.lit(0)
-    return rows.withColumn("idx", (first + at).cast("long")).drop("_id")
+    """Adds idx, from 0 without gaps in the order of the files that the rows come from, and drops _line (`scans.load` with place).
+
+    The rows are written first, with ids that rise along a split of a file. A row's number is its id's distance to the smallest one of its
+    split and the number of rows of the splits before; of each split two numbers go through the driver, which holds the list of splits
+    anyway. Where a load step has moved rows to other tasks, they are sorted within their splits instead; it mustn't sort them within a task.
+    """
+    if "_line" not in df.columns:
+        raise ValueError("a load step has to keep the column _line, which orders the rows")
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "numbered")
+    df.select("*", F.col("_line.file").alias("_file"), F.col("_line.block").alias("_block"), F.monotonically_increasing_id().alias("_id")).write.parquet(path)
+    rows = spark.read.schema(df.schema.add("_file", "string").add("_block", "long").add("_id", "long")).parquet(path)
+    stats = rows.groupBy("_file", "_block").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), F.count("*").alias("n"), F.bool_and(F.shiftright("_id", 33) == F.shiftright("_line.row", 33)).alias("in_task"))
+    splits, starts, at = stats.orderBy("_file", "_block").collect(), [], 0
+    for r in splits:
+        starts.append((r["_file"], r["_block"], r["low"], at))
+        at += r["n"]
+    rows = rows.join(spark.createDataFrame(starts, "_file string, _block long, _low long, _start long"), ["_file", "_block"])
+    if all(r["high"] - r["low"] + 1 == r["n"] and r["in_task"] for r in splits):
+        within = F.col("_id") - F.col("_low")
+    else:
+        within = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_line.row", "_id")) - 1
+    return rows.withColumn("idx", (F.col("_start") + within).cast("long")).drop("_file", "_block", "_id", "_low", "_start", "_line")
 
 
 def tokenised(df: DataFrame, lexer: Lexer) -> DataFrame:
-    """(idx, problem, answer) with token and id columns; large vocabularies are joined."""
+    """(idx, problem, answer) with token and id columns; the tokens of both sides are joined with a large vocabulary at once."""
     df = df.withColumns({"input_tokens": lexer.tokens(df["problem"]), "target_tokens": lexer.tokens(df["answer"])})
     sides = (("input_tokens", "input_ids_raw"), ("target_tokens", "target_ids_raw"))
     if len(lexer.vocab.ids) <= MAP_TOKENS:
         return df.withColumns({out: encode(df[c], lexer.vocab) for c, out in sides})
-    for c, out in sides:
-        df = df.join(encode_by_join(df, "idx", c, lexer.vocab, out), "idx")
-    return df
+    both = encode_by_join(df.select("idx", F.concat("input_tokens", "target_tokens").alias("tokens")), "idx", "tokens", lexer.vocab, "_ids")
+    begin, end = (F.array(F.lit(lexer.vocab.special_id(name))) for name in ("bos_token", "eos_token"))
+    size = F.size("input_tokens")
+    ids = {"input_ids_raw": F.slice("_ids", F.lit(2), size), "target_ids_raw": F.slice("_ids", size + 2, F.size("target_tokens"))}
+    return df.join(both, "idx").withColumns({out: F.concat(begin, c, end) for out, c in ids.items()}).drop("_ids")
 
 
 def prepare(spark: SparkSession, lexer: Lexer, train: dict[str, Any], test: dict[str, Any], step: LoadStep | None = None, validate_train: bool = False, validate_test: bool = True, dry_run: bool = False) -> Prepared:
@@ -67,7 +79,7 @@ def prepare(spark: SparkSession, lexer: Lexer, train: dict[str, Any], test: dict
     out = {}
     for name, source, check in (("train", train, validate_train), ("test", test, validate_test)):
         source = {**source, "limit": DRY_RUN[name]} if dry_run else source
-        df = scans.load(spark, step=step, **source)
+        df = scans.load(spark, step=step, place=True, **source)
         if check:
             check_tokens(df, lexer, "problem", "answer")
         out[name] = tokenised(numbered(df), lexer)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import pickle
+import re
+from collections.abc import Callable
 from pathlib import Path
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +15,11 @@ from pyspark.sql import functions as F
 from ..functions import nested
 from ..functions.loadprep import LoadStep
 from ..functions.text import after, before, strip
+from . import folders
 
 _LINE = "_line"
+#: Fields of a job log's records: the number of the append and of the row in it.
+APPENDED, ROW = "appended", "appended_row"
 
 
 def check_limit(limit: int | None) -> int | None:
@@ -25,17 +31,34 @@ def check_limit(limit: int | None) -> int | None:
     return limit
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, _line): stripped lines that aren't blank, with a key that orders them as in the files."""
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, _line): stripped lines that aren't blank, with a key that orders them as in the files, by their paths."""
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    rows = spark.read.text(path).select(strip(F.col("value")).alias("value"), place.alias(_LINE))
-    return rows.filter("value <> ''")
+    return spark.read.text(path).select(strip(F.col("value")).alias("value"), place.alias(_LINE)).filter("value <> ''")
 
 
-def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
-    """The first rows in the order of lines; the order itself is no longer needed."""
+def first_rows(spark: SparkSession, path: str, limit: int | None, rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `rows` makes of the lines of some files, or the first `limit` of it in the order of the files.
+
+    With a limit, files are counted in their order, each time four times as many as before, until there are enough rows; the others
+    aren't read.
+    """
     limit = check_limit(limit)
-    return (df if limit is None else df.orderBy(_LINE).limit(limit)).drop(_LINE)
+    if limit is None:
+        return rows(lines(spark, path))
+    files, need = [_literally(name) for name in sorted(spark.read.text(path).inputFiles())], 1
+    while need < len(files) and rows(lines(spark, files[:need])).limit(limit).count() < limit:
+        need *= 4
+    return rows(lines(spark, files[:need] or path)).orderBy(_LINE).limit(limit)
+
+
+def _literally(name: str) -> str:
+    """A file's name as Spark lists it -> a path that stands for this file alone."""
+    return re.sub(r"([\\*?{}\[\]])", r"\\\1", unquote(name))
+
+
+def in_place(df: DataFrame, place: bool) -> DataFrame:
+    return df if place else df.drop(_LINE)
 
 
 def split_pairs(df: DataFrame, column: str = "value", on_missing: str = "skip") -> DataFrame:
@@ -49,9 +72,9 @@ def split_pairs(df: DataFrame, column: str = "value", on_missing: str = "skip")
     return df.withColumns({"problem": need(strip(before(c, "#"))), "answer": need(strip(after(c, "#")))})
 
 
-def read_pairs(spark: SparkSession, path: str, limit: int | None = None, on_missing: str = "skip") -> DataFrame:
-    """(problem, answer) of a text file with one pair a line."""
-    return first_rows(split_pairs(lines(spark, path), on_missing=on_missing).drop("value"), limit)
+def read_pairs(spark: SparkSession, path: str, limit: int | None = None, on_missing: str = "skip", place: bool = False) -> DataFrame:
+    """(problem, answer) of text files with one pair a line; with `place` also _line, which orders them."""
+    return in_place(first_rows(spark, path, limit, lambda df: split_pairs(df, on_missing=on_missing).drop("value")), place)
 
 
 def is_falsy(v: Column) -> Column:
@@ -74,35 +97,37 @@ def parse_records(df: DataFrame, column: str = "value") -> DataFrame:
     return rows.withColumns({"problem": nested.from_variant(F.col("_p")), "answer": nested.from_variant(F.col("_a"))}).drop("_v", "_p", "_a")
 
 
-def read_records(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(problem, answer) as nested values from JSON lines."""
-    return first_rows(parse_records(lines(spark, path)).drop("value"), limit)
+def read_records(spark: SparkSession, path: str, limit: int | None = None, place: bool = False) -> DataFrame:
+    """(problem, answer) as nested values from JSON lines; with `place` also _line, which orders them."""
+    return in_place(first_rows(spark, path, limit, lambda df: parse_records(df).drop("value")), place)
 
 
-def read_trusted_pickle(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def read_trusted_pickle(spark: SparkSession, path: str, limit: int | None = None, place: bool = False) -> DataFrame:
     """A pickled list of (problem, answer) pairs. Only for small files that you have written yourself."""
     rows = pickle.loads(Path(path).read_bytes())
     if not isinstance(rows, list):
         raise TypeError("the file must hold a list")
     rows = rows[: check_limit(limit)]
-    return spark.createDataFrame([(nested.of_python(p), nested.of_python(a)) for p, a in rows], "problem struct<kind:string,cells:array<array<string>>>, answer struct<kind:string,cells:array<array<string>>>")
+    value = "struct<kind:string,cells:array<array<string>>>"
+    df = spark.createDataFrame([(nested.of_python(p), nested.of_python(a), (path, 0, i)) for i, (p, a) in enumerate(rows)], f"problem {value}, answer {value}, {_LINE} struct<file:string,block:long,row:long>")
+    return in_place(df, place)
 
 
-def load(spark: SparkSession, text: str | None = None, jsonl: str | None = None, pickled: str | None = None, step: LoadStep | None = None, limit: int | None = None) -> DataFrame:
+def load(spark: SparkSession, text: str | None = None, jsonl: str | None = None, pickled: str | None = None, step: LoadStep | None = None, limit: int | None = None, place: bool = False) -> DataFrame:
     """(problem, answer) strings from whichever path is given: pickle before JSON lines before text. Suffixes tell the formats
-    of `text`. With a load step a line without # is an error."""
+    of `text`. With a load step a line without # is an error. With `place` also _line, which orders the rows as in the files."""
     if text and text.endswith(".pkl"):
         text, pickled = None, pickled or text
     if text and text.endswith(".jsonl"):
         text, jsonl = None, jsonl or text
     if pickled or jsonl:
-        df = read_trusted_pickle(spark, pickled, limit) if pickled else read_records(spark, jsonl, limit)
+        df = read_trusted_pickle(spark, pickled, limit, place) if pickled else read_records(spark, jsonl, limit, place)
         if step is None:
-            return df.select(nested.to_words(df["problem"]).alias("problem"), nested.to_words(df["answer"]).alias("answer"))
+            return df.withColumns({c: nested.to_words(df[c]) for c in ("problem", "answer")})
         return df.transform(step)
     if not text:
         raise ValueError("a path is needed")
-    df = read_pairs(spark, text, limit, "raise" if step else "skip")
+    df = read_pairs(spark, text, limit, "raise" if step else "skip", place)
     return df.transform(step) if step else df
 
 
@@ -121,10 +146,14 @@ def latest_step(files: DataFrame, column: str = "path") -> DataFrame:
 
 
 def read_job_log(spark: SparkSession, path: str) -> DataFrame:
-    """(record, _line) of the log's objects, the files of later appends last; other lines are ignored."""
-    place = F.struct(F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
-    rows = spark.read.text(path).select(strip(F.col("value")).alias("value"), place.alias(_LINE)).withColumn("record", F.try_parse_json("value"))
-    return rows.filter("schema_of_variant(record) like 'OBJECT%'").select("record", _LINE)
+    """(record, _line) of the log's objects; other lines are ignored. `_line` orders them by the numbers that `sinks.append_jobs` writes
+    into them; records without one come first, by their files' times."""
+    rows = spark.read.text(path).select(strip(F.col("value")).alias("value"), F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumn("record", F.try_parse_json("value")).filter("schema_of_variant(record) like 'OBJECT%'")
+    number = lambda key: F.try_variant_get("record", f"$.{key}", "long")
+    own = number(APPENDED).isNull()
+    place = F.struct(F.coalesce(number(APPENDED), F.lit(-1)).alias("append"), F.when(own, F.col("written")).alias("written"), F.when(own, F.col("file")).alias("file"), F.coalesce(number(ROW), F.col("row")).alias("row"))
+    return rows.select("record", place.alias(_LINE))
 
 
 def latest_jobs(log: DataFrame) -> DataFrame:
@@ -154,10 +183,11 @@ def indices(spark: SparkSession, sizes: dict[str, int]) -> DataFrame:
     return out
 
 
-def read_config(path: str) -> dict[str, Any]:
+def read_config(path: str, spark: SparkSession | None = None) -> dict[str, Any]:
+    """A YAML file, with a session from any store that it reads."""
     import yaml
 
-    return yaml.safe_load(Path(path).read_text()) or {}
+    return yaml.safe_load(folders.read_text(spark, path) if spark else Path(path).read_text()) or {}
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:

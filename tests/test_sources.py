@@ -1,11 +1,13 @@
 import json
 import pickle
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from mathloom.functions import loadprep, nested, text
-from mathloom.sources import scans, sinks
+from mathloom.plans import prepare
+from mathloom.sources import folders, scans, sinks
 
 
 @pytest.fixture
@@ -140,3 +142,90 @@ def test_text_functions(spark):
     states = {"Kernel complete": "complete", "failed: error": "failed", "CANCELED": "cancelled", "is running": "running", "queued": "queued", "": "unknown", "complete with error": "complete"}
     got = spark.createDataFrame([(k,) for k in states], "t string").select("t", text.state(F.col("t"))).collect()
     assert dict(map(tuple, got)) == states
+
+
+def part_files(folder, sizes, line=lambda i: f"{i} # a{i}"):
+    """Files of consecutive lines in the order of their names."""
+    folder.mkdir()
+    at = 0
+    for k, n in enumerate(sizes):
+        (folder / f"part-{k:05d}.txt").write_text("".join(f"{line(i)}\n" for i in range(at, at + n)))
+        at += n
+    return at
+
+
+SIZES = [5, 4995, 0, 3, 1200, 1, 700, 2500, 40, 9]
+
+
+def test_rows_are_numbered_in_the_order_of_the_files(spark, tmp_path):
+    n = part_files(tmp_path / "in", SIZES, lambda i: f"{i} # a{i}" if i % 7 else f"{i} # a{i}\n\n  \nno mark {i}")
+    for small in ("128m", "4k"):  # whole files, and files in several splits
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        try:
+            rows = prepare.numbered(scans.load(spark, text=str(tmp_path / "in"), place=True))
+            assert sorted((r["idx"], int(r["problem"])) for r in rows.collect()) == [(i, i) for i in range(n)]
+            # a load step that drops rows leaves no gaps, one that moves them is put right
+            odd = scans.load(spark, text=str(tmp_path / "in"), place=True).filter("problem % 2 = 1")
+            for df in (odd, odd.repartition(5)):
+                assert sorted((r["idx"], int(r["problem"])) for r in prepare.numbered(df).collect()) == [(i, 2 * i + 1) for i in range(n // 2)]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    with pytest.raises(ValueError, match="_line"):
+        prepare.numbered(scans.load(spark, text=str(tmp_path / "in")))
+
+
+@pytest.mark.parametrize("limit", [1, 5, 6, 5003, 6204, 9453, 10**6])
+def test_first_rows_in_the_order_of_the_files(spark, tmp_path, limit):
+    n = part_files(tmp_path / "in", SIZES)
+    (tmp_path / "in" / "part-00005.txt").rename(tmp_path / "in" / "part-00005 {x}[1]*.txt")
+    got = scans.load(spark, text=str(tmp_path / "in"), limit=limit)
+    assert sorted(int(r["problem"]) for r in got.collect()) == list(range(min(n, limit)))
+
+
+def metrics_of(df):
+    """What the scans of an executed plan have counted."""
+    nodes, out = [df._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+            continue
+        if name.startswith("Scan"):
+            out.append(f"number of files read: {node.metrics().apply('numFiles').value()}")
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return "; ".join(out)
+
+
+def test_limit_reads_the_first_files_only(spark, tmp_path):
+    part_files(tmp_path / "in", SIZES)
+    for limit, files in ((5, 1), (6, 3)):  # of four, the empty one is no work
+        plan = scans.read_pairs(spark, str(tmp_path / "in"), limit)
+        plan.collect()
+        scan = re.search(r"number of files read: (\d+)", metrics_of(plan))
+        assert int(scan[1]) == files
+
+
+def test_job_log_of_files_with_equal_times(spark, tmp_path):
+    """Later appends win, whatever their files are called and whenever they seem to be written."""
+    import os
+
+    log = str(tmp_path / "log")
+    for status in ("queued", "running", "failed", "done"):
+        sinks.append_jobs(spark.createDataFrame([(f"j{i}", status) for i in range(20)], "job_id string, status string").coalesce(1), log)
+    sinks.delete_jobs(scans.latest_jobs(scans.read_job_log(spark, log)), spark.createDataFrame([("j3",)], "job_id string"), log)
+    for name in os.listdir(log):
+        os.utime(f"{log}/{name}", (1_700_000_000, 1_700_000_000))
+    rows = {r["job_id"]: json.loads(r["record"])["status"] for r in scans.present_jobs(scans.read_job_log(spark, log)).collect()}
+    assert rows == {f"j{i}": "done" for i in range(20) if i != 3}
+
+
+def test_yaml_in_a_store(spark, tmp_path):
+    sinks.write_yaml({"a": [1]}, f"file://{tmp_path}/deep/r.yaml")
+    assert scans.read_config(f"file://{tmp_path}/deep/r.yaml", spark) == {"a": [1]}
+    with pytest.raises(Exception):
+        folders.write_text(spark, f"file://{tmp_path}/deep/r.yaml", "again", replace=False)
+    folders.write_text(spark, f"{tmp_path}/deep/r.yaml", "b: 2\n")
+    assert scans.read_config(f"{tmp_path}/deep/r.yaml") == {"b": 2} and sorted(p.name for p in (tmp_path / "deep").iterdir() if not p.name.endswith(".crc")) == ["r.yaml"]
