@@ -63,10 +63,36 @@ def describe(df: DataFrame, *by: str, value: str = "value") -> DataFrame:
     return df.groupBy(*by).agg(F.count(v).alias("n"), zero(F.avg(v), "mean"), zero(F.stddev_pop(v), "std"), zero(F.min(v), "min"), zero(F.max(v), "max"))
 
 
+def partial(df: DataFrame, *by: str, value: str = "value") -> DataFrame:
+    """What `merged` needs of a batch to describe it together with others: n, mean, m2 (squared distances to the mean), min, max."""
+    v = F.col(value).cast("double")
+    rows = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("m2"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return rows.filter("n > 0").withColumn("m2", F.col("m2") * F.col("n"))
+
+
+def merged(parts: DataFrame, *by: str) -> DataFrame:
+    """One partial result from several: means weighted by n; the squared distances within the parts and, n times, those of their means
+    to the common one."""
+    one = F.struct(*(F.col(c) for c in ("n", "mean", "m2")))
+    rows = parts.groupBy(*by).agg(F.collect_list(one).alias("parts"), F.sum("n").alias("n"), F.min("min").alias("min"), F.max("max").alias("max"))
+    total = lambda f: F.aggregate(F.transform("parts", f), F.lit(0.0), lambda s, x: s + x)
+    rows = rows.withColumn("mean", total(lambda p: p["n"] * p["mean"]) / F.col("n"))
+    return rows.withColumn("m2", total(lambda p: p["m2"] + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))).select(*by, "n", "mean", "m2", "min", "max")
+
+
+def described(parts: DataFrame, *by: str) -> DataFrame:
+    """As `describe`, from a partial result."""
+    return parts.select(*by, "n", "mean", F.sqrt(F.col("m2") / F.col("n")).alias("std"), "min", "max")
+
+
 def sample_statistics(df: DataFrame, column: str) -> DataFrame:
     """Statistics of MAP<category, MAP<metric, number>> by category and metric; rows without statistics add nothing."""
-    rows = df.select(F.explode(column).alias("category", "metrics")).select("category", F.explode("metrics").alias("metric", "value"))
-    return describe(rows, "category", "metric")
+    return describe(long_statistics(df, column), "category", "metric")
+
+
+def long_statistics(df: DataFrame, column: str) -> DataFrame:
+    """(category, metric, value) of nested maps."""
+    return df.select(F.explode(column).alias("category", "metrics")).select("category", F.explode("metrics").alias("metric", "value"))
 
 
 def report(df: DataFrame, runtime: str, stats: str | None, total_time: float) -> dict[str, Any]:

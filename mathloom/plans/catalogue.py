@@ -669,12 +669,12 @@ def daily_statistics(spark, read):
 
 
 def queries() -> dict[str, Query]:
-    from . import catalogue_more  # noqa: F401  registers its queries
+    from . import catalogue_more, catalogue_tables  # noqa: F401  register their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalogue_more  # noqa: F401
+    from . import catalogue_more, catalogue_tables  # noqa: F401
 
     return dict(SQL)

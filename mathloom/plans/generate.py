@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import nested
 from ..operators import metrics
 from ..sources import scans, sinks
+from ..sources.batches import BatchTable
 from ..sources.folders import new_folder, remove
 
 #: seed -> (problem, answer) as strings or lists, or None to skip the index.
@@ -124,6 +125,26 @@ def write(df: DataFrame, folder: str, formats: tuple[str, ...] = ("parquet", "te
             sinks.write_yaml(metrics.report(done.filter(F.col("tag") == tag), "runtime", "stats", time.perf_counter() - began), f"{folder}/{tag}_stats.yaml")
 
 
+def append_batches(spark: SparkSession, instance: Instance, sizes: dict[str, int], folder: str, batch_size: int, root_seed: int = 42, statistics: Statistics | None = None) -> tuple[BatchTable, BatchTable]:
+    """Generates batch after batch into two tables below a folder, `samples` and `states` (partial statistics by tag, category and metric).
+
+    A run that was stopped goes on behind its last batch: batches that a table has are left out.
+    """
+    samples, states = BatchTable(spark, f"{folder}/samples"), BatchTable(spark, f"{folder}/states")
+    have = {t: {r["batch"] for r in t.log().select("batch").collect()} for t in (samples, states)}
+    for tag, n in sizes.items():
+        for low in range(0, n, batch_size):
+            name, high = f"{sinks.check_tag(tag)}-{low}-{min(n, low + batch_size)}", min(n, low + batch_size)
+            rows = spark.range(low, high).select(F.lit(tag).alias("tag"), F.col("id").alias("sample_index"))
+            rows = rows.withColumn("seed", seed_hex(F.lit(root_seed), F.col("tag"), F.col("sample_index")))
+            if name not in have[samples]:
+                samples.append(rows.mapInPandas(_run(instance, statistics), SCHEMA), name)
+            if name not in have[states] and statistics:
+                done = samples.batch(name)
+                states.append(metrics.partial(metrics.long_statistics(done, "stats"), "category", "metric").withColumn("tag", F.lit(tag)), name)
+    return samples, states
+
+
 class Generators:
     """Instance functions by name."""
 

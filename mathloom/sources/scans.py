@@ -37,7 +37,7 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias("value"), place.alias(_LINE)).filter("value <> ''")
 
 
-def first_rows(spark: SparkSession, path: str, limit: int | None, rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def first_rows(spark: SparkSession, path: str | list[str], limit: int | None, rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What `rows` makes of the lines of some files, or the first `limit` of it in the order of the files.
 
     With a limit, files are counted in their order, each time four times as many as before, until there are enough rows; the others
@@ -72,7 +72,7 @@ def split_pairs(df: DataFrame, column: str = "value", on_missing: str = "skip")
     return df.withColumns({"problem": need(strip(before(c, "#"))), "answer": need(strip(after(c, "#")))})
 
 
-def read_pairs(spark: SparkSession, path: str, limit: int | None = None, on_missing: str = "skip", place: bool = False) -> DataFrame:
+def read_pairs(spark: SparkSession, path: str | list[str], limit: int | None = None, on_missing: str = "skip", place: bool = False) -> DataFrame:
     """(problem, answer) of text files with one pair a line; with `place` also _line, which orders them."""
     return in_place(first_rows(spark, path, limit, lambda df: split_pairs(df, on_missing=on_missing).drop("value")), place)
 
@@ -97,7 +97,7 @@ def parse_records(df: DataFrame, column: str = "value") -> DataFrame:
     return rows.withColumns({"problem": nested.from_variant(F.col("_p")), "answer": nested.from_variant(F.col("_a"))}).drop("_v", "_p", "_a")
 
 
-def read_records(spark: SparkSession, path: str, limit: int | None = None, place: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, path: str | list[str], limit: int | None = None, place: bool = False) -> DataFrame:
     """(problem, answer) as nested values from JSON lines; with `place` also _line, which orders them."""
     return in_place(first_rows(spark, path, limit, lambda df: parse_records(df).drop("value")), place)
 
