@@ -246,15 +246,16 @@ def gcd(x: Column, y: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)["x"]
 
 
-def monomial_counts(variables: int, degree: int) -> Column:
+def monomial_counts(variables: int | Column, degree: int | Column) -> Column:
     """Numbers of monomials of each degree from 0 to `degree`: binomials (variables + d - 1 over d)."""
-    one = lambda d: F.aggregate(F.when(d > 0, F.sequence(F.lit(1), d)).otherwise(F.array().cast("array<int>")), F.lit(1).cast("long"), lambda s, k: F.floor(s * (F.lit(variables - 1) + k) / k).cast("long"))
-    return F.transform(F.sequence(F.lit(0), F.lit(degree)), one)
+    variables, degree = (x if isinstance(x, Column) else F.lit(x) for x in (variables, degree))
+    one = lambda d: F.aggregate(F.when(d > 0, F.sequence(F.lit(1), d)).otherwise(F.array().cast("array<int>")), F.lit(1).cast("long"), lambda s, k: F.call_function("div", s * (variables - 1 + k), k))
+    return F.transform(F.sequence(F.lit(0), degree), one)
 
 
-def exponent_vectors(spark, variables: int, degree: int) -> DataFrame:
-    """All exponent vectors of a total degree."""
-    out = spark.range(degree + 1).select(F.array(F.col("id").cast("int")).alias("exps"), F.col("id").cast("int").alias("used"))
+def exponent_vectors(rows: DataFrame, variables: int, degree: int | Column) -> DataFrame:
+    """The rows with each exponent vector (exps) of their total degree."""
+    out, names = rows.withColumns({"exps": F.array().cast("array<int>"), "_left": (degree if isinstance(degree, Column) else F.lit(degree)).cast("int")}), rows.columns
     for _ in range(variables - 1):
-        out = out.withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(degree) - F.col("used")))).select(F.concat("exps", F.array("e")).alias("exps"), (F.col("used") + F.col("e")).alias("used"))
-    return out.filter(F.col("used") == degree).select("exps")
+        out = out.withColumn("_e", F.explode(F.sequence(F.lit(0), F.col("_left")))).select(*names, F.concat("exps", F.array("_e")).alias("exps"), (F.col("_left") - F.col("_e")).alias("_left"))
+    return out.select(*names, F.concat("exps", F.array("_left")).alias("exps"))

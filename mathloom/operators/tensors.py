@@ -54,10 +54,10 @@ def encode_positions(kind: str, vector: Column, pos: Column, dim: int, max_lengt
     return kinds[kind]()
 
 
-def causal_mask(spark: SparkSession, length: int) -> DataFrame:
-    """(i, j, masked): position i doesn't see j beyond it."""
-    grid = spark.range(length).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("j"))
-    return grid.withColumn("masked", F.col("j") > F.col("i"))
+def causal_mask(sequences: DataFrame, length: str) -> DataFrame:
+    """The rows, each a sequence of some length, with (i, j, masked) for all its pairs of positions: i doesn't see j beyond it."""
+    places = lambda: F.explode(F.sequence(F.lit(0), F.col(length).cast("int") - 1))
+    return sequences.filter(F.col(length) > 0).withColumn("i", places()).withColumn("j", places()).withColumn("masked", F.col("j") > F.col("i"))
 
 
 def padding_mask(mask: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lexer import Lexer
 from ..functions.text import strip
 from ..functions.vocab import Vocab
+from .expressions import is_formula
 
 
 def unknown_tokens(df: DataFrame, tokens: str, vocab: Vocab) -> DataFrame:
@@ -33,27 +34,6 @@ def variable_names(variables: list[str] | str, count: int | None = None) -> list
     return names
 
 
-def is_formula(piece: Column, variables: list[str]) -> Column:
-    """Whether a text is a sum of products of numbers, variables and sums in parentheses, each with a power if it has one.
-
-    Parentheses go from the inside: in every step each innermost one that holds a formula becomes a number.
-    """
-    name = "(?:" + "|".join(sorted(map(_escaped, variables), key=len, reverse=True)) + ")" if variables else "(?!)"
-    number = r"\d+(?:\.\d+)?(?:/\d+)?"
-    factor = rf"(?:{number}|{name})(?:\s*(?:\^|\*\*)\s*\d+)?"
-    term = rf"{factor}(?:\s*\*\s*{factor})*"
-    total = rf"[+-]?\s*{term}(?:\s*[+-]\s*{term})*"
-    steps = F.sequence(F.lit(1), F.greatest(F.regexp_count(piece, F.lit(r"\(")), F.lit(1)))
-    flat = F.aggregate(steps, piece, lambda s, _: F.regexp_replace(s, rf"\(\s*{total}\s*\)", " 1 "))
-    return F.when(F.contains(piece, F.lit("(")), flat).otherwise(piece).rlike(rf"^\s*{total}\s*$")
-
-
-def _escaped(text: str) -> str:
-    import re
-
-    return re.escape(text)
-
-
 def pieces_are_formulas(c: Column, variables: list[str]) -> Column:
     """Whether every piece between bars is a formula; a text without pieces isn't one."""
     pieces = F.filter(F.transform(F.split(c, r"\|+"), strip), lambda x: x != "")

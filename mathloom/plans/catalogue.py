@@ -206,12 +206,15 @@ def lex_attach(spark, read):
 
 
 @query("""
-WITH v AS (SELECT 0 AS a, 0 AS i, '[SEP]' AS token UNION ALL SELECT 1, i, 'C' || i FROM range(-50, 51) t(i) UNION ALL SELECT 2, i, 'E' || i FROM range(0, 21) t(i)
+WITH b AS (SELECT max(p_size) AS c, max(p_partkey) // 100 AS e FROM part), c AS (SELECT unnest(range(-c, c + 1)) AS i FROM b), e AS (SELECT unnest(range(0, e + 1)) AS i FROM b),
+     v AS (SELECT 0 AS a, 0 AS i, '[SEP]' AS token UNION ALL SELECT 1, i, 'C' || i FROM c UNION ALL SELECT 2, i, 'E' || i FROM e
            UNION ALL SELECT 3, i, 'x' || i FROM range(0, 3) t(i) UNION ALL SELECT 4, 0, '+' UNION ALL SELECT 5, i, m FROM (VALUES (0, '[PAD]'), (1, '<s>'), (2, '</s>'), (3, '[CLS]')) t(i, m))
 SELECT token, CAST(row_number() OVER (ORDER BY a, i) - 1 AS INTEGER) AS id, a = 5 AS is_special FROM v
 """)
 def vocab_range(spark, read):
-    return Vocab.from_config({"range": {"c": ["C", -50, 50], "e": ["E", 0, 20], "v": ["x", 0, 2], "ignored": [1]}, "misc": ["+"]}).frame(spark)
+    """Ranges as wide as the sizes of parts, and as a hundredth of their number."""
+    c, e = read("part").agg(F.max("p_size"), F.expr("max(p_partkey) div 100")).first()
+    return Vocab.from_config({"range": {"c": ["C", -c, c], "e": ["E", 0, e], "v": ["x", 0, 2], "ignored": [1]}, "misc": ["+"]}).frame(spark)
 
 
 _KNOWN = Vocab.build(range_tokens("", 0, 99) + ["the", "of", "and", "de", "+", "-", "*", "|", "#", "<unk>"])
@@ -336,24 +339,30 @@ def seed_hash(spark, read):
     return read("orders").select("o_orderkey", seed.alias("seed"), generate.seed_64(seed).cast("string").alias("seed_64"))
 
 
-@query("SELECT CAST(d AS INTEGER) AS degree, CAST((d + 1) * (d + 2) / 2 AS BIGINT) AS n FROM range(0, 11) t(d)")
+@query("""
+WITH p AS (SELECT p_partkey, 1 + p_partkey % 5 AS v, unnest(range(0, 1 + p_size % 11)) AS d FROM part)
+SELECT p_partkey, CAST(d AS INTEGER) AS degree, CAST(factorial(CAST(v + d - 1 AS INTEGER)) / (factorial(CAST(d AS INTEGER)) * factorial(CAST(v - 1 AS INTEGER))) AS BIGINT) AS n FROM p
+""")
 def monomial_counts(spark, read):
-    return spark.range(1).select(F.posexplode(polynomials.monomial_counts(3, 10)).alias("degree", "n"))
+    """Monomials of each degree up to a part's size modulo 11, in one to five variables."""
+    counts = polynomials.monomial_counts(1 + F.col("p_partkey") % 5, F.col("p_size") % 11)
+    return read("part").select("p_partkey", F.posexplode(counts).alias("degree", "n"))
 
 
 @query("""
-SELECT a || ',' || b || ',' || c || ',' || d AS exps FROM range(0, 7) t(a), range(0, 7) u(b), range(0, 7) v(c), range(0, 7) w(d) WHERE a + b + c + d = 6
+SELECT s_suppkey, a || ',' || b || ',' || c || ',' || (s_suppkey % 7 - a - b - c) AS exps FROM supplier, range(0, 7) t(a), range(0, 7) u(b), range(0, 7) v(c) WHERE a + b + c <= s_suppkey % 7
 """)
 def exponent_vectors(spark, read):
-    return polynomials.exponent_vectors(spark, 4, 6).select(_exps())
+    """All exponent vectors in four variables of each supplier's degree."""
+    return polynomials.exponent_vectors(read("supplier").select("s_suppkey"), 4, F.col("s_suppkey") % 7).select("s_suppkey", _exps())
 
 
 @query("""
-SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 1 WHEN i > j THEN 0 ELSE i * 7 + j END AS BIGINT) AS value FROM range(0, 6) t(i), range(0, 6) u(j)
+SELECT c_custkey, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 1 WHEN i > j THEN 0 ELSE c_custkey * 36 + i * 6 + j END AS BIGINT) AS value FROM customer, range(0, 6) t(i), range(0, 6) u(j)
 """)
 def matrix_unimodular(spark, read):
-    grid = spark.range(6).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"))
-    return polynomials.unimodular(grid, F.col("i") * 7 + F.col("j")).withColumn("value", F.col("value").cast("long"))
+    grid = read("customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"))
+    return polynomials.unimodular(grid, F.col("c_custkey") * 36 + F.col("i") * 6 + F.col("j")).select("c_custkey", "i", "j", F.col("value").cast("long").alias("value"))
 
 
 # ---- polynomials
@@ -485,9 +494,13 @@ def poly_latex(spark, read):
     return polynomials.latex(terms, ["x", "y", "z"])
 
 
-@query("""SELECT i AS prime FROM range(2, 2000) t(i) WHERE NOT EXISTS (SELECT 1 FROM range(2, 45) u(j) WHERE j * j <= i AND i % j = 0)""")
+@query("""
+WITH n AS (SELECT unnest(range(2, (SELECT max(p_partkey) FROM part))) AS i)
+SELECT i AS prime FROM n WHERE NOT EXISTS (SELECT 1 FROM range(2, 1000) u(j) WHERE j * j <= i AND i % j = 0)
+""")
 def prime_sieve(spark, read):
-    return polynomials.primes_below(spark, 2000)
+    """All primes below the largest part number."""
+    return polynomials.primes_below(spark, read("part").agg(F.max("p_partkey")).first()[0])
 
 
 @query("""
@@ -584,10 +597,11 @@ def cross_entropy(spark, read):
 
 
 @query("""
-SELECT CAST(pos AS INTEGER) AS pos, CAST(d AS INTEGER) AS dim, round(CASE WHEN d % 2 = 0 THEN sin(pos * pow(10000, -2.0 * (d // 2) / 64)) ELSE cos(pos * pow(10000, -2.0 * (d // 2) / 64)) END, 6) AS value FROM range(0, 128) t(pos), range(0, 64) u(d)
+SELECT CAST(pos AS INTEGER) AS pos, CAST(d AS INTEGER) AS dim, round(CASE WHEN d % 2 = 0 THEN sin(pos * pow(10000, -2.0 * (d // 2) / 64)) ELSE cos(pos * pow(10000, -2.0 * (d // 2) / 64)) END, 6) AS value FROM (SELECT unnest(range(0, (SELECT max(p_size) FROM part))) AS pos), range(0, 64) u(d)
 """)
 def sinusoidal_pe(spark, read):
-    return tensors.sinusoidal(spark, 128, 64).withColumn("value", as_double(F.col("value")))
+    """A table as long as the largest size of a part."""
+    return tensors.sinusoidal(spark, read("part").agg(F.max("p_size")).first()[0], 64).withColumn("value", as_double(F.col("value")))
 
 
 @query("""
@@ -601,9 +615,13 @@ def rope(spark, read):
     return rows.select("vec_id", half(1, "low"), half(33, "high"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, j > i AS masked FROM range(0, 64) t(i), range(0, 64) u(j)")
+@query("""
+WITH c AS (SELECT conv_id, unnest(range(count(*))) AS i FROM conversations GROUP BY conv_id)
+SELECT a.conv_id, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, b.i > a.i AS masked FROM c a JOIN c b ON a.conv_id = b.conv_id
+""")
 def causal_mask(spark, read):
-    return tensors.causal_mask(spark, 64)
+    """A mask for each conversation, over its turns."""
+    return tensors.causal_mask(read("conversations").groupBy("conv_id").agg(F.count("*").alias("n")), "n").drop("n")
 
 
 @query(_COLLATE_SQL + "SELECT conv_id, turn, n - len(ids) AS n_masked FROM p")
@@ -625,9 +643,14 @@ def eos_mask(spark, read):
 # ---- generated tasks (checked by their invariants in the tests)
 
 
+def task_keys(customers: DataFrame) -> DataFrame:
+    """A sample for each customer, every tenth of them for the test."""
+    return customers.select(F.when(F.col("c_custkey") % 10 == 0, "test").otherwise("train").alias("tag"), F.col("c_custkey").alias("sample_index"))
+
+
 def _task(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = generate.generate(spark, tasks.examples().get(name), {"train": 1000, "test": 100})
+        df = generate.for_keys(task_keys(spark.read.parquet(f"{sf_dir}/customer.parquet")), tasks.examples().get(name))
         return df.select("tag", "sample_index", "seed", nested.to_text(F.col("problem")).alias("problem"), nested.to_text(F.col("answer")).alias("answer"))
 
     return run

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import lexer as lex
 from ..functions import loadprep, nested, text
 from ..functions.vocab import Vocab, field_tokens, range_tokens
-from ..operators import algebra, metrics, polynomials, tensors, validate
+from ..operators import algebra, metrics, polynomials, ranks, tensors, validate
 from ..sources import scans, sinks
 from ..sources.folders import new_folder
 from . import generate, prepare, samplers, tasks
-from .catalogue import query
+from .catalogue import query, task_keys
 
 # ---- files
 
@@ -162,17 +162,27 @@ def lex_decode(spark, read):
     return rows.select("user_id", decode(encode(F.col("t"))).alias("decoded"))
 
 
-@query("SELECT 'centred' AS kind, CAST(row_number() OVER () - 1 AS INTEGER) AS place, 'c' || i AS token FROM range(-5, 23) t(i) UNION ALL SELECT 'field', CAST(row_number() OVER () - 1 AS INTEGER), 'C' || i FROM range(-16, 18) t(i)")
+@query("""
+WITH b AS (SELECT max(p_size) AS n FROM part), r AS (SELECT count(*) AS p FROM region),
+     c AS (SELECT 'centred' AS kind, unnest(range(-(n // 2), n + n // 2 + 1)) AS i FROM b), f AS (SELECT 'field' AS kind, unnest(range(1 - p, p + 1)) AS i FROM r)
+SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY i) - 1 AS INTEGER) AS place, CASE kind WHEN 'field' THEN 'C' ELSE 'c' END || i AS token FROM (FROM c UNION ALL FROM f)
+""")
 def vocab_kinds(spark, read):
-    """Centred ranges and tokens of a finite field."""
-    rows = [(kind, i, t) for kind, own in (("centred", range_tokens("c", 0, 15, True)[2:]), ("field", field_tokens("GF17"))) for i, t in enumerate(own)]
+    """A centred range as wide as the sizes of parts, and tokens of the field with as many elements as there are regions."""
+    n, p = read("part").agg(F.max("p_size")).first()[0], read("region").count()
+    rows = [(kind, i, t) for kind, own in (("centred", range_tokens("c", 0, n, True)), ("field", field_tokens(f"GF{p}"))) for i, t in enumerate(own)]
     return spark.createDataFrame(rows, "kind string, place int, token string")
 
 
-@query("SELECT * FROM (VALUES ('+', 0, false), ('<pad>', 1, true), ('<s>', 2, true), ('</s>', 3, true), ('[CLS]', 4, true), ('[MASK]', 5, true)) t(token, id, is_special)")
+@query("""
+WITH t AS (SELECT 0 AS a, event_type AS token FROM events GROUP BY event_type UNION ALL SELECT * FROM (VALUES (1, '<pad>'), (2, '<s>'), (3, '</s>'), (4, '[CLS]'), (5, '[MASK]')))
+SELECT token, CAST(row_number() OVER (ORDER BY a, token) - 1 AS INTEGER) AS id, a > 0 AS is_special FROM t
+""")
 def vocab_merge(spark, read):
-    """Flags leave out the basic tokens; own special tokens replace those with the same role and follow the others."""
-    return Vocab.from_config({"misc": ["+"], "special_tokens": {"pad_token": "<pad>", "mask_token": "[MASK]"}, "flags": {"include_base_vocab": False}, "include_base_vocab": True}).frame(spark)
+    """The kinds of events as tokens. Flags leave out the basic ones; own special tokens replace those with the same role and follow the
+    others."""
+    kinds = [r[0] for r in read("events").select("event_type").distinct().orderBy("event_type").collect()]
+    return Vocab.from_config({"misc": kinds, "special_tokens": {"pad_token": "<pad>", "mask_token": "[MASK]"}, "flags": {"include_base_vocab": False}, "include_base_vocab": True}).frame(spark)
 
 
 @query("""
@@ -205,11 +215,12 @@ def preview_rows(spark, read):
 
 
 @query("""
-WITH i AS (SELECT 'train' AS tag, i FROM range(0, 20000) t(i) UNION ALL SELECT 'test', i FROM range(0, 500) t(i))
+WITH i AS (SELECT 'train' AS tag, unnest(range((SELECT count(*) FROM orders))) AS i UNION ALL SELECT 'test', unnest(range((SELECT count(*) FROM supplier))))
 SELECT tag, i AS sample_index, substr(sha256('7_' || tag || '_' || i), 1, 32) AS seed FROM i
 """)
 def index_seeds(spark, read):
-    rows = scans.indices(spark, {"train": 20_000, "test": 500})
+    """A seed for as many indices as there are orders and suppliers."""
+    rows = scans.indices(spark, {"train": read("orders").count(), "test": read("supplier").count()})
     return rows.withColumn("seed", generate.seed_hex(F.lit(7), F.col("tag"), F.col("sample_index")))
 
 
@@ -219,21 +230,22 @@ def _by_seed(seed: int):
 
 
 _SEEDED_SQL = """
-WITH i AS (SELECT 'train' AS tag, i FROM range(0, 5000) t(i) UNION ALL SELECT 'test', i FROM range(0, 300) t(i)),
+WITH i AS (SELECT 'train' AS tag, unnest(range((SELECT count(*) FROM customer))) AS i UNION ALL SELECT 'test', unnest(range((SELECT count(*) FROM supplier)))),
      s AS (SELECT tag, i AS sample_index, CAST('0x' || substr(sha256('42_' || tag || '_' || i), 29, 4) AS BIGINT) AS low FROM i)
 """
 
 
-def _seeded(spark: SparkSession) -> DataFrame:
+def _seeded(spark: SparkSession, read) -> DataFrame:
+    """As many samples as there are customers and suppliers."""
     known = generate.Generators()
     known.add("by_seed", _by_seed)
-    return generate.from_config(spark, {"dataset": {"generator": "by_seed", "num_train_samples": 5000, "num_test_samples": 300}}, known)
+    return generate.from_config(spark, {"dataset": {"generator": "by_seed", "num_train_samples": read("customer").count(), "num_test_samples": read("supplier").count()}}, known)
 
 
 @query(_SEEDED_SQL + "SELECT tag, sample_index, CAST(low AS VARCHAR) AS problem, (low // 256) || ' | ' || (low % 256) AS answer FROM s")
 def generated_samples(spark, read):
     """A registered function of the seed, called for each index of two splits."""
-    return _seeded(spark).select("tag", "sample_index", nested.to_text(F.col("problem")).alias("problem"), nested.to_text(F.col("answer")).alias("answer"))
+    return _seeded(spark, read).select("tag", "sample_index", nested.to_text(F.col("problem")).alias("problem"), nested.to_text(F.col("answer")).alias("answer"))
 
 
 @query(_SEEDED_SQL + """
@@ -242,7 +254,8 @@ UNION ALL SELECT 'answer', 'parts', count(*), 2.0, 0.0, 2.0, 2.0 FROM s
 """)
 def generated_statistics(spark, read):
     """Statistics that a function computes of each sample, scalar ones under `value`, as in the report of a run."""
-    rows = generate.generate(spark, _by_seed, {"train": 5000, "test": 300}, statistics=lambda p, a: {"problem": int(p), "answer": {"parts": len(a)}})
+    sizes = {"train": read("customer").count(), "test": read("supplier").count()}
+    rows = generate.generate(spark, _by_seed, sizes, statistics=lambda p, a: {"problem": int(p), "answer": {"parts": len(a)}})
     report = metrics.sample_statistics(rows, "stats")
     return report.select("category", "metric", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max")
 
@@ -260,41 +273,49 @@ def generation_report(spark, read):
 
 
 @query("""
-WITH s AS (SELECT i, sha256('42_train_' || i) AS h FROM range(0, 200000) t(i))
-SELECT i AS sample_index, CAST(CAST('0x' || substr(h, 29, 4) AS BIGINT) AS VARCHAR) AS problem FROM s WHERE CAST('0x' || substr(h, 29, 4) AS BIGINT) % 11 = 0 ORDER BY i LIMIT 3000
+WITH s AS (SELECT i, sha256('42_train_' || i) AS h FROM (SELECT unnest(range(20 * (SELECT count(*) FROM customer) + 2000)) AS i))
+SELECT i AS sample_index, CAST(CAST('0x' || substr(h, 29, 4) AS BIGINT) AS VARCHAR) AS problem FROM s WHERE CAST('0x' || substr(h, 29, 4) AS BIGINT) % 11 = 0 ORDER BY i LIMIT (SELECT count(*) FROM customer)
 """)
 def accepted_samples(spark, read):
-    """The first 3000 indices that a rejecting function accepts: one in eleven, while one in four is expected."""
-    rows = generate.generate_accepted(spark, lambda seed: _by_seed(seed) if seed % 65536 % 11 == 0 else None, "train", 3000)
+    """As many as there are customers of the first indices that a rejecting function accepts: one in eleven, while one in four is expected."""
+    rows = generate.generate_accepted(spark, lambda seed: _by_seed(seed) if seed % 65536 % 11 == 0 else None, "train", read("customer").count())
     return rows.select("sample_index", nested.to_text(F.col("problem")).alias("problem"))
 
 
-def _ranked(spark: SparkSession, ranks: int, schema: str, row: Callable[[int], tuple]) -> DataFrame:
+def _ranked(keys: DataFrame, schema: str, row: Callable[[int], tuple]) -> DataFrame:
+    """A row for each key of a table's first column."""
+
     def run(frames):
         import pandas as pd
 
         for pdf in frames:
-            yield pd.DataFrame([row(int(r)) for r in pdf["id"]], columns=[c.split()[0] for c in schema.split(", ")])
+            yield pd.DataFrame([row(int(k)) for k in pdf.iloc[:, 0]], columns=[c.split()[0] for c in schema.split(", ")])
 
-    return spark.range(ranks).mapInPandas(run, schema)
+    return keys.mapInPandas(run, schema)
 
 
-@query("SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS rank, a || ',' || b || ',' || c AS members FROM range(0, 20) t(a), range(0, 20) u(b), range(0, 20) v(c) WHERE a < b AND b < c")
+@query("""
+WITH s AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS rank, a || ',' || b || ',' || c AS members FROM range(0, 20) t(a), range(0, 20) u(b), range(0, 20) v(c) WHERE a < b AND b < c)
+SELECT p_partkey, members FROM part JOIN s ON rank = p_partkey % 1140
+""")
 def combination_ranks(spark, read):
-    """All 3-subsets of 20 by their rank."""
-    return _ranked(spark, 1140, "rank long, members string", lambda r: (r, ",".join(map(str, samplers.combination(r, 20, 3)))))
+    """The 3-subset of 20 with each part's number as its rank, as the samplers find it."""
+    return _ranked(read("part").select("p_partkey"), "p_partkey long, members string", lambda k: (k, ",".join(map(str, samplers.combination(k % 1140, 20, 3)))))
 
 
-@query("SELECT a || ',' || b || ',' || c || ',' || d AS exps FROM range(0, 8) t(a), range(0, 8) u(b), range(0, 8) v(c), range(0, 8) w(d) WHERE a + b + c + d = 7")
+@query("""
+WITH m AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS rank, a || ',' || b || ',' || c || ',' || (7 - a - b - c) AS exps FROM range(0, 8) t(a), range(0, 8) u(b), range(0, 8) v(c) WHERE a + b + c <= 7)
+SELECT p_partkey, exps FROM part JOIN m ON rank = p_partkey % 120
+""")
 def monomial_ranks(spark, read):
-    """All monomials of degree 7 in four variables, each by its own rank."""
-    return _ranked(spark, 120, "exps string", lambda r: (",".join(map(str, samplers.monomial(r, 4, 7))),))
+    """The monomial of degree 7 in four variables with each part's number as its rank, as the samplers find it."""
+    return _ranked(read("part").select("p_partkey"), "p_partkey long, exps string", lambda k: (k, ",".join(map(str, samplers.monomial(k % 120, 4, 7)))))
 
 
 _RINGS = (("ZZ", 0), ("QQ", 1), ("GF(7)", 2), ("GF2", 3), ("RR", 4))
 
 
-@query("SELECT k, i AS sample_index, true AS in_range, true AS terms_fit, true AS degree_fits, true AS coefficients_fit, true AS repeats FROM range(0, 5) t(k), range(0, 400) u(i)")
+@query("SELECT p_partkey % 5 AS k, p_partkey AS sample_index, true AS in_range, true AS terms_fit, true AS degree_fits, true AS coefficients_fit, true AS repeats FROM part")
 def polynomial_samples(spark, read):
     """Random polynomials in five rings: degrees, numbers of terms and coefficients within their bounds, and the same again by seed."""
 
@@ -304,12 +325,12 @@ def polynomial_samples(spark, read):
         p, again = s.draw(random.Random(rank)), s.draw(random.Random(rank))
         degree = max(map(sum, p))
         fit = {"ZZ": lambda c: c.denominator == 1 and abs(c) <= 6, "QQ": lambda c: abs(c) <= 6 and c.denominator <= 6, "RR": lambda c: abs(c) <= 6}.get(ring, lambda c: 0 < c < s.field.modulus and c.denominator == 1)
-        return k, rank // 5, all(len(e) == 2 and min(e) >= 0 for e in p), 1 <= len(p) <= 4, 1 <= degree <= 4, all(map(fit, p.values())), p == again
+        return k, rank, all(len(e) == 2 and min(e) >= 0 for e in p), 1 <= len(p) <= 4, 1 <= degree <= 4, all(map(fit, p.values())), p == again
 
-    return _ranked(spark, 2000, "k long, sample_index long, in_range boolean, terms_fit boolean, degree_fits boolean, coefficients_fit boolean, repeats boolean", row)
+    return _ranked(read("part").select("p_partkey"), "k long, sample_index long, in_range boolean, terms_fit boolean, degree_fits boolean, coefficients_fit boolean, repeats boolean", row)
 
 
-@query("SELECT i AS sample_index, true AS is_unimodular, 2 AS n_rows, true AS degrees_differ, true AS signed FROM range(0, 500) t(i)")
+@query("SELECT s_suppkey AS sample_index, true AS is_unimodular, 2 AS n_rows, true AS degrees_differ, true AS signed FROM supplier")
 def matrix_samples(spark, read):
     """Unimodular matrices of polynomials, univariate polynomials and signed sizes."""
 
@@ -320,16 +341,16 @@ def matrix_samples(spark, read):
         n = samplers.signed_magnitude(rng, 9)
         return rank, m[0][0] == one == m[1][1] and m[1][0] == {}, len(m), len(p) == 3 and max(p)[0] <= 6, n != 0 and abs(n) <= 9
 
-    return _ranked(spark, 500, "sample_index long, is_unimodular boolean, n_rows int, degrees_differ boolean, signed boolean", row)
+    return _ranked(read("supplier").select("s_suppkey"), "sample_index long, is_unimodular boolean, n_rows int, degrees_differ boolean, signed boolean", row)
 
 
 # ---- invariants of the example tasks
 
-_ALL_HOLD = "SELECT tag, i AS sample_index, true AS holds FROM (SELECT 'train' AS tag, i FROM range(0, 1000) t(i) UNION ALL SELECT 'test', i FROM range(0, 100) t(i))"
+_ALL_HOLD = "SELECT CASE WHEN c_custkey % 10 = 0 THEN 'test' ELSE 'train' END AS tag, c_custkey AS sample_index, true AS holds FROM customer"
 
 
-def _task(spark: SparkSession, name: str) -> DataFrame:
-    rows = generate.generate(spark, tasks.examples().get(name), {"train": 1000, "test": 100})
+def _task(read, name: str) -> DataFrame:
+    rows = generate.for_keys(task_keys(read("customer")), tasks.examples().get(name))
     return rows.select("tag", "sample_index", nested.to_text(F.col("problem")).alias("problem"), nested.to_text(F.col("answer")).alias("answer"))
 
 
@@ -340,7 +361,7 @@ def _numbers(c: str, sep: str = r"\s*\|\s*") -> Column:
 @query(_ALL_HOLD)
 def gf17_invariant(spark, read):
     """Answers are running sums modulo 17, and all numbers lie in the field."""
-    rows = _task(spark, "gf17_addition").withColumns({"x": _numbers("problem"), "y": _numbers("answer")})
+    rows = _task(read, "gf17_addition").withColumns({"x": _numbers("problem"), "y": _numbers("answer")})
     sums = F.transform("x", lambda _, i: F.pmod(F.aggregate(F.slice("x", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, v: s + v), F.lit(17)))
     return rows.select("tag", "sample_index", ((sums == F.col("y")) & F.forall("x", lambda v: v.between(0, 16)) & F.size("x").between(3, 6)).alias("holds"))
 
@@ -348,7 +369,7 @@ def gf17_invariant(spark, read):
 @query(_ALL_HOLD)
 def integer_factors_invariant(spark, read):
     """Answers are sorted distinct primes whose product is the problem."""
-    rows = _task(spark, "integer_factorization").withColumn("f", _numbers("answer"))
+    rows = _task(read, "integer_factorization").withColumn("f", _numbers("answer"))
     product = F.aggregate("f", F.lit(1).cast("long"), lambda s, v: s * v)
     primes = F.array(*map(F.lit, tasks.PRIMES_BELOW_30)).cast("array<long>")
     return rows.select("tag", "sample_index", ((product == F.col("problem").cast("long")) & (F.array_sort(F.array_distinct("f")) == F.col("f")) & (F.size(F.array_except("f", primes)) == 0)).alias("holds"))
@@ -357,7 +378,7 @@ def integer_factors_invariant(spark, read):
 @query(_ALL_HOLD)
 def polynomial_sums_invariant(spark, read):
     """Answers are prefix sums: the terms of each are the sums of the terms of the problem's polynomials so far."""
-    rows = _task(spark, "polynomial_addition")
+    rows = _task(read, "polynomial_addition")
     spread = lambda c: rows.select("tag", "sample_index", F.posexplode(F.split(c, r"\s*\|\s*")).alias("place", "poly")).select("tag", "sample_index", "place", F.explode(polynomials.parse_expanded(F.col("poly"), ["x", "y"])).alias("t")).select(F.struct("tag", "sample_index").alias("key"), "place", F.col("t.exps").alias("exps"), F.col("t.coeff").cast(polynomials.COEFF).alias("coeff"))
     places = rows.select(F.struct("tag", "sample_index").alias("key"), F.posexplode(F.split("problem", r"\s*\|\s*")).alias("place", "_"))
     want = polynomials.prefix_sums(spread("problem"), "key", "place", places=places.select("key", "place")).select(F.struct("key", "place").alias("id"), "exps", "coeff")
@@ -383,12 +404,12 @@ def _same_polynomial(problem: str, answer: str) -> bool:
 @query(_ALL_HOLD)
 def integer_polynomial_factors_invariant(spark, read):
     """The product of the factors is the problem."""
-    return _checked(_task(spark, "integer_polynomial_factorization"), _same_polynomial)
+    return _checked(_task(read, "integer_polynomial_factorization"), _same_polynomial)
 
 
 @query(_ALL_HOLD)
 def rational_polynomial_factors_invariant(spark, read):
-    return _checked(_task(spark, "rational_polynomial_factorization"), _same_polynomial)
+    return _checked(_task(read, "rational_polynomial_factorization"), _same_polynomial)
 
 
 @query(_ALL_HOLD)
@@ -405,14 +426,14 @@ def eigenvector_invariant(spark, read):
         aligned = min(np.abs(vectors[:, -1] - s * v).max() for s in (1, -1))
         return np.allclose(m, m.T) and abs(np.linalg.norm(v) - 1) < 0.02 and aligned <= 0.02 + 0.05 / max(gap, 1e-9)
 
-    return _checked(_task(spark, "eigvec_3x3"), holds)
+    return _checked(_task(read, "eigvec_3x3"), holds)
 
 
 @query("SELECT true AS divides, true AS rest_is_reduced, true AS basis_is_standard, true AS enough")
 def reduction_invariant(spark, read):
     """Problems are a polynomial and a Groebner basis: S-polynomials reduce to zero, and so does problem minus answer, whose terms no
     leading term divides. Quotients times the basis give the difference. Ideals that are everything yield no sample."""
-    rows = _task(spark, "polynomial_reduction")
+    rows = _task(read, "polynomial_reduction")
 
     def check(frames):
         import pandas as pd
@@ -432,7 +453,7 @@ def reduction_invariant(spark, read):
             show.clear()
 
     done = rows.mapInPandas(check, "divides boolean, rest_is_reduced boolean, basis_is_standard boolean")
-    return done.agg(*(F.bool_and(c).alias(c) for c in ("divides", "rest_is_reduced", "basis_is_standard")), (F.count("*") > 300).alias("enough"))
+    return done.agg(*(F.bool_and(c).alias(c) for c in ("divides", "rest_is_reduced", "basis_is_standard")), (F.count("*") * 5 > read("customer").count()).alias("enough"))
 
 
 # ---- factor statistics, positions, text functions
@@ -501,44 +522,50 @@ def _refused(f: Callable) -> bool:
     return False
 
 
-_CASES: dict[str, Callable] = {
-    "limit 0": lambda: scans.check_limit(0),
-    "no sizes": lambda: scans.indices(SparkSession.active(), {}),
-    "size 0": lambda: scans.indices(SparkSession.active(), {"train": 0}),
-    "no path": lambda: scans.load(SparkSession.active()),
-    "empty tag": lambda: sinks.check_tag(""),
-    "tag of another type": lambda: sinks.check_tag(3),
-    "sign policy": lambda: lex.NumberPolicy("yes"),
-    "negative group": lambda: lex.NumberPolicy(digit_group=-1),
-    "empty lexer chain": lambda: lex.chain(),
-    "empty load chain": lambda: loadprep.chain(),
-    "three levels": lambda: nested.of_python([[["x"]]]),
-    "object as a leaf": lambda: nested.of_python([{}]),
-    "no field": lambda: field_tokens("ZZ"),
-    "unknown domain": lambda: samplers.Field.parse("GF1"),
-    "no ring": lambda: samplers.PolynomialSampler.of_ring("x, y"),
-    "ring and field": lambda: samplers.PolynomialSampler.of_ring("ZZ[x]", field=samplers.Field("QQ")),
-    "degrees": lambda: samplers.PolynomialSampler(("x",), min_degree=3, max_degree=2),
-    "sampling": lambda: samplers.PolynomialSampler(("x",), degree_sampling="other"),
-    "repeated variables": lambda: validate.variable_names(["x", "x"]),
-    "unknown generator": lambda: generate.Generators().get("none"),
-    "unknown encoding": lambda: tensors.encode_positions("none such", F.lit(1), F.lit(1), 4),
-    "text as a statistic": lambda: generate.numbers({"a": {"b": "c"}}),
-    "unparsable formula": lambda: algebra.parse("x + * y", ["x", "y"]),
+#: What is refused, and what the same place takes, made from a nation's key and name.
+_CASES: dict[str, tuple[Callable, Callable]] = {
+    "limit": (lambda k, n: scans.check_limit(-2 - k), lambda k, n: scans.check_limit(k + 1)),
+    "limit of 0": (lambda k, n: scans.check_limit(0), lambda k, n: scans.check_limit(-1)),
+    "sizes": (lambda k, n: scans.indices(SparkSession.active(), {n: -k}), lambda k, n: scans.indices(SparkSession.active(), {n: k + 1})),
+    "no sizes": (lambda k, n: scans.indices(SparkSession.active(), {}), lambda k, n: scans.indices(SparkSession.active(), {n: 1})),
+    "no path": (lambda k, n: scans.load(SparkSession.active()), lambda k, n: n),
+    "tag": (lambda k, n: sinks.check_tag(k), lambda k, n: sinks.check_tag(n)),
+    "empty tag": (lambda k, n: sinks.check_tag(n[:0]), lambda k, n: sinks.check_tag(n[:1])),
+    "sign policy": (lambda k, n: lex.NumberPolicy(n), lambda k, n: lex.NumberPolicy(k % 2 == 0)),
+    "digit group": (lambda k, n: lex.NumberPolicy(digit_group=-1 - k), lambda k, n: lex.NumberPolicy(digit_group=k)),
+    "lexer chain": (lambda k, n: lex.chain(), lambda k, n: lex.chain(lex.Lexer.build(Vocab.build([n])))),
+    "load chain": (lambda k, n: loadprep.chain(), lambda k, n: loadprep.chain(loadprep.on_both(text.strip))),
+    "three levels": (lambda k, n: nested.of_python([[[n]]]), lambda k, n: nested.of_python([[n]])),
+    "object as a leaf": (lambda k, n: nested.of_python([{n: k}]), lambda k, n: nested.of_python([n, str(k)])),
+    "field": (lambda k, n: field_tokens(n), lambda k, n: field_tokens(f"GF{k + 1}")),
+    "domain": (lambda k, n: samplers.Field.parse(n), lambda k, n: samplers.Field.parse(f"GF({k + 2})")),
+    "ring": (lambda k, n: samplers.PolynomialSampler.of_ring(n), lambda k, n: samplers.PolynomialSampler.of_ring("ZZ[x]")),
+    "ring and field": (lambda k, n: samplers.PolynomialSampler.of_ring("ZZ[x]", field=samplers.Field("QQ")), lambda k, n: samplers.PolynomialSampler.of_ring("QQ[x, y]", max_degree=k)),
+    "degrees": (lambda k, n: samplers.PolynomialSampler((n,), min_degree=k + 1, max_degree=k), lambda k, n: samplers.PolynomialSampler((n,), min_degree=k, max_degree=k)),
+    "sampling": (lambda k, n: samplers.PolynomialSampler((n,), degree_sampling=n), lambda k, n: samplers.PolynomialSampler((n,), degree_sampling="fixed")),
+    "variables": (lambda k, n: validate.variable_names([n, n]), lambda k, n: validate.variable_names(n, k + 1)),
+    "generator": (lambda k, n: generate.Generators().get(n), lambda k, n: tasks.examples().get("gf17_addition")),
+    "encoding": (lambda k, n: tensors.encode_positions(n, F.lit(1), F.lit(1), 4), lambda k, n: tensors.encode_positions("none", F.lit(1), F.lit(1), 4)),
+    "statistic": (lambda k, n: generate.numbers({n: {n: n}}), lambda k, n: generate.numbers({n: {n: k}})),
+    "formula": (lambda k, n: algebra.parse(f"x + * {k}", ["x"]), lambda k, n: algebra.parse(f"x + {k}", ["x"])),
+    "rank": (lambda k, n: ranks.combination(F.lit(0), k, k + 1), lambda k, n: ranks.combination(F.lit(0), k + 1, k)),
 }
 
 
-@query("SELECT unnest([" + ", ".join(f"'{name}'" for name in _CASES) + "]) AS name, true AS refused")
+@query("SELECT n_nationkey, name, true AS refused, true AS taken FROM nation, (SELECT unnest([" + ", ".join(f"'{name}'" for name in _CASES) + "]) AS name)")
 def refused_arguments(spark, read):
-    """Arguments that are errors, each tried."""
-    return spark.createDataFrame([(name, _refused(f)) for name, f in _CASES.items()], "name string, refused boolean")
+    """Arguments that are errors and others that aren't, each tried with every nation's key and name."""
+    nations = read("nation").select("n_nationkey", "n_name").collect()
+    rows = [(k, name, _refused(lambda: bad(k, n)), not _refused(lambda: good(k, n))) for k, n in nations for name, (bad, good) in _CASES.items()]
+    return spark.createDataFrame(rows, "n_nationkey int, name string, refused boolean, taken boolean")
 
 
-@query("SELECT n_nationkey, true AS refused FROM nation")
+@query("SELECT r_regionkey, r_regionkey % 3 <> 0 AS refused FROM region")
 def refused_tokens(spark, read):
-    """A data set with tokens outside the vocabulary fails its check; one within passes."""
+    """Data sets of nations, one for each region, some of which have tokens outside the vocabulary: those fail their check."""
     lexer = lex.Lexer.build(Vocab.build(range_tokens("", 0, 99) + [","]), lex.NumberPolicy(False, 0, False))
-    rows = read("nation").select("n_nationkey", F.col("n_nationkey").cast("string").alias("problem"), F.concat(F.lit("99,10"), F.col("n_nationkey").cast("string")).alias("answer"))
-    validate.check_tokens(rows.select("problem"), lexer, "problem")
-    refused = _refused(lambda: validate.check_tokens(rows, lexer, "problem", "answer"))
-    return rows.select("n_nationkey", F.lit(refused).alias("refused"))
+    answer = F.concat(F.lit("99,"), F.when(F.col("n_regionkey") % 3 == 0, F.lit("")).otherwise(F.lit("1")), F.lpad(F.col("n_nationkey").cast("string"), 2, "1"))
+    rows = read("nation").select("n_regionkey", F.col("n_nationkey").cast("string").alias("problem"), answer.alias("answer"))
+    keys = [r[0] for r in read("region").select("r_regionkey").collect()]
+    checked = [(k, _refused(lambda: validate.check_tokens(rows.filter(F.col("n_regionkey") == k), lexer, "problem", "answer"))) for k in keys]
+    return spark.createDataFrame(checked, "r_regionkey int, refused boolean")

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import draws
-from ..operators import metrics, ranks
+from ..operators import expressions, metrics, ranks, validate
 from ..sources.batches import BatchTable
 from ..sources.folders import new_folder
 from .catalogue import as_double, query
@@ -161,3 +161,30 @@ def drawn_univariate(spark, read):
     seed = F.concat(F.lit("u"), F.col("p_partkey").cast("string"))
     drawn = Drawn(PolynomialSampler(("x",), Field("QQ"), max_coeff=5))
     return read("part").select("p_partkey", _terms(univariate(seed, drawn, 6, 3)).alias("terms"), draws.signed(9, seed, "n").alias("n"))
+
+
+# ---- formulas
+
+
+@query("SELECT p_partkey, p_partkey % 12 < 7 AS well_formed FROM part")
+def formula_check(spark, read):
+    """Formulas with divisions by constants and signs inside products, five kinds of which divide by what they mustn't or break off."""
+    k = (F.col("p_partkey") + 1).cast("string")
+    forms = ["x/{}", "(x + {})/2 | y", "{}*-x", "-(-y)^2/{}", "x^(2 + 1)*{}", "((x)) - +{}", "{}/3/5*x**2", "{}/(2 - 2)", "{}/y", "x^-{}", "{}*(x | y)", "x^{}^y"]
+    value = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        before, after = form.split("{}")
+        value = F.when(F.col("p_partkey") % len(forms) == i, F.concat(F.lit(before), k, F.lit(after))).otherwise(value)
+    return read("part").select("p_partkey", validate.pieces_are_formulas(value, ["x", "y"]).alias("well_formed"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey AS k, CAST(p_size AS BIGINT) AS s FROM part),
+     t AS (SELECT p_partkey, unnest([{'e': '2,1', 'num': 1, 'den': 2}, {'e': '2,0', 'num': -1, 'den': 2}, {'e': '1,1', 'num': k, 'den': 1}, {'e': '1,0', 'num': s - k, 'den': 1}, {'e': '0,1', 'num': k * k, 'den': 2}, {'e': '0,0', 'num': -k * k, 'den': 2}]) AS t FROM p),
+     f AS (SELECT p_partkey, t.e AS exps, t.num // gcd(t.num, t.den) AS num, t.den // gcd(t.num, t.den) AS den FROM t WHERE t.num <> 0)
+SELECT p_partkey, string_agg(exps || ':' || num || CASE WHEN den = 1 THEN '' ELSE '/' || den END, ' ' ORDER BY exps) AS terms FROM f GROUP BY p_partkey
+""")
+def expression_terms(spark, read):
+    """Terms of (x + key)^2 * (y - 1) / 2 - -size * x for every part, from the text."""
+    text = F.concat(F.lit("(x + "), F.col("p_partkey").cast("string"), F.lit(")^2 * (y - 1)/2 - -"), F.col("p_size").cast("string"), F.lit("*x"))
+    return read("part").select("p_partkey", _terms(expressions.parse_expression(text, ["x", "y"])).alias("terms"))

@@ -71,8 +71,13 @@ def _run(instance: Instance, statistics: Statistics | None):
 
 def generate(spark: SparkSession, instance: Instance, sizes: dict[str, int], root_seed: int = 42, statistics: Statistics | None = None) -> DataFrame:
     """Samples of all tags: SCHEMA."""
-    rows = scans.indices(spark, sizes).withColumn("seed", seed_hex(F.lit(root_seed), F.col("tag"), F.col("sample_index")))
-    return rows.mapInPandas(_run(instance, statistics), SCHEMA)
+    return for_keys(scans.indices(spark, sizes), instance, root_seed, statistics)
+
+
+def for_keys(keys: DataFrame, instance: Instance, root_seed: int = 42, statistics: Statistics | None = None) -> DataFrame:
+    """A sample for each (tag, sample_index) of a table: SCHEMA."""
+    rows = keys.select("tag", F.col("sample_index").cast("long").alias("sample_index"))
+    return rows.withColumn("seed", seed_hex(F.lit(root_seed), F.col("tag"), F.col("sample_index"))).mapInPandas(_run(instance, statistics), SCHEMA)
 
 
 def generate_accepted(spark: SparkSession, instance: Instance, tag: str, n: int, root_seed: int = 42, share: float = 0.25, statistics: Statistics | None = None, most: int | None = None) -> DataFrame:
@@ -85,10 +90,9 @@ def generate_accepted(spark: SparkSession, instance: Instance, tag: str, n: int,
     folder, done, found, parts, size = new_folder(spark, "accepted"), 0, 0, [], int(1.1 * n / share) + 16
     while True:
         size = min(size, most - done)
-        rows = spark.range(done, done + size).select(F.lit(tag).alias("tag"), F.col("id").alias("sample_index"))
-        rows = rows.withColumn("seed", seed_hex(F.lit(root_seed), F.col("tag"), F.col("sample_index")))
+        keys = spark.range(done, done + size).select(F.lit(tag).alias("tag"), F.col("id").alias("sample_index"))
         parts.append(f"{folder}/{done}")
-        rows.mapInPandas(_run(instance, statistics), SCHEMA).write.parquet(parts[-1])
+        for_keys(keys, instance, root_seed, statistics).write.parquet(parts[-1])
         last = spark.read.schema(SCHEMA).parquet(parts[-1])
         before, found = found, found + last.count()
         if found >= n:
@@ -135,10 +139,9 @@ def append_batches(spark: SparkSession, instance: Instance, sizes: dict[str, int
     for tag, n in sizes.items():
         for low in range(0, n, batch_size):
             name, high = f"{sinks.check_tag(tag)}-{low}-{min(n, low + batch_size)}", min(n, low + batch_size)
-            rows = spark.range(low, high).select(F.lit(tag).alias("tag"), F.col("id").alias("sample_index"))
-            rows = rows.withColumn("seed", seed_hex(F.lit(root_seed), F.col("tag"), F.col("sample_index")))
+            keys = spark.range(low, high).select(F.lit(tag).alias("tag"), F.col("id").alias("sample_index"))
             if name not in have[samples]:
-                samples.append(rows.mapInPandas(_run(instance, statistics), SCHEMA), name)
+                samples.append(for_keys(keys, instance, root_seed, statistics), name)
             if name not in have[states] and statistics:
                 done = samples.batch(name)
                 states.append(metrics.partial(metrics.long_statistics(done, "stats"), "category", "metric").withColumn("tag", F.lit(tag)), name)
