@@ -55,7 +55,19 @@ def shorten(c: Column, most: int = 50) -> Column:
 
 
 def two_decimals(c: Column) -> Column:
-    return F.format_string("%.2f", c)
+    """A number below 2^52 with two decimals, rounded as the double that it is, not as the decimal that is printed for it; a tie, which only a
+    multiple of 1/8 can be, goes to the even digit."""
+    x, one = c.cast("double"), 2.0**52
+    whole = F.floor(F.abs(x)).cast("long")
+    # the part behind the point in steps of 2^-52, and what is left below them
+    part = (F.abs(x) - whole) * one
+    steps = F.floor(part).cast("long")
+    cents = F.shiftright(steps * 100, 52)
+    over = (steps * 100 - cents * (1 << 52) - (1 << 51)).cast("double") + (part - steps) * 100
+    up = (over > 0) | ((over == 0) & (cents % 2 == 1))
+    total = whole * 100 + cents + F.when(up, 1).otherwise(0)
+    digits = F.concat(F.call_function("div", total, F.lit(100)).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), digits)
 
 
 def seconds_of(c: Column) -> Column:

@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.draws import let
+
 COEFF = "decimal(38,0)"
 #: Numbers of a block of the sieve.
 SIEVE_BLOCK = 1 << 14
+#: A block of numbers up to it needs the primes up to a million.
+LARGEST_NUMBER = 10**12
 
 
 def normalise(terms: DataFrame, key: str = "poly_id", modulus: int | None = None) -> DataFrame:
@@ -181,25 +185,33 @@ def matrix_product(left: DataFrame, right: DataFrame, key: str = "mat_id") -> Da
 
 
 def primes_below(spark, n: int) -> DataFrame:
-    """Sieve: numbers that no product of two numbers equals."""
+    """Sieve: numbers that no product of two numbers equals; products are written out in pieces of SIEVE_BLOCK."""
+    div = lambda x, y: F.call_function("div", x, y)
     numbers = spark.range(2, n).withColumnRenamed("id", "prime")
-    a = spark.range(2, int(n**0.5) + 1).withColumnRenamed("id", "a")
-    multiples = a.select(F.explode(F.sequence(F.col("a") * F.col("a"), F.lit(n), F.col("a"))).alias("prime"))
+    a, last, block = F.col("a"), div(F.lit(n).cast("long"), F.col("a")), F.lit(SIEVE_BLOCK).cast("long")
+    pieces = spark.range(2, math.isqrt(n) + 1).withColumnRenamed("id", "a").select("a", F.explode(F.sequence(div(a, block), div(last, block))).alias("piece"))
+    factors = F.explode(F.sequence(F.greatest(a, F.col("piece") * block), F.least(last, F.col("piece") * block + block - 1)))
+    multiples = pieces.select("a", factors.alias("b")).select(F.expr("a * b").alias("prime"))
     return numbers.join(multiples, "prime", "left_anti")
 
 
 def prime_divisors(numbers: DataFrame, column: str) -> DataFrame:
     """(column, primes): all primes up to the root of the largest number that divide a number; numbers without one are left out.
 
-    A segmented sieve: within each block that holds a number the multiples of every prime are written out and joined.
+    A segmented sieve: within each block that holds a number the multiples of every prime are written out and joined. Primes are joined to
+    blocks by stretches of SIEVE_BLOCK numbers, of which a block needs those up to the root of its end. Numbers above LARGEST_NUMBER are
+    an error.
     """
     own = numbers.select(column).filter(F.col(column) > 1).distinct()
     largest = own.agg(F.max(column)).first()[0] or 1
-    primes = primes_below(numbers.sparkSession, math.isqrt(largest) + 1)
+    if largest > LARGEST_NUMBER:
+        raise ValueError(f"numbers above {LARGEST_NUMBER} aren't factored")
+    primes = primes_below(numbers.sparkSession, math.isqrt(largest) + 1).withColumn("stretch", F.floor(F.col("prime") / SIEVE_BLOCK))
     blocks = own.select(F.floor(F.col(column) / SIEVE_BLOCK).cast("long").alias("block")).distinct()
     low, high = F.col("block") * SIEVE_BLOCK, (F.col("block") + 1) * SIEVE_BLOCK - 1
+    needed = blocks.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.sqrt(high.cast("double")) / SIEVE_BLOCK))).alias("stretch"))
     steps = F.sequence(F.floor((low + F.col("prime") - 1) / F.col("prime")), F.floor(high / F.col("prime")))
-    pairs = blocks.crossJoin(F.broadcast(primes)).filter(F.floor(high / F.col("prime")) * F.col("prime") >= low)
+    pairs = needed.join(primes, "stretch").filter(F.floor(high / F.col("prime")) * F.col("prime") >= low)
     multiples = pairs.select("prime", F.explode(steps).alias("step")).select("prime", (F.col("prime") * F.col("step")).alias(column))
     return own.join(multiples, column).groupBy(column).agg(F.array_sort(F.collect_set("prime")).alias("primes"))
 
@@ -239,6 +251,52 @@ def quadratic_factors(a: Column, b: Column, c: Column) -> Column:
     return F.when((d >= 0) & (root * root == d), F.array(linear(1), linear(-1))).otherwise(whole)
 
 
+def divisors(n: Column) -> Column:
+    """Divisors of a number other than 0, positive ones and negative ones; as many steps as its root."""
+    size = F.abs(n.cast("long"))
+    low = F.filter(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.sqrt(size.cast("double"))).cast("long"))), lambda d: F.pmod(size, d) == 0)
+    return let(low, lambda ds: let(F.array_distinct(F.concat(ds, F.transform(ds, lambda d: F.call_function("div", size, d)))), lambda all_: F.concat(all_, F.transform(all_, lambda d: -d))))
+
+
+def monic_factors(coefficients: Column) -> Column:
+    """Irreducible factors over the whole numbers of a monic polynomial of degree 1 to 4, sorted, each as coefficients from the constant on.
+
+    Roots are divisors of the constant; each is divided out as often as it goes. What has degree 2 or 3 and no root is irreducible. A rest of degree 4
+    is a product of two quadratics x^2 + p x + q and x^2 + r x + s if for some divisor q of its constant p and r are whole.
+    """
+    long, div = (lambda x: F.lit(x).cast("long")), (lambda a, b: F.call_function("div", a, b))
+    value = lambda c, r: F.aggregate(F.reverse(c), long(0), lambda s, a: s * r + a)
+    # from the leading coefficient down: each is the one before times the root, plus the polynomial's own
+    quotient = lambda c, r: F.reverse(F.slice(F.aggregate(F.reverse(c), F.array().cast("array<long>"), lambda s, a: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), long(0)) * r + a))), F.lit(1), F.size(c) - 1))
+    roots = lambda c: F.when(F.get(c, F.lit(0)) == 0, F.array(long(0))).otherwise(F.filter(divisors(F.get(c, F.lit(0))), lambda r: value(c, r) == 0))
+    state = lambda c, found: F.struct(c.alias("c"), found.alias("found"))
+
+    def divide(s: Column, _: Column) -> Column:
+        take = lambda r: F.when(r.isNull(), s).otherwise(state(quotient(s["c"], r), F.concat(s["found"], F.array(F.array(-r, long(1))))))
+        return F.when(F.size(s["c"]) == 1, s).otherwise(let(F.get(F.array_sort(roots(s["c"])), F.lit(0)), take))
+
+    def quadratics(c: Column) -> Column:
+        """Two quadratic factors of x^4 + a x^3 + b x^2 + d x + e without roots, or itself."""
+        e, d, b, a = (F.get(c, F.lit(i)) for i in range(4))
+
+        def linear(q: Column) -> Column:
+            # p + r = a, q + s = b - p r, p s + q r = d
+            s = div(e, q)
+            square = a * a - 4 * (b - 2 * q)
+            root = F.round(F.sqrt(F.greatest(square, long(0)).cast("double"))).cast("long")
+            p = F.when(s != q, F.when(F.pmod(d - a * q, F.abs(s - q)) == 0, div(d - a * q, s - q))).when((square >= 0) & (root * root == square) & (F.pmod(a + root, long(2)) == 0), div(a + root, long(2)))
+            return let(p, lambda p: F.when((q + s + p * (a - p) == b) & (p * s + q * (a - p) == d), F.array(F.array(q, p, long(1)), F.array(s, a - p, long(1)))))
+
+        found = F.filter(F.transform(divisors(e), linear), lambda x: x.isNotNull())
+        return F.coalesce(F.get(found, F.lit(0)), F.array(c))
+
+    def rest(s: Column) -> Column:
+        last = F.when(F.size(s["c"]) == 1, F.array().cast("array<array<long>>")).when(F.size(s["c"]) == 5, quadratics(s["c"])).otherwise(F.array(s["c"]))
+        return F.array_sort(F.concat(s["found"], last))
+
+    return let(F.aggregate(F.sequence(F.lit(1), F.lit(4)), state(coefficients.cast("array<long>"), F.array().cast("array<array<long>>")), divide), rest)
+
+
 def gcd(x: Column, y: Column) -> Column:
     """Greatest common divisor of longs by Euclid's algorithm: at most about 90 steps, and steps after the last change nothing."""
     start = F.struct(F.abs(x).alias("x"), F.abs(y).alias("y"))

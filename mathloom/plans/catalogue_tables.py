@@ -7,11 +7,16 @@ import contextlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import draws
-from ..operators import expressions, metrics, ranks, validate
+from ..functions import draws, nested
+from ..functions import lexer as lex
+from ..functions import text as texts
+from ..functions.vocab import Vocab, range_tokens
+from ..operators import expressions, metrics, polynomials, ranks, spectra, validate
+from ..sources import scans, sinks
 from ..sources.batches import BatchTable
 from ..sources.folders import new_folder
 from .catalogue import as_double, query
+from . import prepare
 from .drawn import Drawn, univariate
 from .samplers import Field, PolynomialSampler
 
@@ -39,8 +44,6 @@ def appended_batches(spark, read):
 @query("SELECT o_orderkey % 4 AS batch, count(*) AS rows FROM orders GROUP BY ALL")
 def batch_log(spark, read):
     """The log of a table of text lines: its batches and their numbers of rows."""
-    from ..functions import nested
-
     table = BatchTable(spark, new_folder(spark, "batches"), "text")
     for k in range(4):
         own = read("orders").filter(F.col("o_orderkey") % 4 == k)
@@ -188,3 +191,90 @@ def expression_terms(spark, read):
     """Terms of (x + key)^2 * (y - 1) / 2 - -size * x for every part, from the text."""
     text = F.concat(F.lit("(x + "), F.col("p_partkey").cast("string"), F.lit(")^2 * (y - 1)/2 - -"), F.col("p_size").cast("string"), F.lit("*x"))
     return read("part").select("p_partkey", _terms(expressions.parse_expression(text, ["x", "y"])).alias("terms"))
+
+
+# ---- factors and eigenvectors
+
+
+def _factor_text(factors: Column) -> Column:
+    """Factors as lists of coefficients from the constant on."""
+    return F.array_join(F.transform(factors, _joined), " | ")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size % 7 - 3 AS a, p_partkey % 23 - 11 AS b, p_partkey % 61 - 30 AS c FROM part),
+     r AS (SELECT p_partkey, r FROM p, range(-31, 32) t(r) WHERE r * r * r + a * r * r + b * r + c = 0),
+     m AS (SELECT p.*, r, CASE WHEN 3 * r * r + 2 * a * r + b <> 0 THEN 1 WHEN 6 * r + 2 * a <> 0 THEN 2 ELSE 3 END AS times FROM r JOIN p USING (p_partkey)),
+     n AS (SELECT p_partkey, sum(times) AS roots FROM m GROUP BY p_partkey),
+     f AS (SELECT p_partkey, [CAST(-r AS BIGINT), 1] AS f FROM m, range(0, 3) t(i) WHERE i < times
+           UNION ALL SELECT p_partkey, [CAST(b + a * r + r * r AS BIGINT), CAST(a + r AS BIGINT), 1] FROM m JOIN n USING (p_partkey) WHERE roots = 1
+           UNION ALL SELECT p_partkey, [CAST(c AS BIGINT), CAST(b AS BIGINT), CAST(a AS BIGINT), 1] FROM p WHERE p_partkey NOT IN (SELECT p_partkey FROM n))
+SELECT p_partkey, count(*) = 1 AS irreducible, string_agg(array_to_string(f, ','), ' | ' ORDER BY f) AS factors FROM f GROUP BY p_partkey
+""")
+def cubic_factors(spark, read):
+    """Factors of a cubic for each part; those without a whole root are irreducible."""
+    a, b, c = F.col("p_size") % 7 - 3, F.col("p_partkey") % 23 - 11, F.col("p_partkey") % 61 - 30
+    rows = read("part").select("p_partkey", polynomials.monic_factors(F.array(*(x.cast("long") for x in (c, b, a, F.lit(1))))).alias("f"))
+    return rows.select("p_partkey", (F.size("f") == 1).alias("irreducible"), _factor_text(F.col("f")).alias("factors"))
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_partkey % 9 - 4 AS p, 5 + l_suppkey % 20 AS q, l_linenumber % 5 - 2 AS r, 2 + CAST(l_quantity AS BIGINT) AS s FROM lineitem),
+     k AS (SELECT *, CAST(p + r AS BIGINT) AS c3, CAST(q + s + p * r AS BIGINT) AS c2, CAST(p * s + q * r AS BIGINT) AS c1, CAST(q * s AS BIGINT) AS c0 FROM l WHERE p * p < 4 * q AND r * r < 4 * s)
+SELECT DISTINCT c0, c1, c2, c3, array_to_string(least([q, p, 1], [s, r, 1]), ',') || ' | ' || array_to_string(greatest([q, p, 1], [s, r, 1]), ',') AS factors FROM k
+""")
+def quartic_factors(spark, read):
+    """Products of two quadratics without real roots, expanded and factored again."""
+    p, q, r, s = F.col("l_partkey") % 9 - 4, 5 + F.col("l_suppkey") % 20, (F.col("l_linenumber") % 5 - 2).cast("long"), 2 + F.col("l_quantity").cast("long")
+    rows = read("lineitem").select(p.alias("p"), q.alias("q"), r.alias("r"), s.alias("s")).distinct().filter("p * p < 4 * q AND r * r < 4 * s")
+    rows = rows.select(F.expr("q * s").alias("c0"), F.expr("p * s + q * r").alias("c1"), F.expr("q + s + p * r").alias("c2"), F.expr("p + r").alias("c3")).distinct()
+    return rows.select("*", _factor_text(polynomials.monic_factors(F.array("c0", "c1", "c2", "c3", F.lit(1).cast("long")))).alias("factors"))
+
+
+def _slices(weight) -> str:
+    """SQL for a sum of weighted products of pairs of coordinates over slices of a vector."""
+    cell = lambda i, j: "(" + " + ".join(f"{weight(k)} * CAST(embedding[{3 * k + i + 1}] AS DOUBLE) * CAST(embedding[{3 * k + j + 1}] AS DOUBLE)" for k in range(8)) + ")"
+    return ", ".join(f"{cell(i, j)} AS m{i}{j}" for i in range(3) for j in range(i, 3))
+
+
+_SQUARED = ", ".join(f"({' + '.join(f'm{min(i, k)}{max(i, k)} * m{min(k, j)}{max(k, j)}' for k in range(3))}) / pow(m00 + m11 + m22, 2)" for i in range(3) for j in range(i, 3))
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT vec_id, 0 AS n, {_slices(lambda k: 0.5**k)} FROM embeddings UNION ALL SELECT vec_id, n + 1, {_SQUARED} FROM e WHERE n < 16)
+SELECT vec_id, round(m00 / (m00 + m11 + m22), 5) AS xx, round(m01 / (m00 + m11 + m22), 5) AS xy, round(m22 / (m00 + m11 + m22), 5) AS zz FROM e WHERE n = 16
+""")
+def dominant_eigenvectors(spark, read):
+    """The main direction of eight weighted slices of each vector, as products of its coordinates, which have no sign."""
+    slices = F.array(*(F.array(*(F.col("embedding")[3 * k + i].cast("double") * 0.5 ** (k / 2) for i in range(3))) for k in range(8)))
+    rows = read("embeddings").select("vec_id", spectra.dominant_eigenvector(slices, 3).alias("v"))
+    product = lambda i, j: F.round(F.col("v")[i] * F.col("v")[j], 5)
+    return rows.select("vec_id", product(0, 0).alias("xx"), product(0, 1).alias("xy"), product(2, 2).alias("zz"))
+
+
+# ---- small things over tables
+
+
+@query("SELECT p_partkey, printf('%.2f', p_partkey / 8.0 - 100) AS eighths, printf('%.2f', p_retailprice * CAST(1.005 AS DOUBLE)) AS price, printf('%.2f', p_partkey * CAST(0.005 AS DOUBLE)) AS halves FROM part WHERE p_partkey <> 800")
+def two_decimal_ties(spark, read):
+    """Ties and numbers that are printed like ties."""
+    rows = read("part").filter("p_partkey <> 800")
+    return rows.select("p_partkey", texts.two_decimals(F.col("p_partkey") / 8 - 100).alias("eighths"), texts.two_decimals(F.col("p_retailprice") * 1.005).alias("price"), texts.two_decimals(F.col("p_partkey") * 0.005).alias("halves"))
+
+
+@query("""
+WITH i AS (SELECT c_custkey AS idx, list_concat([20], [1 + c_custkey % 17], [18], [1 + c_custkey % 5], [21]) AS ids FROM customer)
+SELECT 'train' AS split, idx, array_to_string(ids, ' ') AS ids FROM i UNION ALL SELECT 'test', idx, array_to_string(ids, ' ') FROM i WHERE idx < 20
+""")
+def configured_batches(spark, read):
+    """Both splits by one configuration file that names the lexer's: JSON lines for training, the first twenty lines of text for the test."""
+    folder = new_folder(spark, "configured")
+    value = F.concat_ws(",", (F.col("c_custkey") % 17).cast("string"), (F.col("c_custkey") % 5).cast("string"))
+    rows = read("customer").repartitionByRange(6, "c_custkey").sortWithinPartitions("c_custkey")
+    sinks.record_lines(rows.select(nested.scalar(value).alias("problem"), nested.scalar(F.lit("1")).alias("answer"))).write.text(f"{folder}/train.jsonl")
+    sinks.pair_lines(rows.select(nested.scalar(value).alias("problem"), nested.scalar(F.lit("1")).alias("answer"))).write.text(f"{folder}/test.txt")
+    sinks.write_yaml({"vocab": {"range": {"n": ["", 0, 16]}, "misc": [","]}, "number_policy": {"attach_sign": False, "digit_group": 0, "allow_float": False}, "strict": True}, f"{folder}/lexer.yaml")
+    sinks.write_yaml({"data": {"lexer_config": f"{folder}/lexer.yaml", "train_dataset_jsonl": f"{folder}/train.jsonl", "test_dataset_path": f"{folder}/test.txt", "num_test_samples": 20, "validate_train_tokens": True}}, f"{folder}/data.yaml")
+    done = prepare.from_config(spark, f"{folder}/data.yaml")
+    show = lambda name: getattr(done, name).select(F.lit(name).alias("split"), "idx", F.array_join(F.transform("input_ids_raw", lambda x: x.cast("string")), " ").alias("ids"))
+    return show("train").unionByName(show("test"))

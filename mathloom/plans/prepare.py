@@ -16,6 +16,7 @@ from ..functions.vocab import encode, encode_by_join, MAP_TOKENS
 from ..operators.collate import collate
 from ..operators.validate import check_tokens
 from ..sources import scans
+from ..sources.scans import read_config
 from ..sources.folders import new_folder
 
 #: Rows of each split and epochs of a dry run.
@@ -86,6 +87,24 @@ def prepare(spark: SparkSession, lexer: Lexer, train: dict[str, Any], test: dict
     return Prepared(out["train"], out["test"], lexer)
 
 
+def from_config(spark: SparkSession, config: dict[str, Any] | str, step: LoadStep | None = None, dry_run: bool = False) -> Prepared:
+    """`prepare` by a configuration (or its path), as `data` or at the top level: lexer_config (a path or the lexer's own configuration), for
+    train and test *_dataset_path, *_dataset_jsonl or *_dataset_pickle, num_*_samples (-1: all) and validate_*_tokens. use_jsonl and
+    use_pickle say that the paths are of that format."""
+    config = read_config(config, spark) if isinstance(config, str) else config
+    own = config.get("data", config)
+    lexer = own.get("lexer_config")
+    if lexer is None:
+        raise ValueError("lexer_config is needed")
+    lexer = Lexer.from_config(read_config(lexer, spark) if isinstance(lexer, str) else lexer)
+    sources = {}
+    for name in ("train", "test"):
+        path, jsonl, pickled = (own.get(f"{name}_dataset_{kind}") for kind in ("path", "jsonl", "pickle"))
+        jsonl, pickled = jsonl or (path if own.get("use_jsonl") else None), pickled or (path if own.get("use_pickle") else None)
+        sources[name] = {"text": None if jsonl or pickled else path, "jsonl": jsonl, "pickled": pickled, "limit": own.get(f"num_{name}_samples", -1)}
+    return prepare(spark, lexer, sources["train"], sources["test"], step, own.get("validate_train_tokens", False), own.get("validate_test_tokens", True), dry_run)
+
+
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """The first rows with long texts shortened."""
     return df.limit(n).select(*(shorten(df[c]).alias(c) for c in ("problem", "answer")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mathloom.functions import draws
-from mathloom.operators import algebra, expressions, metrics, ranks
+from mathloom.operators import algebra, expressions, metrics, polynomials, ranks, spectra
 from mathloom.plans import drawn, generate, samplers, tasks
 from mathloom.sources import batches, scans
 
@@ -134,3 +134,59 @@ def test_limits_over_lists_of_files(spark, tmp_path):
     for name in ("b", "a"):
         (tmp_path / name).write_text(f"{name} # 1\n{name} # 2\n")
     assert [tuple(r) for r in scans.read_pairs(spark, [str(tmp_path / "b"), str(tmp_path / "a")], 3).collect()] == [("a", "1"), ("a", "2"), ("b", "1")]
+
+
+def test_two_decimals_are_those_of_the_double(spark):
+    from mathloom.functions.text import two_decimals
+
+    rng = random.Random(2)
+    values = [k / 8 - 20 for k in range(400)] + [k * 0.005 for k in range(-300, 2000)] + [rng.uniform(-1e6, 1e6) for _ in range(500)] + [rng.uniform(0, 1) * 10 ** -rng.randint(0, 12) for _ in range(300)] + [1e15 + 0.125, 2.675, 1.005, 0.995, 99.995, -0.001]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", two_decimals(F.col("v")).alias("t")).collect()
+    assert [r["t"] for r in rows] == [f"{r['v']:.2f}" for r in rows]
+
+
+def test_factors_of_quartics(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(300):
+        p = {(0,): Fraction(1)}
+        while max(e[0] for e in p) < 4:
+            left = 4 - max(e[0] for e in p)
+            d = rng.randint(1, left)
+            q = {(d,): Fraction(1)} | {(i,): Fraction(rng.randint(-6, 6)) for i in range(d)}
+            p = algebra.times(p, {e: c for e, c in q.items() if c})
+            if rng.random() < 0.3:
+                break
+        rows.append(([int(p.get((i,), 0)) for i in range(max(e[0] for e in p) + 1)],))
+    for r in spark.createDataFrame(rows, "c array<long>").select("c", polynomials.monic_factors(F.col("c")).alias("f")).collect():
+        _, want = algebra.factor({(i,): Fraction(c) for i, c in enumerate(r["c"]) if c})
+        want = sorted([int(f.get((i,), 0)) for i in range(max(e[0] for e in f) + 1)] for f, n in want for _ in range(n))
+        assert sorted(r["f"]) == want, r
+
+
+def test_eigenvectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 5):
+        ms = [a + a.T for a in rng.normal(size=(20, n, n))] + [np.diag(np.arange(n) + 1.0), np.ones((n, n)), np.zeros((n, n))]
+        rows = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(ms)], "i int, m array<array<double>>").select("i", spectra.eigen(F.col("m"), n).alias("e")).collect()
+        for r in rows:
+            m, values, vectors = ms[r["i"]], np.array([e["value"] for e in r["e"]]), np.array([e["vector"] for e in r["e"]]).T
+            assert np.allclose(values, np.linalg.eigvalsh(m)[::-1], atol=1e-9) and np.allclose(m @ vectors, vectors * values, atol=1e-9) and np.allclose(vectors.T @ vectors, np.eye(n), atol=1e-9)
+    m = rng.normal(size=(3, 3)).tolist()
+    got = spark.createDataFrame([(m,)], "m array<array<double>>").select(spectra.dominant_eigenvector(F.col("m"), 3).alias("v")).first()["v"]
+    assert np.allclose(got, algebra.dominant_eigenvector(m), atol=1e-9)
+
+
+def test_sieve_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(polynomials, "SIEVE_BLOCK", 16)
+    plain = lambda n: [p for p in range(2, n) if all(p % d for d in range(2, int(p**0.5) + 1))]
+    for n in (2, 3, 5, 100, 1000):
+        assert sorted(r[0] for r in polynomials.primes_below(spark, n).collect()) == plain(n)
+    numbers = [2, 6, 97, 1024, 4717, 999 * 997, 1009 * 1013]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long")
+    got = {r["n"]: r["primes"] for r in polynomials.prime_divisors(rows, "n").collect()}
+    assert got == {n: own for n in numbers if (own := [p for p in plain(1012) if n % p == 0])}
+    with pytest.raises(ValueError):
+        polynomials.prime_divisors(spark.createDataFrame([(10**13,)], "n long"), "n")
