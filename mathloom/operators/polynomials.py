@@ -196,7 +196,7 @@ def primes_below(spark, n: int) -> DataFrame:
 
 
 def prime_divisors(numbers: DataFrame, column: str) -> DataFrame:
-    """(column, primes): all primes up to the root of the largest number that divide a number; numbers without one are left out.
+    """(column, primes): all primes up to its root that divide a number, and perhaps larger ones; numbers without one are left out.
 
     A segmented sieve: within each block that holds a number the multiples of every prime are written out and joined. Primes are joined to
     blocks by stretches of SIEVE_BLOCK numbers, of which a block needs those up to the root of its end. Numbers above LARGEST_NUMBER are
