@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import Rolling, Scratch, WordHashes, hot_rows, join_groups, letters_and_digits
+from .shared import Rolling, Scratch, WordHashes, hot_rows, join_groups, join_salted, letters_and_digits
 
 #: Words of the shortest tile; the share of an item's words in tiles from which it counts as leaked.
 MIN_MATCH = 5
@@ -33,8 +33,7 @@ FIRST_LENGTH = 24
 #: Bits of the filter over seeds that tasks hold (1 MB); places of the filter over texts, at most so many rows to broadcast.
 FILTER_BITS = 1 << 23
 TEXT_PLACES = 1 << 20
-#: Parts that the rows of a seed in very many texts are dealt out to; items that are tiled against a text at once.
-SALTS = 16
+#: Items that are tiled against a text at once.
 ITEMS_AT_ONCE = 64
 
 SCHEMA = "doc_id long, item_id long, coverage double, n_tiles long, longest_tile long"
@@ -199,9 +198,10 @@ def _candidates(texts: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFra
     # seeds that no text has count as the least frequent ones: the most frequent `least` - 1 of an item aren't needed
     used = used.filter(F.col("rank") >= F.col("least")).select("seed", F.col("key").alias("item"), "texts").distinct()
     limit = hot_rows(spark, own.count())
-    hot = F.broadcast(count.filter(F.col("texts") > limit).select("seed", F.lit(SALTS).alias("salts")))
+    parts = F.ceil(F.col("texts") / limit).cast("int")
+    hot = F.broadcast(count.filter(F.col("texts") > limit).select("seed", parts.alias("salts")))
     dealt = own.join(hot, "seed", "left").withColumn("salt", F.pmod(F.xxhash64("digest"), F.coalesce("salts", F.lit(1))).cast("int"))
-    spread = F.explode(F.sequence(F.lit(0), F.when(F.col("texts") > limit, SALTS - 1).otherwise(0)))
+    spread = F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))
     return dealt.join(used.withColumn("salt", spread), ["seed", "salt"]).select("digest", "item").distinct()
 
 
@@ -213,7 +213,7 @@ def _leaks(texts: DataFrame, benchmark: DataFrame, scratch: Scratch) -> tuple[Da
     seeds = scratch.save(items.select("item", "words").mapInArrow(_item_seeds, "key binary, seed long, n long"), "item-seeds")
     pairs = scratch.save(_candidates(texts, seeds, scratch), "pairs")
     asked = pairs.groupBy("item").agg(F.count("*").alias("texts")).join(items.select("item", "words"), "item")
-    pairs = join_groups(pairs, scratch.save(asked, "asked"), "item", "texts")
+    pairs = join_salted(pairs, scratch.save(asked, "asked"), "item", "texts", "digest")
     # a text meets its items in parts of about ITEMS_AT_ONCE
     parts = F.ceil(F.count("*").over(Window.partitionBy("digest")) / ITEMS_AT_ONCE)
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("item"), parts)).groupBy("digest", "part").agg(F.collect_list(F.struct("item", "words")).alias("items"))

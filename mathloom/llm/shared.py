@@ -119,6 +119,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size:
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def join_salted(rows: DataFrame, groups: DataFrame, key: str, size: str, salt_by: str) -> DataFrame:
+    """As `join_groups` for groups that hold texts or payloads of any length: nothing but hot keys and their numbers of parts is broadcast.
+
+    The rows of a hot key are dealt out to parts by the hash of a column, and its group is copied for each part. There are at most
+    2 * _HOT_SHARE * partitions such copies.
+    """
+    spark = rows.sparkSession
+    limit = hot_rows(spark, groups.agg(F.sum(size)).first()[0] or 0)
+    parts = F.ceil(F.col(size) / limit).cast("int")
+    hot = groups.filter(F.col(size) > limit).select(key, parts.alias("_parts"))
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    return dealt.join(salted, [key, "_salt"]).drop("_salt")
+
+
 def each_copy(rows: DataFrame, copies: str = "copies", number: str = "copy") -> DataFrame:
     """Every row as often as `copies` says, numbered from 0. Rows with very many copies are spread over tasks."""
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / _COPIES_AT_ONCE)))

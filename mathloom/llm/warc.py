@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, each_copy, free_shuffles, join_groups, null_id, safe_id
+from .shared import Scratch, each_copy, free_shuffles, join_groups, join_salted, null_id, safe_id
 
 #: Equal payloads of fewer bytes are written as responses each; larger ones once, the others revisit it.
 REVISIT_BYTES = 1000
@@ -99,7 +99,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """
     stored = spark.read.parquet(f"{path}/payloads")
     sound = F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged record: payload of "), F.hex("digest"))))
-    joined = join_groups(spark.read.parquet(f"{path}/records"), stored.withColumn("payload", sound), "digest", "rows")
+    joined = join_salted(spark.read.parquet(f"{path}/records"), stored.withColumn("payload", sound), "digest", "rows", "header")
     end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
     block = F.when(_field("WARC-Type") == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
     return joined.select("digest", "header", "payload", F.concat(F.encode("header", "UTF-8"), block, end).alias("record"))

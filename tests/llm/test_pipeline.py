@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from mathloom.llm import toxicity
@@ -33,3 +34,23 @@ def test_stages_against_brute_force(spark):
 
 def test_stages_are_named_and_in_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard", "decontamination", "packing"]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_empty_tables(spark, nothing, name):
+    """No documents in, none out, with the columns that documents have or those of the packing."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, nothing, "/root/testdata/sf0.001")
+    assert out.count() == 0 and (name == "packing" or sorted(out.columns) == sorted(nothing.columns))
+
+
+def test_stages_take_the_edge_table(spark, edges):
+    """Nulls, empty, long and repeated texts, ties and clashing columns: what stays are rows of the input, clean ones among them."""
+    rows = edges.dropDuplicates(["doc_id", "text"]).filter("doc_id is not null")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, "/root/testdata/sf0.001")
+        assert sorted(out.columns) == sorted(rows.columns)
+        assert out.exceptAll(rows).count() == 0, name
+        assert {15, 16} & {r["doc_id"] for r in out.select("doc_id").collect()}, name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, rows, "/root/testdata/sf0.001")
+    assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in rows.select("doc_id").collect()}

@@ -54,3 +54,21 @@ def test_damage_is_noticed(spark):
     spark.createDataFrame([(bytearray(hashlib.sha256(b"payload").digest()), bytearray(b"paylaod"), 1)], "digest binary, payload binary, rows long").write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="damaged record"):
         warc.read_archive(spark, path).collect()
+
+
+def test_hot_payloads_are_dealt_out(spark):
+    """Two payloads have most records: their groups are copied to parts, and every record gets its payload once."""
+    from pyspark.sql import functions as F
+
+    from mathloom.llm.shared import join_salted
+
+    rows = [(k % 2 if k < 900 else k, f"header {k}") for k in range(1000)]
+    groups = {}
+    for key, _ in rows:
+        groups[key] = groups.get(key, 0) + 1
+    df = spark.createDataFrame(rows, "digest long, header string")
+    sizes = spark.createDataFrame([(k, n, f"payload {k}") for k, n in groups.items()], "digest long, rows long, payload string")
+    got = join_salted(df, sizes, "digest", "rows", "header")
+    assert sorted((r["digest"], r["header"], r["payload"]) for r in got.collect()) == sorted((k, h, f"payload {k}") for k, h in rows)
+    assert join_salted(df.limit(0), sizes.limit(0), "digest", "rows", "header").count() == 0
+    assert "payload" not in got.select(F.lit(1)).columns
