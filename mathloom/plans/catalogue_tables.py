@@ -14,6 +14,8 @@ from ..functions.vocab import Vocab, range_tokens
 from ..operators import expressions, metrics, polynomials, ranks, spectra, validate
 from ..sources import scans, sinks
 from ..sources.batches import BatchTable
+from ..sources.pair_format import Pairs
+from ..streaming import joblog
 from ..sources.folders import new_folder
 from .catalogue import as_double, query
 from . import prepare
@@ -278,3 +280,40 @@ def configured_batches(spark, read):
     done = prepare.from_config(spark, f"{folder}/data.yaml")
     show = lambda name: getattr(done, name).select(F.lit(name).alias("split"), "idx", F.array_join(F.transform("input_ids_raw", lambda x: x.cast("string")), " ").alias("ids"))
     return show("train").unionByName(show("test"))
+
+
+# ---- formats and streams
+
+
+@query("SELECT kind, doc_id, md5(coalesce(text, '')) AS digest FROM documents, (SELECT unnest(['read', 'stream', 'file']) AS kind) WHERE kind <> 'file' OR doc_id < 500")
+def pairs_format(spark, read):
+    """Documents' ids and digests written as pair files, then read in short ranges of bytes, as a stream, and of a single file."""
+    spark.dataSource.register(Pairs)
+    folder = new_folder(spark, "pairs")
+    rows = read("documents").select(F.col("doc_id").cast("string").alias("problem"), F.md5(F.coalesce("text", F.lit(""))).alias("answer"))
+    new, old = rows.filter("doc_id >= 500").repartition(3), rows.filter("doc_id < 500").coalesce(1)
+    for part in (old, new):
+        part.write.format("pairs").mode("append").save(f"{folder}/in")
+    done = spark.read.format("pairs").option("range_bytes", 1000).load(f"{folder}/in")
+    first = done.agg(F.min("file")).first()[0]
+    stream = spark.readStream.format("pairs").option("range_bytes", 5000).load(f"{folder}/in")
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    own = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("problem").cast("long").alias("doc_id"), F.col("answer").alias("digest"))
+    return own(done, "read").unionByName(own(spark.read.schema(done.schema).parquet(f"{folder}/out"), "stream")).unionByName(own(spark.read.format("pairs").load(first), "file"))
+
+
+@query("SELECT user_id AS job_id, 'done' AS status, max(event_id) AS kernel_id FROM events WHERE user_id % 5 <> 0 GROUP BY user_id")
+def job_log_stream(spark, read):
+    """The job log followed as a stream over two runs, its files handed over newest first."""
+    folder = new_folder(spark, "joblog")
+    jobs = read("events").groupBy(F.col("user_id").alias("id")).agg(F.max("event_id").alias("kernel"))
+    record = lambda df, status: df.select(F.col("id").cast("string").alias("job_id"), F.col("kernel").cast("string").alias("kernel_id"), F.lit(status).alias("status"))
+    steps = [record(jobs, "queued"), record(jobs, "running"), record(jobs, "done"), record(jobs.filter("id % 5 = 0"), "deleted")]
+    for k, df in enumerate(steps):
+        sinks.append_jobs(df, f"{folder}/log{k}")
+    table = BatchTable(spark, f"{folder}/table")
+    for k in (3, 1, 2, 0):  # each run goes on from the state of the one before
+        spark.read.text(f"{folder}/log{k}").write.mode("append").text(f"{folder}/log")
+        joblog.follow(spark, f"{folder}/log", table.folder, f"{folder}/state", 2).awaitTermination()
+    field = lambda name: F.get_json_object("record", f"$.{name}")
+    return joblog.present(table).select(F.col("job_id").cast("long").alias("job_id"), field("status").alias("status"), field("kernel_id").cast("long").alias("kernel_id"))
