@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import pickle
+import warnings
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,15 +13,16 @@ from ..functions import draws, nested
 from ..functions import lexer as lex
 from ..functions import text as texts
 from ..functions.vocab import Vocab, range_tokens
-from ..operators import expressions, metrics, polynomials, ranks, spectra, validate
-from ..sources import scans, sinks
+from ..operators import algebra, expressions, metrics, polynomials, ranks, spectra, validate
+from ..sources import folders, scans, sinks
 from ..sources.batches import BatchTable
 from ..sources.pair_format import Pairs
 from ..streaming import joblog
 from ..sources.folders import new_folder
-from .catalogue import as_double, query
-from . import prepare
+from .catalogue import as_double, query, task_keys
+from . import generate, prepare, tasks
 from .drawn import Drawn, univariate
+from .reduction import reduction_step
 from .samplers import Field, PolynomialSampler
 
 # ---- batches
@@ -125,6 +128,22 @@ def drawn_polynomials(spark, read):
     return read("orders").select("o_orderkey", _terms(p).alias("terms"))
 
 
+@query(f"""
+WITH o AS (SELECT c_custkey AS k, t AS attempt, 't' || c_custkey || ':' || t AS seed FROM customer, range(0, 60) r(t)),
+     c AS (SELECT *, 1 + {_hash("seed || ':terms'")} % 4 AS n FROM o),
+     m AS (SELECT a, b, row_number() OVER (ORDER BY a + b, a) - 1 AS rank FROM range(0, 3) t(a), range(0, 3) u(b) WHERE a + b <= 2),
+     t AS (SELECT c.*, a, b, row_number() OVER (PARTITION BY k, attempt ORDER BY {_hash("seed || ':monomial:' || rank")}, rank) - 1 AS i FROM c, m),
+     p AS (SELECT *, {_hash("seed || ':coefficient:' || i")} % 5 AS coeff FROM t WHERE i < n),
+     f AS (SELECT k, min(attempt) AS attempt FROM (SELECT k, attempt FROM p WHERE coeff <> 0 GROUP BY ALL HAVING count(*) >= 2) GROUP BY k)
+SELECT k AS c_custkey, string_agg(a || ',' || b || ':' || coeff, ' ' ORDER BY a, b) AS terms FROM p JOIN f USING (k, attempt) WHERE coeff <> 0 GROUP BY k
+""")
+def drawn_with_two_terms(spark, read):
+    """Polynomials over GF(5) for each customer, drawn again until they have two terms at least."""
+    sampler = PolynomialSampler.of_ring("GF(5)[x, y]", max_degree=2, max_terms=4, degree_sampling="fixed", strict=False)
+    p = Drawn(sampler, min_terms=2).polynomial(F.concat(F.lit("t"), F.col("c_custkey").cast("string")))
+    return read("customer").select("c_custkey", _terms(p).alias("terms"))
+
+
 _STRICT_SQL = f"""
 c AS (SELECT key, seed || ':0' AS seed FROM s),
      m AS (SELECT a, b, row_number() OVER (ORDER BY a + b, a) - 1 AS rank FROM range(0, 3) t(a), range(0, 3) u(b) WHERE a + b <= 2),
@@ -317,3 +336,138 @@ def job_log_stream(spark, read):
         joblog.follow(spark, f"{folder}/log", table.folder, f"{folder}/state", 2).awaitTermination()
     field = lambda name: F.get_json_object("record", f"$.{name}")
     return joblog.present(table).select(F.col("job_id").cast("long").alias("job_id"), field("status").alias("status"), field("kernel_id").cast("long").alias("kernel_id"))
+
+
+@query("SELECT p_partkey AS idx, p_name AS problem, p_brand AS answer FROM part")
+def zipped_files(spark, read):
+    """Names and brands of parts in two sets of files of different sizes, put together line by line."""
+    folder, rows = new_folder(spark, "zip"), read("part")
+    for column, parts in (("p_name", 7), ("p_brand", 4)):
+        rows.repartitionByRange(parts, "p_partkey").sortWithinPartitions("p_partkey").select(column).write.text(f"{folder}/{column}")
+    return scans.zip_files(spark, f"{folder}/p_name", f"{folder}/p_brand")
+
+
+@query("SELECT n_name AS problem, n_nationkey || ' ' || n_regionkey AS answer FROM nation")
+def pickle_scan(spark, read):
+    """Nations as a pickled list of pairs in the cluster's store, loaded by its suffix."""
+    path = f"{new_folder(spark, 'pickle')}/nations.pkl"
+    rows = [(r["n_name"], [str(r["n_nationkey"]), str(r["n_regionkey"])]) for r in read("nation").collect()]
+    folders.write_bytes(spark, path, pickle.dumps(rows))
+    return scans.load(spark, text=path)
+
+
+@query("""
+SELECT 'num_samples' AS name, count(*) :: DOUBLE AS value FROM part UNION ALL SELECT 'generation_time.max', max(p_retailprice) FROM part
+UNION ALL SELECT 'size_stats.value.mean', round(avg(p_size), 6) FROM part UNION ALL SELECT 'size_stats.value.std', round(stddev_pop(p_size), 6) FROM part
+""")
+def statistics_file(spark, read):
+    """The report of a run as a YAML file, read again and flattened."""
+    path = f"{new_folder(spark, 'report')}/stats.yaml"
+    rows = read("part").select(F.col("p_retailprice").alias("runtime"), F.create_map(F.lit("size"), F.create_map(F.lit("value"), F.col("p_size").cast("double"))).alias("stats"))
+    sinks.write_yaml(metrics.report(rows, "runtime", "stats", 10.0), path)
+    report = scans.read_config(path, spark)
+    flat = {"num_samples": report["num_samples"], "generation_time.max": report["generation_time"]["max"], "size_stats.value.mean": round(report["size_stats"]["value"]["mean"], 6), "size_stats.value.std": round(report["size_stats"]["value"]["std"], 6)}
+    return spark.createDataFrame([(k, float(v)) for k, v in flat.items()], "name string, value double")
+
+
+@query("""
+WITH t AS (SELECT 0 AS a, s_name AS token FROM supplier UNION ALL SELECT * FROM (VALUES (1, '[PAD]'), (2, '<s>'), (3, '</s>'), (4, '[CLS]')))
+SELECT token, CAST(row_number() OVER (ORDER BY a, token) - 1 AS INTEGER) AS id, a > 0 AS is_special FROM t
+""")
+def vocabulary_file(spark, read):
+    """Suppliers' names as a vocabulary, written as YAML and built again from the file."""
+    path = f"{new_folder(spark, 'vocabulary')}/vocab.yaml"
+    names = [r[0] for r in read("supplier").select("s_name").orderBy("s_name").collect()]
+    sinks.write_yaml(Vocab.build(names, base_tokens=False).config(), path)
+    return Vocab.from_config(scans.read_config(path, spark)).frame(spark)
+
+
+@query("SELECT r_regionkey, r_regionkey % 2 = 0 AS written FROM region")
+def empty_batches(spark, read):
+    """Samples of nations by region, none for every other region: nothing is written for those."""
+    folder, out = new_folder(spark, "regions"), []
+    for (key,) in read("region").select("r_regionkey").collect():
+        rows = read("nation").filter((F.col("n_regionkey") == key) & (F.col("n_regionkey") % 2 == 0))
+        rows = rows.select(F.lit("train").alias("tag"), F.col("n_nationkey").alias("sample_index"), nested.scalar(F.col("n_name")).alias("problem"), nested.scalar(F.col("n_nationkey")).alias("answer"))
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            sinks.write_samples(rows, f"{folder}/{key}", ("text",))
+        out.append((key, folders.exists(spark, f"{folder}/{key}")))
+    return spark.createDataFrame(out, "r_regionkey int, written boolean")
+
+
+@query("SELECT 'train' AS split, c_custkey AS idx FROM customer WHERE c_custkey < 1000 UNION ALL SELECT 'test', c_custkey FROM customer WHERE c_custkey < 100")
+def dry_run_rows(spark, read):
+    """The rows of a dry run: the first 1000 and 100 of the files, which is the feature."""
+    path = new_folder(spark, "lines")
+    rows = read("customer").repartitionByRange(9, "c_custkey").sortWithinPartitions("c_custkey")
+    rows.select(F.concat((F.col("c_custkey") % 17).cast("string"), F.lit(" # "), (F.col("c_custkey") % 5).cast("string"))).write.text(path)
+    lexer = lex.Lexer.build(Vocab.build(range_tokens("", 0, 16)), lex.NumberPolicy(False, 0, False))
+    done = prepare.prepare(spark, lexer, {"text": path}, {"text": path}, dry_run=True)
+    return done.train.select(F.lit("train").alias("split"), "idx").unionByName(done.test.select(F.lit("test").alias("split"), "idx"))
+
+
+@query("SELECT CASE WHEN c_custkey % 10 = 0 THEN 'test' ELSE 'train' END AS tag, c_custkey AS sample_index, c_custkey % 10 <> 0 AS counted FROM customer")
+def skipped_statistics(spark, read):
+    """Samples with statistics for training, without for the test."""
+    keys, instance = task_keys(read("customer")), tasks.examples().get("gf17_addition")
+    train = generate.for_keys(keys.filter("tag = 'train'"), instance, statistics=lambda p, a: {"problem": len(p)})
+    rows = train.unionByName(generate.for_keys(keys.filter("tag = 'test'"), instance))
+    return rows.select("tag", "sample_index", F.col("stats").isNotNull().alias("counted"))
+
+
+@query("SELECT true AS same_ideal, true AS standard, true AS enough")
+def basis_conversion_invariant(spark, read):
+    """Groebner bases of customers' samples in another order of monomials: each basis reduces the other to zero, S-polynomials reduce to zero."""
+    rows = generate.for_keys(task_keys(read("customer")), tasks.examples().get("polynomial_reduction")).select(nested.to_text(F.col("problem")).alias("problem"))
+
+    def check(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            out = []
+            for problem in pdf["problem"]:
+                _, *basis = (algebra.parse(t, ["x", "y"]) for t in problem.split(" | "))
+                other = algebra.groebner(basis, "lex")
+                same = all(not algebra.divide(g, other, "lex")[1] for g in basis) and all(not algebra.divide(g, basis, "grevlex")[1] for g in other)
+                out.append((same, algebra.groebner(other, "lex") == other))
+            yield pd.DataFrame(out, columns=["same_ideal", "standard"])
+
+    done = rows.mapInPandas(check, "same_ideal boolean, standard boolean")
+    return done.agg(F.bool_and("same_ideal").alias("same_ideal"), F.bool_and("standard").alias("standard"), (F.count("*") * 5 > read("customer").count()).alias("enough"))
+
+
+@query("SELECT o AS monomial_order, p AS pattern, true AS adds_up, true AS is_reduced, true AS enough FROM (VALUES ('grevlex', 1), ('grevlex', 2), ('lex', 1), ('lex', 2)) t(o, p)")
+def reduction_load(spark, read):
+    """Customers' samples as a pair file, loaded in two orders with and without quotients. Remainder and products give the polynomial,
+    and no leading term of the basis divides a term of the remainder."""
+    path = new_folder(spark, "reduction")
+    rows = generate.for_keys(task_keys(read("customer")), tasks.examples().get("polynomial_reduction"))
+    sinks.pair_lines(rows).write.text(path)
+
+    def check(order: str, quotients: bool):
+        def run(frames):
+            import pandas as pd
+
+            for pdf in frames:
+                out = []
+                for problem, answer in zip(pdf["problem"], pdf["answer"]):
+                    f, *basis = (algebra.parse(t, ["x", "y"]) for t in problem.split(" | "))
+                    *parts, rest = (algebra.parse(t, ["x", "y"]) for t in answer.split(" | "))
+                    total = rest
+                    for q, g in zip(parts, basis):
+                        total = algebra.plus(total, algebra.times(q, g))
+                    heads = [algebra.lead(g, algebra.ORDERS[order]) for g in basis]
+                    same = total == f if quotients else not algebra.divide(algebra.plus(f, rest, -1), basis, order)[1]
+                    out.append((same and len(parts) == len(basis) * quotients, not any(algebra.divides(h, e) for h in heads for e in rest)))
+                yield pd.DataFrame(out, columns=["adds_up", "is_reduced"])
+
+        return run
+
+    out = None
+    for order in ("grevlex", "lex"):
+        for pattern in (1, 2):
+            done = scans.load(spark, text=path, step=reduction_step(["x", "y"], order, pattern == 2)).mapInPandas(check(order, pattern == 2), "adds_up boolean, is_reduced boolean")
+            one = done.agg(F.lit(order).alias("monomial_order"), F.lit(pattern).alias("pattern"), F.bool_and("adds_up").alias("adds_up"), F.bool_and("is_reduced").alias("is_reduced"), (F.count("*") * 5 > read("customer").count()).alias("enough"))
+            out = one if out is None else out.unionByName(one)
+    return out

@@ -21,9 +21,10 @@ MOST_MONOMIALS = 10_000
 
 @dataclass(frozen=True)
 class Drawn:
-    """Columns by the bounds of a sampler."""
+    """Columns by the bounds of a sampler; draws with fewer than min_terms terms are drawn again."""
 
     sampler: PolynomialSampler
+    min_terms: int = 0
 
     def __post_init__(self):
         if self._total(self.sampler.max_degree) > MOST_MONOMIALS:
@@ -77,10 +78,10 @@ class Drawn:
             return draws.let(F.filter(terms, lambda t: t["num"] != 0), lambda terms: F.when(fits(terms, count), terms))
 
         def fits(terms: Column, count: Column) -> Column:
-            reached = F.coalesce(F.array_max(F.transform(terms, lambda t: size(t["exps"]))), F.lit(-1))
+            reached, enough = F.coalesce(F.array_max(F.transform(terms, lambda t: size(t["exps"]))), F.lit(-1)), F.size(terms) >= self.min_terms
             if s.strict:
-                return (reached == degree) & (F.size(terms) == count)
-            return F.when(F.size(terms) > 0, reached >= s.min_degree).otherwise(F.lit(not s.nonzero))
+                return enough & (reached == degree) & (F.size(terms) == count)
+            return enough & F.when(F.size(terms) > 0, reached >= s.min_degree).otherwise(F.lit(not s.nonzero))
 
         items = F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long"))
         exps = lambda n: F.transform(draws.chosen(items, n, seed, "monomial"), lambda r: ranks.monomial_up_to(r, v, degree))

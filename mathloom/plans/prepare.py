@@ -7,7 +7,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.lexer import Lexer
 from ..functions.loadprep import LoadStep
@@ -16,8 +15,7 @@ from ..functions.vocab import encode, encode_by_join, MAP_TOKENS
 from ..operators.collate import collate
 from ..operators.validate import check_tokens
 from ..sources import scans
-from ..sources.scans import read_config
-from ..sources.folders import new_folder
+from ..sources.scans import numbered, read_config
 
 #: Rows of each split and epochs of a dry run.
 DRY_RUN = {"train": 1000, "test": 100, "epochs": 1, "batch_size": 8}
@@ -37,31 +35,6 @@ class Prepared:
         return collate(df, "batch_idx", "input_ids_raw", "target_ids_raw", self.lexer.vocab.special_id("pad_token"))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """Adds idx, from 0 without gaps in the order of the files that the rows come from, and drops _line (`scans.load` with place).
-
-    The rows are written first, with ids that rise along a split of a file. A row's number is its id's distance to the smallest one of its
-    split and the number of rows of the splits before; of each split two numbers go through the driver, which holds the list of splits
-    anyway. Where a load step has moved rows to other tasks, they are sorted within their splits instead; it mustn't sort them within a task.
-    """
-    if "_line" not in df.columns:
-        raise ValueError("a load step has to keep the column _line, which orders the rows")
-    spark, path = df.sparkSession, new_folder(df.sparkSession, "numbered")
-    df.select("*", F.col("_line.file").alias("_file"), F.col("_line.block").alias("_block"), F.monotonically_increasing_id().alias("_id")).write.parquet(path)
-    rows = spark.read.schema(df.schema.add("_file", "string").add("_block", "long").add("_id", "long")).parquet(path)
-    stats = rows.groupBy("_file", "_block").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), F.count("*").alias("n"), F.bool_and(F.shiftright("_id", 33) == F.shiftright("_line.row", 33)).alias("in_task"))
-    splits, starts, at = stats.orderBy("_file", "_block").collect(), [], 0
-    for r in splits:
-        starts.append((r["_file"], r["_block"], r["low"], at))
-        at += r["n"]
-    rows = rows.join(spark.createDataFrame(starts, "_file string, _block long, _low long, _start long"), ["_file", "_block"])
-    if all(r["high"] - r["low"] + 1 == r["n"] and r["in_task"] for r in splits):
-        within = F.col("_id") - F.col("_low")
-    else:
-        within = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_line.row", "_id")) - 1
-    return rows.withColumn("idx", (F.col("_start") + within).cast("long")).drop("_file", "_block", "_id", "_low", "_start", "_line")
-
-
 def tokenised(df: DataFrame, lexer: Lexer) -> DataFrame:
     """(idx, problem, answer) with token and id columns; the tokens of both sides are joined with a large vocabulary at once."""
     df = df.withColumns({"input_tokens": lexer.tokens(df["problem"]), "target_tokens": lexer.tokens(df["answer"])})

@@ -45,13 +45,17 @@ def remove(spark: SparkSession, where: str) -> None:
 
 
 def write_text(spark: SparkSession, where: str, text: str, replace: bool = True) -> None:
-    """A small file, there with all of its text or not at all: it is written beside its place and then renamed."""
+    write_bytes(spark, where, text.encode(), replace)
+
+
+def write_bytes(spark: SparkSession, where: str, data: bytes, replace: bool = True) -> None:
+    """A small file, there with all of its bytes or not at all: it is written beside its place and then renamed."""
     path, fs = file_system(spark, where)
     fs.mkdirs(path.getParent())
     part, _ = file_system(spark, f"{path.getParent()}/.{uuid.uuid4().hex}.part")
     out = fs.create(part, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(data))
     finally:
         out.close()
     rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
@@ -69,6 +73,11 @@ def exists(spark: SparkSession, where: str) -> bool:
     return fs.exists(path)
 
 
+def read_bytes(spark: SparkSession, where: str) -> bytes:
+    """A small file's bytes."""
+    return bytes(spark.read.format("binaryFile").load(where).select("content").first()[0])
+
+
 def read_text(spark: SparkSession, where: str) -> str:
     """A small file's text."""
     return "\n".join(r[0] for r in spark.read.option("wholetext", True).text(where).collect())

@@ -11,6 +11,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import nested
 from ..functions.loadprep import LoadStep
@@ -77,6 +78,42 @@ def read_pairs(spark: SparkSession, path: str | list[str], limit: int | None = N
     return in_place(first_rows(spark, path, limit, lambda df: split_pairs(df, on_missing=on_missing).drop("value")), place)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds idx, from 0 without gaps in the order of the files that the rows come from, and drops _line (`scans.load` with place).
+
+    The rows are written first, with ids that rise along a split of a file. A row's number is its id's distance to the smallest one of its
+    split and the number of rows of the splits before; of each split two numbers go through the driver, which holds the list of splits
+    anyway. Where a load step has moved rows to other tasks, they are sorted within their splits instead; it mustn't sort them within a task.
+    """
+    if "_line" not in df.columns:
+        raise ValueError("a load step has to keep the column _line, which orders the rows")
+    spark, path = df.sparkSession, folders.new_folder(df.sparkSession, "numbered")
+    df.select("*", F.col("_line.file").alias("_file"), F.col("_line.block").alias("_block"), F.monotonically_increasing_id().alias("_id")).write.parquet(path)
+    rows = spark.read.schema(df.schema.add("_file", "string").add("_block", "long").add("_id", "long")).parquet(path)
+    stats = rows.groupBy("_file", "_block").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), F.count("*").alias("n"), F.bool_and(F.shiftright("_id", 33) == F.shiftright("_line.row", 33)).alias("in_task"))
+    splits, starts, at = stats.orderBy("_file", "_block").collect(), [], 0
+    for r in splits:
+        starts.append((r["_file"], r["_block"], r["low"], at))
+        at += r["n"]
+    rows = rows.join(spark.createDataFrame(starts, "_file string, _block long, _low long, _start long"), ["_file", "_block"])
+    if all(r["high"] - r["low"] + 1 == r["n"] and r["in_task"] for r in splits):
+        within = F.col("_id") - F.col("_low")
+    else:
+        within = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_line.row", "_id")) - 1
+    return rows.withColumn("idx", (F.col("_start") + within).cast("long")).drop("_file", "_block", "_id", "_low", "_start", "_line")
+
+
+def zip_files(spark: SparkSession, problems: str, answers: str) -> DataFrame:
+    """(idx, problem, answer) of two sets of files whose lines belong together by their numbers; it is an error if one has more lines.
+
+    Lines are numbered as in the files, blank ones left out, and joined by their numbers.
+    """
+    left, right = (numbered(lines(spark, path).withColumnRenamed("value", name)) for path, name in ((problems, "problem"), (answers, "answer")))
+    rows = left.join(right, "idx", "full")
+    missing = F.raise_error(F.concat(F.lit("a line has no partner: "), F.col("idx").cast("string"))).cast("string")
+    return rows.select("idx", *(F.coalesce(F.col(c), missing).alias(c) for c in ("problem", "answer")))
+
+
 def is_falsy(v: Column) -> Column:
     """What counts as no answer: null, false, zero, and empty strings, lists and objects."""
     kind, text = F.schema_of_variant(v), F.to_json(v)
@@ -104,7 +141,7 @@ def read_records(spark: SparkSession, path: str | list[str], limit: int | None =
 
 def read_trusted_pickle(spark: SparkSession, path: str, limit: int | None = None, place: bool = False) -> DataFrame:
     """A pickled list of (problem, answer) pairs. Only for small files that you have written yourself."""
-    rows = pickle.loads(Path(path).read_bytes())
+    rows = pickle.loads(folders.read_bytes(spark, path))
     if not isinstance(rows, list):
         raise TypeError("the file must hold a list")
     rows = rows[: check_limit(limit)]

@@ -195,3 +195,19 @@ def test_sieve_in_pieces(spark, monkeypatch):
         assert math.prod(factors) == n and all(p in plain(1014) for p in factors)
     with pytest.raises(ValueError):
         polynomials.prime_divisors(spark.createDataFrame([(10**13,)], "n long"), "n")
+
+
+def test_reduction_forms():
+    from mathloom.plans.reduction import reduced, reduction_step
+
+    V2 = ["x", "y"]
+    problem, answer = "x^2*y + x + 1 | x^2 - 1 | y^2 - x", "x + y + 1"
+    assert reduced(problem, answer, V2, "grevlex", False) == (problem, answer)
+    parts = reduced(problem, answer, V2, "grevlex", True)[1].split(" | ")
+    assert parts == ["y", "0", "x + y + 1"]
+    # no basis, and a remainder that doesn't belong to it: zeros
+    assert reduced("x | x^2 - 1 | x - 2", "7", V2, "grevlex", True)[1] == "0 | 0 | 7"
+    f, *basis = reduced(problem, answer, V2, "lex", True)[0].split(" | ")
+    assert basis == ["x - y^2", "y^4 - 1"]
+    with pytest.raises(ValueError):
+        reduction_step(V2, "other")
