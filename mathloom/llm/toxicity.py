@@ -37,7 +37,7 @@ NOISE, FULL, L2 = 1.5, 4.0, 0.1
 #: Documents of the sample that a feature must occur in.
 MIN_DOCS = 3
 #: Words whose features a task remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 
 
 @dataclass
@@ -227,6 +227,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     return fit_chain(np.split(flat, cuts, axis=1), marks, CATEGORIES, folds)
 
 
+#: Texts whose features are held together.
+_AT_ONCE = 128
+
+
 class Columns(dict):
     """Columns of a word's features in a chain, remembered up to a bound."""
 
@@ -243,9 +247,14 @@ class Columns(dict):
 
 
 def probabilities(texts: pa.Array, chain: Chain | None, columns: Columns | None) -> np.ndarray:
-    """Rows of probabilities in the order of CATEGORIES; all 0 where there is no model."""
+    """Rows of probabilities in the order of CATEGORIES; all 0 where there is no model. Texts are taken _AT_ONCE by _AT_ONCE, so a task needs
+    memory for their features only."""
     if chain is None:
         return np.zeros((len(texts), len(CATEGORIES)))
+    return np.concatenate([np.zeros((0, len(CATEGORIES))), *(_probabilities(texts.slice(a, _AT_ONCE), chain, columns) for a in range(0, len(texts), _AT_ONCE))])
+
+
+def _probabilities(texts: pa.Array, chain: Chain, columns: Columns) -> np.ndarray:
     row, column, value = [], [], []
     for i, text in enumerate(texts):
         total: dict[int, int] = {}
