@@ -56,7 +56,7 @@ def reference_ids():
 
 def test_ids_are_those_of_the_reference_file(spark):
     encode, want = packing.load_encoder(), reference_ids()
-    texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(300).collect()]
+    texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect() if r["text"]]
     for t in [*texts, "", " ", "a<|endoftext|>b", "\x00\x01", "Ünï 漢字 🙂‍🙂  \n\n x", "²½Ⅷ", "don't  'LL\t\r\n", "a b", "퟿"]:
         assert encode(t).tolist() == want(t), t[:50]
 
