@@ -30,7 +30,7 @@ MOST_RUNS = 3
 #: Bytes of a bucket's entries on average, and of entries for each byte of text; bytes of claims that a text is compared with at once.
 BUCKET_BYTES, ENTRY_BYTES = 64_000_000, 3
 CLAIM_BYTES = 4_000_000
-#: Shares of the id range at which the query's batches end; the last batch isn't kept as a run, as nothing comes after it.
+#: Shares of the rows, by their ids, at which the query's batches end; the last batch isn't kept as a run, as nothing comes after it.
 BATCHES = (1 / 32, 2 / 32, 3 / 32, 4 / 32)
 
 #: kind 0: window hashes to be looked up; kind 1: windows already known to be owned by another document of the same block.
@@ -397,6 +397,12 @@ def remove_windows(docs: DataFrame, answers: DataFrame, scratch: Scratch, bits:
     return rows.mapInArrow(_remove(bits, False, keep_text), RESULT).drop("owner")
 
 
+def batch_ends(rows: DataFrame) -> tuple[list[int], int]:
+    """Ids at which the batches end, to a ten-thousandth of the rows, and the bytes of all texts."""
+    ends, size = rows.agg(F.percentile_approx(null_id("doc_id"), list(BATCHES), 10_000), F.sum(F.octet_length("text"))).first()
+    return sorted(set(ends or [])), size or 0
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64, keep_text: bool = True) -> DataFrame:
     """Removes each word covered by a window whose words also start in a document with a smaller id.
 
@@ -407,9 +413,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     number, columns = F.col(id_col).cast("long"), (safe_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = docs.select(*columns)
-    low, high, size = rows.agg(F.min(null_id("doc_id")), F.max(null_id("doc_id")), F.sum(F.octet_length("text"))).first()
-    index = FingerprintIndex(docs.sparkSession, size or 0, bits)
-    ends = sorted({low + int((high - low) * share) for share in BATCHES}) if low is not None else []
+    ends, size = batch_ends(rows)
+    index = FingerprintIndex(docs.sparkSession, size, bits)
     answers = None
     for begin, end in zip([None, *ends], [*ends, None]):
         part = docs  # null ids are in the first batch; bounds of the ids themselves reach the scan

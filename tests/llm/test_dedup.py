@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from mathloom.llm import exact_dedup, ngram_join, shared, substring_dedup, suffix_dedup
 from mathloom.llm.components import connected_components
-from mathloom.llm.shared import Scratch
+from mathloom.llm.shared import Scratch, safe_id
 
 LEAST = -(2**63)
 
@@ -114,6 +114,14 @@ def test_index_grows_by_batches(spark, edges):
     assert bag(got) == bag(brute_windows(rows))
 
 
+def test_batches_are_shares_of_the_rows(spark):
+    """An id far away from all others moves no bound."""
+    rows = spark.range(10_000).selectExpr("case when id = 9999 then 1L << 60 when id = 9998 then null else id end as doc_id", "'x' as text")
+    ends, size = substring_dedup.batch_ends(rows.select(safe_id("doc_id").alias("doc_id"), "text"))
+    assert size == 10_000 and all(abs(e - 10_000 * share) < 20 for e, share in zip(ends, substring_dedup.BATCHES))
+    assert substring_dedup.batch_ends(rows.limit(0).select(safe_id("doc_id").alias("doc_id"), "text")) == ([], 0)
+
+
 def test_colliding_hashes_take_no_words(edges):
     """With hashes of 8 bits nearly every claim is wrong; words decide."""
     got = substring_dedup.substring_dedup(edges.filter("doc_id < 110 and doc_id <> 15 or doc_id is null"), bits=8).drop("kept_text").collect()
