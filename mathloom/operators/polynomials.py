@@ -298,10 +298,11 @@ def monic_factors(coefficients: Column) -> Column:
 
 
 def gcd(x: Column, y: Column) -> Column:
-    """Greatest common divisor of longs by Euclid's algorithm: at most about 90 steps, and steps after the last change nothing."""
-    start = F.struct(F.abs(x).alias("x"), F.abs(y).alias("y"))
+    """Greatest common divisor of longs by Euclid's algorithm: no more steps than the smaller number's Fibonacci rank and a few, and steps after
+    the last change nothing."""
     step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.pmod(s["x"], s["y"]).alias("y")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)["x"]
+    steps = lambda s: F.sequence(F.lit(1), F.floor(F.log2(F.least(s["x"], s["y"]).cast("double") + 1) * 1.45).cast("int") + 4)
+    return let(F.struct(F.abs(x).alias("x"), F.abs(y).alias("y")), lambda s: F.aggregate(steps(s), s, step)["x"])
 
 
 def monomial_counts(variables: int | Column, degree: int | Column) -> Column:

@@ -211,3 +211,14 @@ def test_reduction_forms():
     assert basis == ["x - y^2", "y^4 - 1"]
     with pytest.raises(ValueError):
         reduction_step(V2, "other")
+
+
+def test_greatest_common_divisors(spark):
+    rng = random.Random(6)
+    fib = [1, 1]
+    while fib[-1] + fib[-2] < 2**63:
+        fib.append(fib[-1] + fib[-2])
+    pairs = [(a, b) for a, b in zip(fib, fib[1:])] + [(b, a) for a, b in zip(fib, fib[1:])] + [(0, 0), (0, 7), (7, 0), (-4, 6), (2**62, 2**40), (2**63 - 1, 2**63 - 2)]
+    pairs += [(rng.randrange(-(2 ** rng.randrange(1, 63)), 2**62), rng.randrange(2 ** rng.randrange(1, 63))) for _ in range(300)]
+    rows = spark.createDataFrame(pairs, "a long, b long").select("a", "b", polynomials.gcd(F.col("a"), F.col("b")).alias("g")).collect()
+    assert all(r["g"] == math.gcd(r["a"], r["b"]) for r in rows)

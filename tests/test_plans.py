@@ -211,3 +211,12 @@ def test_statistics_and_last_elements_hold_no_lists(spark, tmp_path):
         got, want = catalogue.QUERIES[name](spark, str(tmp_path)), con.sql(catalogue.SQL[name])
         assert "collect_list" not in got._jdf.queryExecution().toString()
         assert rows_of(got.collect(), got.columns) == rows_of(want.fetchall(), want.columns)
+
+
+def test_large_vocabularies_are_joined(spark, tmp_path, monkeypatch):
+    (tmp_path / "in.txt").write_text("".join(f"{i},{i + 1},3 # {i % 4}\n" for i in range(12)))
+    lexer, source = Lexer.from_config(LEXER), {"text": str(tmp_path / "in.txt")}
+    rows = lambda: sorted((r["idx"], r["input_ids_raw"], r["target_ids_raw"]) for r in prepare.prepare(spark, lexer, source, source).train.collect())
+    by_map = rows()
+    monkeypatch.setattr(prepare, "MAP_TOKENS", 0)
+    assert rows() == by_map and len(by_map) == 12
