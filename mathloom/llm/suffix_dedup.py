@@ -33,7 +33,8 @@ BUCKET_BYTES, ENTRY_BYTES = 64_000_000, 3
 #: Bytes that are hashed at once.
 _PART = 1 << 20
 
-#: Stretches of one block of documents: ids and marks with counts, then per stretch name, place in its document and bytes.
+#: Stretches of one block of documents: ids and marks with counts, then per stretch name, place in its document and bytes; all but the
+#: names are compressed (`_small`), as they lie on disk beside the texts.
 _BINARIES = ("ids", "marks", "counts", "hashes", "places", "lengths", "bytes")
 STRETCHES = "bucket long, kind int, " + ", ".join(f"{c} binary" for c in _BINARIES)
 _STRETCHES = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in _BINARIES)])
@@ -118,6 +119,16 @@ def named_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return tuple(np.concatenate(p) for p in out)
 
 
+def _small(data: bytes) -> bytes:
+    """Compressed, behind its length in eight bytes."""
+    return len(data).to_bytes(8, "little") + (pa.compress(data, codec="zstd", asbytes=True) if data else b"")
+
+
+def _whole(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def _encode(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
@@ -200,7 +211,10 @@ def _emit_stretches(n_buckets: int):
                     if b > a:
                         own = chosen[a:b]
                         docs, counts = np.unique(doc[own], return_counts=True)
-                        rows.append((int(where[a]), kind, np.diff(ids[docs], prepend=0).tobytes(), marks[docs].tobytes(), counts.astype(np.int32).tobytes(), names[own].tobytes(), at[own].tobytes(), (count[own] if kind else np.array([len(parts[i]) for i in own])).astype(np.int32).tobytes(), b"" if kind else b"".join(parts[i] for i in own)))
+                        lengths = count[own] if kind else np.array([len(parts[i]) for i in own])
+                        small = (np.diff(ids[docs], prepend=0).tobytes(), marks[docs].tobytes(), counts.astype(np.int32).tobytes(), at[own].tobytes(), lengths.astype(np.int32).tobytes(), b"" if kind else b"".join(parts[i] for i in own))
+                        own_ids, own_marks, own_counts, *rest = map(_small, small)
+                        rows.append((int(where[a]), kind, own_ids, own_marks, own_counts, names[own].tobytes(), *rest))
             yield _batch(rows, _STRETCHES)
 
     return run
@@ -259,14 +273,14 @@ def _owned(table: pa.Table, n_groups: int) -> pa.Table:
     none = np.empty(0, np.int64)
     told, asked, names, parts = [[none] * 4], [[none] * 3], [np.empty(0, np.uint64)], []
     for kind, *columns in zip(table.column("kind"), *(table.column(c) for c in _BINARIES)):
-        own, marks, counts, hashes, at, lengths, data = (c.as_buffer() for c in columns)
+        own, marks, counts, hashes, at, lengths, data = (c.as_py() if name == "hashes" else _whole(c.as_py()) for name, c in zip(_BINARIES, columns))
         counts = np.frombuffer(counts, np.int32)
         doc, mark = np.repeat(np.cumsum(np.frombuffer(own, np.int64)), counts), np.repeat(np.frombuffer(marks, np.int64), counts)
         at, lengths = np.frombuffer(at, np.int64), np.frombuffer(lengths, np.int32).astype(np.int64)
         if kind.as_py():
             told.append([doc, mark, at, at + lengths - 1])
         else:
-            data, ends = data.to_pybytes(), np.cumsum(lengths)
+            ends = np.cumsum(lengths)
             asked.append([doc, mark, at])
             names.append(np.frombuffer(hashes, np.uint64))
             parts += [data[e - n : e] for e, n in zip(ends, lengths)]
@@ -332,9 +346,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_buckets, n_groups = max(2 * partitions(spark), least), max(partitions(spark), least)
     rows = docs.select(safe_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = rows.withColumn("mark", F.xxhash64("text"))
-    names = scratch.save(rows.mapInArrow(_emit_names(n_buckets), BLOCKS).groupBy("bucket").applyInArrow(_shared_names(n_groups), BLOCKS), "names")
+    # gathered before they are saved: the shuffles of both steps are gone when the texts are shuffled
+    told = rows.mapInArrow(_emit_names(n_buckets), BLOCKS).groupBy("bucket").applyInArrow(_shared_names(n_groups), BLOCKS).groupBy("bucket").applyInArrow(gather, OWNED)
+    own = scratch.save(told, "names").withColumnRenamed("doc_id", "key")
+    del told
     free_shuffles(spark)
-    own = names.groupBy("bucket").applyInArrow(gather, OWNED).withColumnRenamed("doc_id", "key")
     known = marked.join(own, marked["doc_id"] == own["key"]).select("doc_id", "mark", "text", "hashes")
     ranges = scratch.save(known.mapInArrow(_emit_stretches(n_buckets), STRETCHES).groupBy("bucket").applyInArrow(lambda t: _owned(t, n_groups), RANGES), "ranges")
     free_shuffles(spark)

@@ -2,6 +2,8 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +12,8 @@ from mathloom.llm import exact_dedup, ngram_join, shared, substring_dedup, suffi
 from mathloom.llm.components import connected_components
 from mathloom.llm.shared import Scratch, safe_id
 
+from .conftest import prose
+
 LEAST = -(2**63)
 
 
@@ -150,6 +154,19 @@ def test_suffix_dedup(edges, nothing):
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
 
 
+def test_suffix_dedup_compresses_stretches():
+    """What is shuffled of the stretches takes less than half of their bytes, and gives the same windows back."""
+    texts = [prose(1, 3000), prose(1, 3000) + " end", prose(2, 200)]
+    names, _, _, count = suffix_dedup.named_runs([t.encode() for t in texts])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([7, 8, 9]), pa.array(texts), pa.array([names.tobytes()] * 3, pa.binary())], names=["key", "mark", "text", "hashes"])
+    sent = pa.Table.from_batches([*suffix_dedup._emit_stretches(1)([batch])])
+    assert sum(len(x) for x in sent.column("bytes").to_pylist()) < sum(n + suffix_dedup.WIDTH - 1 for n in count[: len(count) // 2]) / 2
+    found = suffix_dedup._gather_ranges(suffix_dedup._owned(sent.filter(pa.compute.equal(sent.column("kind"), 0)), 1)).to_pylist()
+    assert all(r["doc_id"] == 2 for r in found)
+    told = suffix_dedup._gather_ranges(suffix_dedup._owned(sent, 1)).to_pylist()
+    assert [r["doc_id"] for r in told] == [2] and len(np.frombuffer(told[0]["ranges"], np.int64)) > 0
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60))
 def test_suffix_array(symbols):
