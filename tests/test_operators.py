@@ -99,6 +99,16 @@ def test_factors(parts, unit):
         assert algebra.parse(algebra.show_factors(u, factors), ["x"]) == p
 
 
+def test_factors_of_large_numbers():
+    """Coefficients with many divisors, repeated factors, and factors that split modulo every prime."""
+    parts = [algebra.parse(t, ["x"]) for t in ("720720*x^2 + 17*x - 360360", "55440*x^2 - 13*x + 720720", "27720*x^3 + x + 65521", "x^4 + 1")]
+    p = algebra.times(parts[3], parts[3])
+    for q in parts[:3]:
+        p = algebra.times(p, q)
+    unit, factors = algebra.factor(p)
+    assert unit == 1 and sorted((len(f), n, str(f)) for f, n in factors) == sorted((len(q), 1 + (q is parts[3]), str(dict(sorted(q.items())))) for q in parts)
+
+
 def test_known_factors():
     f = lambda t: algebra.show_factors(*algebra.factor(algebra.parse(t, ["x"])))
     assert f("x^2 - 14*x + 48") in ("(x - 8) * (x - 6)", "(x - 6) * (x - 8)") and f("5/3*x") == "(5/3) * x" and f("x^4 + 4") == "(x^2 - 2*x + 2) * (x^2 + 2*x + 2)" or f("x^4 + 4").count("(") == 2
