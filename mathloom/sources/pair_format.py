@@ -23,6 +23,8 @@ SCHEMA = "problem string, answer string, file string, start long"
 _ARROW = pa.schema([("problem", pa.string()), ("answer", pa.string()), ("file", pa.string()), ("start", pa.int64())])
 #: Bytes of a range, of a read within it, and lines of a batch.
 RANGE_BYTES, READ_BYTES, BATCH_LINES = 64 << 20, 1 << 20, 8192
+#: Short ranges are lengthened, up to RANGE_BYTES, until there are about so many: each is a task.
+MOST_RANGES = 512
 
 
 def _system(path: str) -> tuple[fs.FileSystem, str]:
@@ -50,6 +52,7 @@ class Range(InputPartition):
 
 
 def _ranges(files: list[tuple[str, int]], size: int) -> list[Range]:
+    size = max(size, min(RANGE_BYTES, -(-sum(n for _, n in files) // MOST_RANGES)))
     return [Range(name, a, min(a + size, n)) for name, n in files for a in range(0, n, size)]
 
 
@@ -60,7 +63,7 @@ def _lines(stream, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     stream.seek(at)
     held, skip = b"", start > 0
     while at < end:
-        more = stream.read(READ_BYTES)
+        more = stream.read(min(READ_BYTES, max(end - at - len(held), 4096)))
         held += more
         *whole, rest = held.split(b"\n")
         if not more and rest:
@@ -181,7 +184,7 @@ class PairWriter(DataSourceWriter):
 
 
 class Pairs(DataSource):
-    """Options: path, and range_bytes for reads."""
+    """Options: path, and range_bytes for reads, the least bytes of a range of many (MOST_RANGES)."""
 
     @classmethod
     def name(cls) -> str:

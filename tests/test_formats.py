@@ -26,6 +26,19 @@ def test_ranges_of_bytes_hold_every_line_once(tmp_path, monkeypatch, size):
             assert f.readline().decode().partition("#")[0].strip() == r["problem"]
 
 
+def test_short_ranges_of_large_files_are_lengthened(tmp_path):
+    """The number of tasks doesn't grow with the files while ranges are shorter than RANGE_BYTES; each line is still read once."""
+    lines = [f"{i} # {i * i}" for i in range(50_000)]
+    (tmp_path / "a").write_text("\n".join(lines[:30_000]) + "\n")
+    (tmp_path / "b").write_text("\n".join(lines[30_000:]))
+    parts = pair_format.PairReader(str(tmp_path), 100).partitions()
+    assert len(parts) <= pair_format.MOST_RANGES + 2 and max(p.end - p.start for p in parts) < 5000
+    rows = [r["problem"] + " # " + r["answer"] for p in parts for b in pair_format.PairReader(str(tmp_path), 100).read(p) for r in b.to_pylist()]
+    assert rows == lines
+    many = pair_format._ranges([("x", 10**12)], 100)
+    assert {r.end - r.start for r in many[:-1]} == {pair_format.RANGE_BYTES}
+
+
 def test_pairs_are_written_and_read(spark, tmp_path):
     spark.dataSource.register(pair_format.Pairs)
     where = f"file://{tmp_path}/in"
