@@ -115,11 +115,11 @@ def parse_ce(text: Column) -> Column:
     """Packed terms of `C3 E1 E0 + C-2 E0 E2`. Terms without coefficient or with other numbers of exponents are errors."""
     parts = F.filter(F.transform(F.split(text, r"\+"), lambda x: F.trim(x)), lambda x: x != "")
     number = lambda x: F.regexp_extract(x, r"^C(-?\d+)(?: E\d+)*$", 1)
-    term = lambda x: F.struct(F.transform(F.regexp_extract_all(x, F.lit(r"E(\d+)"), F.lit(1)), lambda e: e.cast("int")).alias("exps"), F.when(number(x) == "", F.raise_error(F.concat(F.lit("not a term: "), x))).otherwise(number(x)).cast(COEFF).alias("coeff"))
-    terms = F.transform(parts, term)
-    terms = F.filter(terms, lambda t: t["coeff"] != 0)
-    uneven = F.exists(terms, lambda t: F.size(t["exps"]) != F.size(F.element_at(terms, 1)["exps"]))
-    return F.when(uneven, F.raise_error(F.lit("terms have different numbers of exponents"))).otherwise(terms)
+    coeff = lambda x: let(number(x), lambda n: F.when(n == "", F.raise_error(F.concat(F.lit("not a term: "), x))).otherwise(n).cast(COEFF))
+    term = lambda x: F.struct(F.transform(F.regexp_extract_all(x, F.lit(r"E(\d+)"), F.lit(1)), lambda e: e.cast("int")).alias("exps"), coeff(x).alias("coeff"))
+    sizes = lambda terms: F.array_distinct(F.transform(terms, lambda t: F.size(t["exps"])))
+    checked = lambda terms: F.when(F.size(sizes(terms)) > 1, F.raise_error(F.lit("terms have different numbers of exponents"))).otherwise(terms)
+    return let(F.filter(F.transform(parts, term), lambda t: t["coeff"] != 0), checked)
 
 
 def parse_expanded(text: Column, variables: list[str]) -> Column:
