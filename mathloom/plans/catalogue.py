@@ -12,6 +12,7 @@ from ..functions import loadprep, nested, text
 from ..functions.vocab import Vocab, decode, encode, encode_by_join, range_tokens
 from ..operators import collate, metrics, polynomials, tensors, validate
 from ..sources import scans
+from ..sources.folders import new_folder
 from . import generate, tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,7 +61,9 @@ def answer_alias(spark, read):
     """JSON lines whose answer is 0 for every third row fall back to `solution`, which odd rows lack."""
     k = F.get_json_object("props", "$.k").cast("long")
     line = F.to_json(F.struct(F.col("event_type").alias("problem"), (k % 3).alias("answer"), F.when(k % 2 == 0, k).alias("solution")))
-    rows = scans.parse_records(read("events").withColumn("value", line))
+    folder = new_folder(spark, "records")  # written, as conditions on records would be pushed below an exchange, to the task of a small file
+    scans.spread(read("events").select("event_id", line.alias("value")), "event_id").write.parquet(folder)
+    rows = scans.parse_records(spark.read.parquet(folder))
     return rows.select("event_id", nested.to_words(F.col("problem")).alias("problem"), nested.to_words(F.col("answer")).alias("answer"))
 
 
@@ -421,8 +424,8 @@ SELECT x.poly_id, (x.a + y.a) || ',' || (x.b + y.b) || ',' || (x.c + y.c) AS exp
 FROM p x JOIN p y USING (poly_id) GROUP BY 1, 2 HAVING sum(x.coeff * y.coeff) <> 0
 """)
 def poly_product(spark, read):
-    """Squares of all polynomials."""
-    own = polynomials.normalise(_terms(read))
+    """Squares of all polynomials, which are dealt out once: sums, products and their sums are made where a polynomial's terms are."""
+    own = polynomials.normalise(scans.spread(_terms(read), "poly_id"))
     return polynomials.multiply(own, own).select("poly_id", _exps(), _long())
 
 
@@ -645,7 +648,8 @@ def eos_mask(spark, read):
 
 def task_keys(customers: DataFrame) -> DataFrame:
     """A sample for each customer, every tenth of them for the test."""
-    return customers.select(F.when(F.col("c_custkey") % 10 == 0, "test").otherwise("train").alias("tag"), F.col("c_custkey").alias("sample_index"))
+    keys = customers.select(F.when(F.col("c_custkey") % 10 == 0, "test").otherwise("train").alias("tag"), F.col("c_custkey").alias("sample_index"))
+    return scans.spread(keys, "sample_index")
 
 
 def _task(name: str) -> Query:

@@ -220,6 +220,16 @@ def indices(spark: SparkSession, sizes: dict[str, int]) -> DataFrame:
     return out
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by keys to as many partitions as shuffles have, two for each core at least.
+
+    For what takes long with each row: a small file comes as one partition, however many rows it has.
+    """
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, *keys)
+
+
 def read_config(path: str, spark: SparkSession | None = None) -> dict[str, Any]:
     """A YAML file, with a session from any store that it reads."""
     import yaml

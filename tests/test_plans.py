@@ -16,6 +16,15 @@ from mathloom.streaming import lexing
 
 from .conftest import DATA
 
+
+def test_task_keys_are_spread(spark):
+    """Samples of a file that is one partition are made by several tasks."""
+    rows = spark.range(1000).select(F.col("id").alias("c_custkey")).coalesce(1)
+    keys = catalogue.task_keys(rows)
+    sizes = keys.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 4 and max(r["count"] for r in sizes) < 400 and keys.count() == 1000
+
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
