@@ -291,7 +291,7 @@ def _ranked(keys: DataFrame, schema: str, row: Callable[[int], tuple]) -> DataFr
         for pdf in frames:
             yield pd.DataFrame([row(int(k)) for k in pdf.iloc[:, 0]], columns=[c.split()[0] for c in schema.split(", ")])
 
-    return keys.mapInPandas(run, schema)
+    return scans.spread(keys, keys.columns[0]).mapInPandas(run, schema)
 
 
 @query("""
@@ -378,7 +378,9 @@ def integer_factors_invariant(spark, read):
 @query(_ALL_HOLD)
 def polynomial_sums_invariant(spark, read):
     """Answers are prefix sums: the terms of each are the sums of the terms of the problem's polynomials so far."""
-    rows = _task(read, "polynomial_addition")
+    folder = new_folder(spark, "sums")
+    _task(read, "polynomial_addition").write.parquet(folder)
+    rows = spark.read.parquet(folder)
     spread = lambda c: rows.select("tag", "sample_index", F.posexplode(F.split(c, r"\s*\|\s*")).alias("place", "poly")).select("tag", "sample_index", "place", F.explode(polynomials.parse_expanded(F.col("poly"), ["x", "y"])).alias("t")).select(F.struct("tag", "sample_index").alias("key"), "place", F.col("t.exps").alias("exps"), F.col("t.coeff").cast(polynomials.COEFF).alias("coeff"))
     places = rows.select(F.struct("tag", "sample_index").alias("key"), F.posexplode(F.split("problem", r"\s*\|\s*")).alias("place", "_"))
     want = polynomials.prefix_sums(spread("problem"), "key", "place", places=places.select("key", "place")).select(F.struct("key", "place").alias("id"), "exps", "coeff")
