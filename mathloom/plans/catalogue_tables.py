@@ -141,7 +141,7 @@ def drawn_with_two_terms(spark, read):
     """Polynomials over GF(5) for each customer, drawn again until they have two terms at least."""
     sampler = PolynomialSampler.of_ring("GF(5)[x, y]", max_degree=2, max_terms=4, degree_sampling="fixed", strict=False)
     p = Drawn(sampler, min_terms=2).polynomial(F.concat(F.lit("t"), F.col("c_custkey").cast("string")))
-    return read("customer").select("c_custkey", _terms(p).alias("terms"))
+    return scans.spread(read("customer").select("c_custkey"), "c_custkey").select("c_custkey", _terms(p).alias("terms"))
 
 
 _STRICT_SQL = f"""
@@ -160,7 +160,7 @@ _STRICT = PolynomialSampler.of_ring("ZZ[x, y]", min_degree=0, max_degree=2, max_
 def drawn_strict_polynomials(spark, read):
     """Polynomials with whole coefficients, exactly three terms and degree two for each customer."""
     p = Drawn(_STRICT).polynomial(F.concat(F.lit("z"), F.col("c_custkey").cast("string")))
-    return read("customer").select("c_custkey", _terms(p).alias("terms"))
+    return scans.spread(read("customer").select("c_custkey"), "c_custkey").select("c_custkey", _terms(p).alias("terms"))
 
 
 @query("WITH g AS (SELECT s_suppkey, i, j FROM supplier, range(0, 2) t(i), range(0, 3) u(j)), s AS (SELECT (s_suppkey, i, j) AS key, 'm' || s_suppkey || ':' || i || ',' || j AS seed FROM g WHERE i < j AND " + _hash("'m' || s_suppkey || ':' || i || ',' || j || ':density'") + " // 256 * pow(2.0, -52) < 0.7), " + _STRICT_SQL + """
@@ -184,7 +184,7 @@ def drawn_univariate(spark, read):
     """Fractions before three different powers of one variable, and a whole number by its sign and size, for each part."""
     seed = F.concat(F.lit("u"), F.col("p_partkey").cast("string"))
     drawn = Drawn(PolynomialSampler(("x",), Field("QQ"), max_coeff=5))
-    return read("part").select("p_partkey", _terms(univariate(seed, drawn, 6, 3)).alias("terms"), draws.signed(9, seed, "n").alias("n"))
+    return scans.spread(read("part").select("p_partkey"), "p_partkey").select("p_partkey", _terms(univariate(seed, drawn, 6, 3)).alias("terms"), draws.signed(9, seed, "n").alias("n"))
 
 
 # ---- formulas
@@ -211,7 +211,7 @@ SELECT p_partkey, string_agg(exps || ':' || num || CASE WHEN den = 1 THEN '' ELS
 def expression_terms(spark, read):
     """Terms of (x + key)^2 * (y - 1) / 2 - -size * x for every part, from the text."""
     text = F.concat(F.lit("(x + "), F.col("p_partkey").cast("string"), F.lit(")^2 * (y - 1)/2 - -"), F.col("p_size").cast("string"), F.lit("*x"))
-    return read("part").select("p_partkey", _terms(expressions.parse_expression(text, ["x", "y"])).alias("terms"))
+    return scans.spread(read("part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", _terms(expressions.parse_expression(text, ["x", "y"])).alias("terms"))
 
 
 # ---- factors and eigenvectors
