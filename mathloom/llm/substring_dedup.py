@@ -85,12 +85,12 @@ def pack(bucket: np.ndarray, doc: np.ndarray, hashes: np.ndarray, ids: np.ndarra
             yield int(bucket[a]), kind, np.diff(own, prepend=0).tobytes(), counts.astype(np.int32).tobytes(), hashes[a:b].tobytes(), owners[a:b].tobytes()
 
 
-def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def unpack(table: pa.Table, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Ids and hashes of all entries of BLOCKS rows."""
-    ids, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    ids, hashes = [np.empty(0, np.int64)], [np.empty(0, kind)]
     for own, counts, values in zip(*(table.column(c) for c in ("ids", "counts", "hashes"))):
         ids.append(np.repeat(np.cumsum(np.frombuffer(own.as_buffer(), np.int64)), np.frombuffer(counts.as_buffer(), np.int32)))
-        hashes.append(np.frombuffer(values.as_buffer(), np.uint64))
+        hashes.append(np.frombuffer(values.as_buffer(), kind))
     return np.concatenate(ids), np.concatenate(hashes)
 
 

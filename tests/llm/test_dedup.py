@@ -167,6 +167,50 @@ def test_suffix_dedup_compresses_stretches():
     assert [r["doc_id"] for r in told] == [2] and len(np.frombuffer(told[0]["ranges"], np.int64)) > 0
 
 
+def test_suffix_dedup_in_passes(edges, monkeypatch):
+    """Where most names are shared, the texts are gone over several times, each time with a part of the names."""
+    parts = []
+    emit = suffix_dedup._emit_stretches
+    monkeypatch.setattr(suffix_dedup, "_emit_stretches", lambda n, k, of: parts.append((k, of)) or emit(n, k, of))
+    assert bag(suffix_dedup.suffix_dedup(edges).drop("kept").collect()) == bag(brute_strings(ids_and_texts(edges)))
+    assert len(parts) > 1 and parts == [(k, len(parts)) for k in range(len(parts))]
+
+
+def test_passes_bound_what_is_sent():
+    """With all names shared, a pass sends about PASS_BYTES of stretches for a byte of text, and names take four bytes."""
+    texts = [prose(1, 20_000), prose(2, 20_000)]
+    size = sum(map(len, texts))
+    names, _, _, _ = suffix_dedup.named_runs([t.encode() for t in texts])
+    short = names.astype(suffix_dedup.SHORT).tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array(texts), pa.array([short] * 2, pa.binary())], names=["doc_id", "mark", "text", "names"])
+    parts = suffix_dedup.n_passes(len(names), size)
+    sent = [pa.Table.from_batches([*suffix_dedup._emit_stretches(3, k, parts)([batch])]) for k in range(parts)]
+    for table in sent:
+        assert sum(len(suffix_dedup._whole(x)) for x in table.column("bytes").to_pylist()) < 1.1 * suffix_dedup.PASS_BYTES * size
+    assert 3 < parts < 6 and sum(len(x) for t in sent for x in t.column("hashes").to_pylist()) == 4 * len(names)
+    blocks = pa.Table.from_batches([*suffix_dedup._emit_names(1)([batch.select([0, 2])])])
+    assert sum(len(x) for x in blocks.column("hashes").to_pylist()) == 4 * len(set(names))
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_texts_of_one_id_are_told_apart(spark, monkeypatch, most):
+    """By marks for all rows, or for those of ids with several rows only."""
+    monkeypatch.setattr(suffix_dedup, "MOST_REPEATED", most)
+    first, second = prose(1, 60), prose(2, 60)
+    rows = [(5, first + " and " + second), (7, second + " x"), (7, "y " + first), (7, prose(3, 60)), (9, first)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept").collect()
+    assert bag(got) == bag(brute_strings(rows)) and sum(r["n_removed"] > 0 for r in got) == 3
+
+
+def test_touching_ranges_are_joined():
+    far = 5 + 2 * suffix_dedup.WIDTH
+    ids, marks, first, last = (np.array(x) for x in ([4, 4, 4, 4, 9, 9], [0, 0, 0, 1, 0, 0], [far, 0, 5, 0, 0, 3], [far, 2, 5 + suffix_dedup.WIDTH, 7, 60, 4]))
+    table = pa.Table.from_batches([suffix_dedup._batch([*suffix_dedup._ranges(ids, marks, first, last, 1)], suffix_dedup._RANGES)])
+    got = {(r["doc_id"], r["mark"]): np.frombuffer(r["ranges"], np.int64).tolist() for r in suffix_dedup._gather_ranges(table).to_pylist()}
+    assert got == {(4, 0): [0, far], (4, 1): [0, 7], (9, 0): [0, 60]}
+    assert suffix_dedup._gather_ranges(table.slice(0, 0)).num_rows == 0
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60))
 def test_suffix_array(symbols):
