@@ -36,9 +36,9 @@ GRAM = 20
 #: Bytes of a bucket's entries on average, and of entries for each byte of text.
 BUCKET_BYTES, ENTRY_BYTES = 64_000_000, 3
 #: Bytes of stretches that a pass sends for each byte of text; those of the stretch that a shared name stands for, on average.
-PASS_BYTES, STRETCH_BYTES = 1.25, 65
+PASS_BYTES, STRETCH_BYTES = 1.1, 65
 #: Bytes that are hashed at once.
-_PART = 1 << 20
+_PART = 1 << 16
 #: What is sent of a name, besides its bucket: its lower half.
 SHORT = np.uint32
 #: Ids with several rows that are told apart by a broadcast table; with more of them all rows are marked.
@@ -123,13 +123,20 @@ def window_names(data: bytes) -> np.ndarray:
 def named_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring windows with one name: name, document, first window, number of windows."""
     out = [[np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
-    for d, data in enumerate(texts):
-        for base in range(0, max(1, len(data) - WIDTH + 1), _PART):
-            names = window_names(data[base : base + _PART + WIDTH - 1])
-            if len(names):
-                first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-                for part, x in zip(out, (names[first], np.full(len(first), d), first + base, np.diff(np.append(first, len(names))))):
-                    part.append(x)
+    data, ends = b"".join(texts), np.cumsum([len(t) for t in texts], dtype=np.int64)
+    starts = ends - np.array([len(t) for t in texts], np.int64)
+    for base in range(0, max(0, len(data) - WIDTH + 1), _PART):
+        names = window_names(data[base : base + _PART + WIDTH - 1])
+        # runs also end where a document begins, or windows that reach into the next one
+        a, b = np.searchsorted(ends, base, "right"), np.searchsorted(starts, base + len(names))
+        edges = np.concatenate([starts[a:b], ends[a:b] - WIDTH + 1]) - base
+        new = np.concatenate(([True], names[1:] != names[:-1]))
+        new[edges[(edges > 0) & (edges < len(names))]] = True
+        first = np.flatnonzero(new)
+        doc = np.searchsorted(ends, first + base, "right")
+        whole = first + base + WIDTH <= ends[doc]
+        for part, x in zip(out, (names[first], doc, first + base - starts[doc], np.diff(np.append(first, len(names))))):
+            part.append(x[whole])
     return tuple(np.concatenate(p) for p in out)
 
 

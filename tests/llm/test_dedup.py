@@ -176,6 +176,16 @@ def test_suffix_dedup_in_passes(edges, monkeypatch):
     assert len(parts) > 1 and parts == [(k, len(parts)) for k in range(len(parts))]
 
 
+@pytest.mark.parametrize("part", [64, 1000, 1 << 16])
+def test_named_runs(monkeypatch, part):
+    """Each window of each document lies in one run, with its own name, and none reaches into the next document."""
+    monkeypatch.setattr(suffix_dedup, "_PART", part)
+    texts = [t.encode() for t in (prose(1, 300), "", "short", "x" * 49, "x" * 50, "", prose(2, 20), "x" * 200, prose(1, 40), "end")]
+    got = {(d, a + k): n for n, d, a, c in zip(*(x.tolist() for x in suffix_dedup.named_runs(texts))) for k in range(c)}
+    assert got == {(d, k): n for d, t in enumerate(texts) for k, n in enumerate(suffix_dedup.window_names(t).tolist())}
+    assert sum(suffix_dedup.named_runs(texts)[3]) == len(got) and not len(suffix_dedup.named_runs([])[0]) and not len(suffix_dedup.named_runs([b"", b"x"])[0])
+
+
 def test_passes_bound_what_is_sent():
     """With all names shared, a pass sends about PASS_BYTES of stretches for a byte of text, and names take four bytes."""
     texts = [prose(1, 20_000), prose(2, 20_000)]
